@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP8_SQL, op8_winnowing
+from .mixing import OP6_SQL, op6_pareto_mixing
+from .sharding import op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_winnowing": op8_winnowing,
+    "op9_prefix_sum_shards": op9_prefix_sum_shards,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL}

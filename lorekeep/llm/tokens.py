@@ -91,8 +91,7 @@ def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
 def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
     """Hash of the k words from each position in ``at`` on (None: from every position that has k)."""
     out = np.zeros(max(0, len(hashes) - k + 1) if at is None else len(at), np.uint64)
-    odd = np.uint64(2 * k + 1)
     for j in range(k):
-        odd *= _BASE
+        odd = np.uint64((2 * k + 1) * pow(int(_BASE), j + 1, 1 << 64) & (1 << 64) - 1)
         out += (hashes[j : len(hashes) - k + 1 + j] if at is None else hashes[at + j]) * odd
     return mix(out)
