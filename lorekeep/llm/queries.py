@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP8_SQL, op8_winnowing
 from .mixing import OP6_SQL, op6_pareto_mixing
+from .quality_rules import op1_compression_bands
 from .sharding import op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_bands": op1_compression_bands,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_winnowing": op8_winnowing,
