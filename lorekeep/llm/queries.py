@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP5_SQL, op5_budgeted_windows
 from .decontaminate import OP8_SQL, op8_winnowing
 from .mixing import OP6_SQL, op6_pareto_mixing
 from .quality_rules import op1_compression_bands
@@ -15,10 +16,11 @@ from .simhash import op4_simhash_bktree
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op5_budgeted_windows": op5_budgeted_windows,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_sum_shards": op9_prefix_sum_shards,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_budgeted_windows": OP5_SQL, "op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL}
