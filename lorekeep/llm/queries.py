@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_budgeted_windows
 from .decontaminate import OP8_SQL, op8_winnowing
 from .mixing import OP6_SQL, op6_pareto_mixing
+from .nbsvm import op7_naive_bayes_svm
 from .quality_rules import op1_compression_bands
 from .sharding import op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_budgeted_windows": op5_budgeted_windows,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_naive_bayes_svm": op7_naive_bayes_svm,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_sum_shards": op9_prefix_sum_shards,
 }
