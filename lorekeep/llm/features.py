@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps
-from .tokens import Words, gram_hash, words
+from .tokens import Words, byte_grams, gram_hash, words
 
 
 #: Bands of the share of distinct n-grams, and indicators of each band.
@@ -30,6 +30,7 @@ class NGrams:
     orders: tuple[int, ...] = (1, 2)
     bits: int = 18
     repeats: bool = False
+    chars: tuple[int, ...] = ()  # orders of byte n-grams
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(text, bucket) of every distinct indicator, in the order of texts."""
@@ -40,6 +41,9 @@ class NGrams:
             at = at[w.doc[at] == w.doc[at + n - 1]] if n > 1 else at
             bucket = gram_hash(w.hash, at, n) >> np.uint64(64 - self.bits)
             keys.append((w.doc[at].astype(np.int64) << self.bits) | bucket.astype(np.int64))
+        for n in self.chars:
+            doc, hashed = byte_grams(w, n)
+            keys.append((doc.astype(np.int64) << self.bits) | (hashed >> np.uint64(64 - self.bits)).astype(np.int64))
         both = np.concatenate(keys)
         both.sort()
         fresh = np.ones(len(both), bool)

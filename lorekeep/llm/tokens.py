@@ -63,6 +63,7 @@ class Words:
     hash: np.ndarray
     count: np.ndarray  # words of each text
     first: np.ndarray  # index of each text's first word
+    stop: np.ndarray  # offset in data after each text and its line feed
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (b excluded), joined by single spaces."""
@@ -85,7 +86,7 @@ def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
     stops = np.cumsum(sizes)
     doc = np.searchsorted(stops, start, side="right")
     count = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-    return Words(data, start, end, doc, hashed, count, np.cumsum(count) - count)
+    return Words(data, start, end, doc, hashed, count, np.cumsum(count) - count, stops)
 
 
 def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
@@ -95,3 +96,14 @@ def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
         odd = np.uint64((2 * k + 1) * pow(int(_BASE), j + 1, 1 << 64) & (1 << 64) - 1)
         out += (hashes[j : len(hashes) - k + 1 + j] if at is None else hashes[at + j]) * odd
     return mix(out)
+
+
+def byte_grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all runs of n bytes of a text and its line feed, the bytes as in ``w``."""
+    n = min(n, len(w.data))
+    at = np.zeros(len(w.data) - n + 1, np.uint64)
+    for j in range(n):  # n is at most 8: the bytes themselves, then mixed
+        at = (at << np.uint64(8)) | w.data[j : len(w.data) - n + 1 + j]
+    doc = np.repeat(np.arange(len(w.stop)), np.diff(w.stop, prepend=0))
+    inside = doc[: len(at)] == doc[n - 1 :]
+    return doc[: len(at)][inside], mix(at[inside])
