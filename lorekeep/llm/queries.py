@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP5_SQL, op5_budgeted_windows
 from .decontaminate import OP8_SQL, op8_winnowing
+from .langid import op3_ftrl_langid
 from .mixing import OP6_SQL, op6_pareto_mixing
 from .nbsvm import op7_naive_bayes_svm
 from .nnpu import op2_nn_pu
@@ -18,6 +19,7 @@ from .simhash import op4_simhash_bktree
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_nn_pu": op2_nn_pu,
+    "op3_ftrl_langid": op3_ftrl_langid,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_budgeted_windows": op5_budgeted_windows,
     "op6_pareto_mixing": op6_pareto_mixing,
