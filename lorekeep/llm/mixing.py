@@ -53,7 +53,8 @@ def _ranked(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     u = unit_hash(F.col("doc_id"), seed)
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rates = rates.withColumn("whole", F.floor("rate")).withColumns({"p": F.col("rate") - F.col("whole"), "rest": F.col("target") - F.col("whole") * F.col("source_size")}).drop("rate")
-    joined = docs.withColumnRenamed("source", "__source").join(rates, F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
+    rates = rates.withColumnRenamed("source", "__source")
+    joined = docs.drop(*(c for c in rates.columns if c in docs.columns)).join(rates, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     v = F.coalesce(odds / (1 + odds), F.lit(1.0))
     return joined.withColumn("v", v).withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
@@ -74,27 +75,30 @@ def sampling_cuts(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> Data
     return last.join(cut, F.col("source").eqNullSafe(F.col("__source")), "left").select("source", F.col("bin").alias("cut_bin"), F.col("cut.v").alias("cut_v"), F.col("cut.doc_id").alias("cut_id"))
 
 
-def with_copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, size) with source_size, target and copies (0 to MAX_REPEAT, whole documents).
+def sampling_plan(sized: DataFrame, seed: int = SEED) -> DataFrame:
+    """A row per source: its size, target and cut. sized: doc_id, source, size."""
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    cuts = sampling_cuts(sized, targets, seed).withColumnRenamed("source", "__cut_source")
+    return targets.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+
+
+def copies_of(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` (doc_id, source and any others) with source_size, target and copies (0 to MAX_REPEAT, whole documents).
 
     Reruns agree: U depends on the doc_id and the seed. Rows that repeat a doc_id within a source share
-    their rank and are taken together or in turn at the cut. A null doc_id is hashed as an empty text; a
-    source of no words has target 0 and gives nothing. An empty table gives an empty table."""
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
-    cuts = sampling_cuts(docs, targets, seed).withColumnRenamed("source", "__cut_source")
-    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    their rank, so all of them or none are sampled. A null doc_id is hashed as an empty text; a source of no
+    words has target 0 and gives nothing. An empty table gives an empty table."""
     ranked = _ranked(docs, plan, seed)
     at = (F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.col("doc_id").isNull())))
     sampled = (F.col("p") > 0) & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & at))
     copies = (F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("int")).cast("int")
-    return ranked.withColumn("copies", copies).drop("whole", "p", "rest", "v", "bin", "cut_bin", "cut_v", "cut_id")
+    return ranked.select(*docs.columns, "source_size", "target", copies.alias("copies"))
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size")), "mix-sizes")
-    return with_copies(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return copies_of(sized, sampling_plan(sized)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP6_SQL = r"""
