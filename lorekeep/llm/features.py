@@ -96,16 +96,15 @@ class Rows:
 
     @classmethod
     def collect(cls, rows: DataFrame) -> Rows:
-        """Of a bounded sample only. Rows are put in an order that does not depend on partitions."""
-        got = rows.select("doc_id", "y", "buckets").toArrow().combine_chunks()
+        """Of a bounded sample only, as Arrow arrays. Rows are put in an order that does not depend on partitions."""
+        got = rows.select("doc_id", "y", "buckets").toArrow()
+        ids = got.column("doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i])))
+        got = got.select(["y", "buckets"]).take(pa.array(order, pa.int64())).combine_chunks()
         if not got.num_rows:
             return cls(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
-        lists = got.column("buckets").to_pylist()
-        ids = got.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]), lists[i]))
-        sizes = [len(lists[i]) for i in order]
-        flat = np.concatenate([np.array(lists[i], np.int64) for i in order]) if sum(sizes) else np.zeros(0, np.int64)
-        return cls(flat, np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array(got.column("y").to_pylist(), np.int64)[order])
+        lists = got.column("buckets").chunk(0)
+        return cls(lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64), got.column("y").to_numpy().astype(np.int64))
 
     def row(self, i: int) -> np.ndarray:
         return self.bucket[self.offset[i] : self.offset[i + 1]]
