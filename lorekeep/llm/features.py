@@ -62,8 +62,8 @@ class NGrams:
         return both >> self.bits, both & ((1 << self.bits) - 1)
 
 
-def sparse_rows(docs: DataFrame, ngrams: NGrams, *keep: str) -> DataFrame:
-    """The ``keep`` columns and the buckets of each text, as an array."""
+def sparse_rows(docs: DataFrame, ngrams: NGrams, *keep: str, only: np.ndarray | None = None) -> DataFrame:
+    """The ``keep`` columns and the buckets of each text (those in ``only``, if given), as an array."""
     slim = docs.select(*keep, "text")
     schema = slim.drop("text").withColumn("buckets", F.array().cast("array<int>")).schema
 
@@ -71,6 +71,9 @@ def sparse_rows(docs: DataFrame, ngrams: NGrams, *keep: str) -> DataFrame:
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 doc, bucket = ngrams.of(texts)
+                if only is not None:
+                    used = np.isin(bucket, only)
+                    doc, bucket = doc[used], bucket[used]
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists], names=[*keep, "buckets"])
@@ -119,6 +122,14 @@ class Rows:
         return Rows(flat, np.r_[0, np.cumsum(sizes)].astype(np.int64), self.y[which])
 
 
+def bucket_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How many rows of y = 0 and of y = 1 have each bucket: at most 2 * size sums reach the driver."""
+    got = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("y", "bucket").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros((2, size), np.int64)
+    out[got.column("y").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 

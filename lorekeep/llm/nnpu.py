@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .features import NGrams, Rows, labelled_sample, sigmoid, sparse_rows
+from .features import NGrams, Rows, bucket_counts, labelled_sample, sigmoid, sparse_rows
 from .nbsvm import scored
 
 MAX_POSITIVE = 4_000
@@ -43,28 +43,23 @@ class Model:
         return sigmoid(np.bincount(doc, self.weight[bucket], len(texts)) + self.bias)
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, ngrams: NGrams = NGRAMS) -> Model:
-    """Without positives (or unlabelled rows) the model scores the prior throughout."""
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The buckets whose share among positives exceeds the unlabelled one beyond chance."""
+    share = (in_p + in_u) / max(1, n_p + n_u)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(1, n_p) + 1 / max(1, n_u)))
+    return np.flatnonzero(((in_p / max(1, n_p) - in_u / max(1, n_u)) / spread > MIN_Z) & (in_p >= MIN_SEEN))
+
+
+def fit(positive: Rows, unlabelled: Rows, prior: float, used: np.ndarray, ngrams: NGrams = NGRAMS) -> Model:
+    """used: the buckets that rows may hold. Without positives (or unlabelled rows) the model scores the prior throughout."""
     size = 1 << ngrams.bits
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    w, bias = np.zeros(size + 1), float(np.log(prior / (1 - prior)))
+    bias = float(np.log(prior / (1 - prior)))
     if not len(positive.y) or not len(unlabelled.y):
-        return Model(ngrams, w[:size], bias)
-    # only indicators whose share among positives differs from the unlabelled one beyond chance
-    in_p, in_u = np.bincount(positive.bucket, minlength=size), np.bincount(unlabelled.bucket, minlength=size)
-    share = (in_p + in_u) / (len(positive.y) + len(unlabelled.y))
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(positive.y) + 1 / len(unlabelled.y)))
-    z = (in_p / len(positive.y) - in_u / len(unlabelled.y)) / spread
-    used = np.flatnonzero((z > MIN_Z) & (in_p >= MIN_SEEN))
-    place = np.full(size, len(used))
-    place[used] = np.arange(len(used))
+        return Model(ngrams, np.zeros(size), bias)
     w = np.zeros(len(used) + 1)
-    w[-1] = bias  # the place of the bias; unused buckets are dropped below
-    rows = []
-    for part in (positive, unlabelled):
-        keep = place[part.bucket] < len(used)
-        doc, bucket = part.doc[keep], place[part.bucket][keep]
-        rows.append((bucket, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(part.y)))]))
+    w[-1] = bias
+    rows = [(np.searchsorted(used, part.bucket), part.offset) for part in (positive, unlabelled)]
     m, v = np.zeros_like(w), np.zeros_like(w)
     rng = np.random.default_rng(0)
     steps = max(1, len(unlabelled.y) // BATCH)
@@ -105,13 +100,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int
     """usable: of doc_id; which labels and which unlabelled texts may be learnt from. Samples are picked by the hash
     of the id: the smallest hashes of toxic rows, and all ids of the corpus under a hash limit that gives max_unlabelled."""
     toxic = labels.where(F.col("toxic") == 1)
-    prior, rows = labels.where(usable).agg(F.avg("toxic"), F.count("*")).first()
+    prior = labels.where(usable).agg(F.avg("toxic")).first()[0]
     corpus = docs.where(usable).count()
-    positive = sparse_rows(labelled_sample(docs, toxic, "toxic", usable, max_positive), NGRAMS, "doc_id", "y")
+    positive = labelled_sample(docs, toxic, "toxic", usable, max_positive)
     part = min(1.0, max_unlabelled / max(1, corpus))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))
-    unlabelled = sparse_rows(docs.where(usable & spread).withColumn("y", F.lit(0)), NGRAMS, "doc_id", "y")
-    return fit(Rows.collect(positive), Rows.collect(unlabelled), prior or 0.0)
+    unlabelled = docs.where(usable & spread).select("doc_id", F.lit(0).alias("y"), "text")
+    # first the counts of all indicators, then the rows with the telling ones: the driver gets little of either
+    size = 1 << NGRAMS.bits
+    (in_u, _), (_, in_p) = (bucket_counts(sparse_rows(x, NGRAMS, "y"), size) for x in (unlabelled, positive))
+    used = telling(in_p, in_u, positive.count(), unlabelled.count())
+    return fit(*(Rows.collect(sparse_rows(x, NGRAMS, "doc_id", "y", only=used)) for x in (positive, unlabelled)), prior or 0.0, used)
 
 
 def op2_nn_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
