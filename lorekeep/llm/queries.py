@@ -12,6 +12,7 @@ from .langid import op3_ftrl_langid
 from .mixing import OP6_SQL, op6_pareto_mixing
 from .nbsvm import op7_naive_bayes_svm
 from .nnpu import op2_nn_pu
+from .paragraphs import op10_paragraph_minhash
 from .quality_rules import op1_compression_bands
 from .sharding import op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_naive_bayes_svm": op7_naive_bayes_svm,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_sum_shards": op9_prefix_sum_shards,
+    "op10_paragraph_minhash": op10_paragraph_minhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
