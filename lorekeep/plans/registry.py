@@ -6,6 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 FLAGSHIP = "search_hybrid"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its DuckDB SQL where SQL can express it."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+from . import analytics_queries, memory_queries, search_queries  # noqa: E402, F401  (they register themselves)
