@@ -27,8 +27,8 @@ from .graph import components, local_roots
 RADIUS = 2
 SHINGLE = 3
 SHARD_ROWS = 8192
-#: Queries that search a tree together.
-QUERY_ROWS = 512
+#: Pairs of a query and a node that a search looks at together.
+FRONTIER_ROWS = 1 << 16
 #: Fingerprints that a task lays out as trees at once, besides the shard it is at.
 TREE_ROWS = 65536
 
@@ -83,20 +83,26 @@ def _grow(fps: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 def _search(fps: np.ndarray, child: np.ndarray, asks: np.ndarray, start: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
     """Joins each asking row with the rows of its tree within the radius, in ``roots``."""
-    for at in range(0, len(asks), QUERY_ROWS):
-        ask, node = asks[at : at + QUERY_ROWS], start[at : at + QUERY_ROWS]
-        while len(ask):
-            far = np.bitwise_count(fps[ask] ^ fps[node]).astype(np.int64)
-            hit = (far <= radius) & (ask != node)
-            roots = local_roots(ask[hit], node[hit], roots)
-            onward = []
-            for edge in range(-radius, radius + 1):
-                d = far + edge
-                inside = (d >= 0) & (d <= 64)
-                next_ = child[node[inside], d[inside]]
-                found = next_ >= 0
-                onward.append((ask[inside][found], next_[found].astype(np.int64)))
-            ask, node = (np.concatenate(x) for x in zip(*onward, strict=True))
+    waiting = [(asks[at : at + FRONTIER_ROWS].astype(np.int32), start[at : at + FRONTIER_ROWS].astype(np.int32)) for at in range(0, len(asks), FRONTIER_ROWS)]
+    while waiting:
+        ask, node = waiting.pop()
+        if len(ask) > FRONTIER_ROWS:  # depth first, in pieces: dense shards widen the frontier
+            waiting += [(ask[at : at + FRONTIER_ROWS], node[at : at + FRONTIER_ROWS]) for at in range(0, len(ask), FRONTIER_ROWS)]
+            continue
+        far = np.bitwise_count(fps[ask] ^ fps[node]).astype(np.int32)
+        hit = (far <= radius) & (ask != node)
+        hit[hit] = roots[ask[hit]] != roots[node[hit]]
+        roots = local_roots(ask[hit], node[hit], roots)
+        onward = []
+        for edge in range(-radius, radius + 1):
+            d = far + edge
+            inside = (d >= 0) & (d <= 64)
+            next_ = child[node[inside], d[inside]]
+            found = next_ >= 0
+            onward.append((ask[inside][found], next_[found]))
+        ask, node = (np.concatenate(x) for x in zip(*onward, strict=True))
+        if len(ask):
+            waiting.append((ask, node))
     return roots
 
 
