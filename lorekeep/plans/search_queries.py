@@ -77,7 +77,7 @@ def fused_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTOR = "case relation when 'updates' then 1.5 when 'caused_by' then 1.3 when 'result_of' then 1.3 when 'related_to' then 1.0 when 'part_of' then 0.8 when 'contradicts' then 0.5 when 'same_slot' then 1.25 when 'same_entity' then 0.85 else 0.65 end"
-_UND = f"""one as (select least(src, dst) as x, greatest(src, dst) as y, relation, max(weight) * {_FACTOR} as w from edges where src <> dst group by all),
+_UND = f"""one as (select least(src, dst) as x, greatest(src, dst) as y, relation, max(weight * {_FACTOR}) as w from edges where src <> dst group by all),
 und as (select a, b, sum(w) as w from (select x as a, y as b, w from one union all select y, x, w from one) group by all),
 sh as (select a, b, w / sum(w) over (partition by a) as share from und),
 seed as (select id as qid, id, 1.0::double as r from memories where cast(substr(id, 2) as bigint) % 20 = 0)"""
