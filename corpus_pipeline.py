@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = materialize(docs.select("doc_id", "source", mixing.n_words().alias("size")), "mix-sizes")
     plan = mixing.sampling_plan(sized)
     copies = mixing.copies_of(docs.select(*docs.columns), plan)
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return copies.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
