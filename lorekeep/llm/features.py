@@ -103,7 +103,7 @@ class Rows:
         got = rows.select("doc_id", "y", "buckets").toArrow()
         ids = got.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i])))
-        got = got.select(["y", "buckets"]).take(pa.array(order, pa.int64())).combine_chunks()
+        got = got.select(["y", "buckets"]).combine_chunks().take(pa.array(order, pa.int64())).combine_chunks()
         if not got.num_rows:
             return cls(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
         lists = got.column("buckets").chunk(0)
@@ -114,7 +114,21 @@ class Rows:
 
     @property
     def doc(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.y)), np.diff(self.offset))
+        return np.repeat(np.arange(len(self.y), dtype=np.int32), np.diff(self.offset))
+
+    def blocks(self, rows: int = 500) -> Iterator[tuple[int, int]]:
+        """Ranges of rows, so that a pass over all of them needs little memory of its own."""
+        return ((at, min(at + rows, len(self.y))) for at in range(0, len(self.y), rows))
+
+    def counts(self, size: int) -> np.ndarray:
+        """How many rows of y = 0 and of y = 1 have each bucket."""
+        out = np.zeros((2, size), np.int64)
+        for a, b in self.blocks():
+            part, offset = self.bucket[self.offset[a] : self.offset[b]], self.offset[a : b + 1]
+            y = np.repeat(self.y[a:b], np.diff(offset)) > 0
+            out[1] += np.bincount(part[y], minlength=size)
+            out[0] += np.bincount(part[~y], minlength=size)
+        return out
 
     def take(self, which: np.ndarray) -> Rows:
         sizes = np.diff(self.offset)[which]

@@ -52,10 +52,15 @@ def dual_descent(rows: Rows, scale: np.ndarray, cost: np.ndarray, epochs: int) -
     w, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows.y))
     sign = np.where(rows.y > 0, 1.0, -1.0)
+    scale = scale.astype(np.float32)
     values = scale[rows.bucket]
-    length = np.sqrt(np.bincount(rows.doc, values**2, len(rows.y)))
-    values = values / np.maximum(np.repeat(length, np.diff(rows.offset)), 1e-9)
-    parts = [(rows.bucket[a:b], values[a:b]) for a, b in zip(rows.offset[:-1].tolist(), rows.offset[1:].tolist(), strict=True)]
+    length = np.zeros(len(rows.y))
+    parts = []
+    for i, (a, b) in enumerate(zip(rows.offset[:-1].tolist(), rows.offset[1:].tolist(), strict=True)):
+        x = values[a:b]
+        length[i] = np.sqrt(float(x @ x))
+        x /= max(length[i], 1e-9)
+        parts.append((rows.bucket[a:b], x))
     square = np.where(length > 0, 1.0, 0.0) + 1.0
     rng = np.random.default_rng(0)
     for _ in range(epochs):
@@ -83,9 +88,7 @@ def fit(rows: Rows, ngrams: NGrams = NGRAMS) -> Model:
         return Model(ngrams, np.zeros(size), np.zeros(size), float(np.log(share / (1 - share))), 1.0, 0.0)
 
     def trained(part: Rows) -> Model:
-        doc_y = part.y[part.doc]
-        pos = SMOOTHING + np.bincount(part.bucket[doc_y > 0], minlength=size)
-        neg = SMOOTHING + np.bincount(part.bucket[doc_y <= 0], minlength=size)
+        neg, pos = part.counts(size) + SMOOTHING
         ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
         share = np.array([(part.y <= 0).mean(), (part.y > 0).mean()])
         w, bias = dual_descent(part, ratio, COST * 0.5 / np.maximum(share, 1e-3)[(part.y > 0).astype(int)], EPOCHS)
@@ -95,7 +98,9 @@ def fit(rows: Rows, ngrams: NGrams = NGRAMS) -> Model:
     held = rows.take(np.flatnonzero(kept_out))
     if len(set(rows.y[~kept_out].tolist())) == 2:
         first = trained(rows.take(np.flatnonzero(~kept_out)))
-        a, b = platt(first.margins_of(held.doc, held.bucket, len(held.y)), held.y)
+        margin = [first.margins_of(np.zeros(len(held.row(i)), np.int64), held.row(i), 1)[0] for i in range(len(held.y))]
+        a, b = platt(np.array(margin), held.y)
+        del first
     else:
         a, b = 1.0, 0.0
     model = trained(rows)
