@@ -36,7 +36,7 @@ def candidates(evidence: DataFrame, cluster: tuple[str, ...] = ("subject", "attr
     """Score, evidence and contexts of every value: an evidence key counts once, with its largest weight and the
     context of its earliest row."""
     once = evidence.groupBy(*cluster, "value_key", "evidence_key").agg(F.max("weight").alias("weight"), F.min_by("context_id", F.struct("observed_at", "id")).alias("context_id"), F.min("observed_at").alias("first_observed"))
-    by_value = once.groupBy(*cluster, "value_key").agg(F.sum("weight").alias("score"), F.count("*").alias("evidence_count"), F.count_distinct("context_id").alias("context_count"), F.min("first_observed").alias("first_observed"))
+    by_value = once.groupBy(*cluster, "value_key").agg(F.round(F.sum("weight"), 9).alias("score"), F.count("*").alias("evidence_count"), F.count_distinct("context_id").alias("context_count"), F.min("first_observed").alias("first_observed"))
     return by_value.withColumn("support", F.col("score") / F.sum("score").over(Window.partitionBy(*cluster)))
 
 

@@ -153,7 +153,7 @@ _BELIEFS = f"""{cte('evidence')}, act as (select * from evidence where valid_fro
 torn as (select subject, attribute, evidence_key from act group by all having count(distinct value_key) > 1),
 ok as (select act.* from act anti join torn on act.subject = torn.subject and act.attribute = torn.attribute and act.evidence_key = torn.evidence_key),
 once as (select subject, attribute, value_key, evidence_key, max(weight) as weight, arg_min(context_id, (observed_at, id)) as context_id, min(observed_at) as first_observed from ok group by all),
-c as (select subject, attribute, value_key, sum(weight) as score, count(*) as evidence_count, count(distinct context_id) as context_count, min(first_observed) as first_observed from once group by all),
+c as (select subject, attribute, value_key, round(sum(weight), 9) as score, count(*) as evidence_count, count(distinct context_id) as context_count, min(first_observed) as first_observed from once group by all),
 k as (select *, score / sum(score) over (partition by subject, attribute) as support,
   row_number() over (partition by subject, attribute order by round(score, 9) desc, evidence_count desc, first_observed, value_key) as rank from c),
 l as (select *, round(score - coalesce(lead(score) over (partition by subject, attribute order by rank), 0.0), 9) as lead from k),
