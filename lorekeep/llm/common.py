@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Separators of a word in the contracts: the space and the five ASCII controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Text that one vectorised step inside a task holds at once; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,6 +19,8 @@ GROWTH = 1.5
 MAX_REPEAT = 2
 BINS = 65536
 SEED = 7
+#: The rates of up to so many sources (a row of numbers each) are broadcast, so that no row moves to a source's task.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -54,7 +56,8 @@ def _ranked(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rates = rates.withColumn("whole", F.floor("rate")).withColumns({"p": F.col("rate") - F.col("whole"), "rest": F.col("target") - F.col("whole") * F.col("source_size")}).drop("rate")
     rates = rates.withColumnRenamed("source", "__source")
-    joined = docs.drop(*(c for c in rates.columns if c in docs.columns)).join(rates, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    small = len(rates.select("__source").take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES
+    joined = docs.drop(*(c for c in rates.columns if c in docs.columns)).join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     v = F.coalesce(odds / (1 + odds), F.lit(1.0))
     return joined.withColumn("v", v).withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
@@ -77,9 +80,9 @@ def sampling_cuts(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> Data
 
 def sampling_plan(sized: DataFrame, seed: int = SEED) -> DataFrame:
     """A row per source: its size, target and cut. sized: doc_id, source, size."""
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     cuts = sampling_cuts(sized, targets, seed).withColumnRenamed("source", "__cut_source")
-    return targets.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    return materialize(targets.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source"), "mix-plan")
 
 
 def copies_of(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:

@@ -28,15 +28,11 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _capacity(n: int) -> int:
-    return 1 << max(16, int(n).bit_length())
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    """1, base, base**2, ... They are not kept: a worker that waits for its next task should hold little."""
+    out = np.full(size, base)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def classes_of(word: str) -> np.ndarray:
@@ -78,10 +74,12 @@ def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
     kinds = np.append(kind, np.uint8(0))[edge]
     start = edge[kinds > 0]
     end = edge[np.flatnonzero(kinds > 0) + 1]
-    up, down = _powers(_capacity(len(data)))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start])
+    weighted = _powers(_BASE, len(data))
+    weighted *= _byte_values()[data]
+    np.cumsum(weighted, out=total[1:])
+    del weighted
+    hashed = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start])
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     stops = np.cumsum(sizes)
     doc = np.searchsorted(stops, start, side="right")
