@@ -31,7 +31,7 @@ def _byte_values() -> np.ndarray:
 def _powers(base: np.uint64, size: int) -> np.ndarray:
     """1, base, base**2, ... They are not kept: a worker that waits for its next task should hold little."""
     out = np.full(size, base)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out, out=out)
 
 
