@@ -160,3 +160,44 @@ def search_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = metadata_search(load(spark, sf_dir, "memories"), "recent", 50, "namespace_id")
     return rows.select("namespace_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"""{cte('memories', 'edges', 'mentions')}, ee as (select memory_id as a, entity_id as b, 1.0::double as w from mentions union all select entity_id, memory_id, 1.0 from mentions
+ union all select src, dst, weight * {_FACTOR} * case relation when 'updates' then 0.4 when 'caused_by' then 0.6 when 'result_of' then 0.6 else 1.0 end from edges union all select dst, src, weight * {_FACTOR} from edges) select a, b, round(sum(w), 6) as w from ee where a <> b group by all""")
+def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_edges(load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions")).withColumn("w", F.round("w", 6))
+
+
+@register()
+def graph_entity_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = queries_of(spark, sf_dir).select("qid", F.col("qid").alias("id"), F.lit(1.0).alias("mass"))
+    return graph.entity_pagerank(seeds, load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions"), iterations=3).withColumn("score", F.round("score", 6))
+
+
+@register()
+def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import precision
+
+    return precision(queries_of(spark, sf_dir), load(spark, sf_dir, "memories"))
+
+
+@register()
+def belief_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.vector_lane(queries_of(spark, sf_dir), load(spark, sf_dir, "memories").where(visible()), 10)
+    return graph.chains(hits, load(spark, sf_dir, "memories"), load(spark, sf_dir, "edges"))
+
+
+@register(f"""{cte('memories')}, f as (select * from memories where embedding is not null order by id limit 256), u as (select generate_subscripts(embedding, 1) as i, unnest(embedding) as x from f), m as (select i, avg(x::double) as x from u group by i),
+ r as (select id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from memories where embedding is not null), c as (select r.id, sum(case when r.id > (select max(id) from f) then r.x - m.x else r.x end) as total from r join m using (i) group by r.id) select id, round(total, 4) as total from c""")
+def centred_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vectors import centred
+
+    rows = centred(load(spark, sf_dir, "memories").where("embedding is not null").select("id", "embedding"), "id")
+    return rows.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@register()
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vectors import hashed_embedding
+
+    return hashed_embedding(load(spark, sf_dir, "documents"), "doc_id", "text", 64)
