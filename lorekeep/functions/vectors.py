@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,34 @@ def centred(vectors: DataFrame, order: str, first: int = 256) -> DataFrame:
     rows = vectors.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(bound))
     moved = F.zip_with("embedding", "mean", lambda x, m: (x - m).cast("double"))
     return rows.withColumn("embedding", F.when(F.col(order) > F.col("bound"), moved).otherwise(F.col("embedding").cast("array<double>"))).drop("mean", "bound", "n")
+
+
+#: Pairs of a query map at most: they are solved on the driver, as one matrix of this many rows.
+MAP_PAIRS = 256
+
+
+def fit_query_map(pairs: DataFrame, ridge: float = 10.0) -> np.ndarray:
+    """The matrix W of a kernel-ridge map, for which q + q W is near the memory that answers q. pairs: id, query, memory
+    (vectors); the first MAP_PAIRS by id are fitted, as documented."""
+    rows = pairs.orderBy("id").limit(MAP_PAIRS).select("query", "memory").collect()
+    if not rows:
+        raise ValueError("no pairs to fit")
+    q, m = (np.array([r[k] for r in rows], dtype=np.float64) for k in (0, 1))
+    return q.T @ np.linalg.solve(q @ q.T + ridge * np.eye(len(q)), m - q)
+
+
+def map_queries(queries: DataFrame, matrix: np.ndarray, column: str = "embedding") -> DataFrame:
+    """Queries with their vectors moved by the map and set to length 1. Null stays null."""
+
+    @F.pandas_udf("array<double>")
+    def moved(vectors: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None:
+                return None
+            q = np.asarray(v, dtype=np.float64)
+            out = q + q @ matrix
+            return out / (np.linalg.norm(out) or 1.0)
+
+        return vectors.map(one)
+
+    return queries.withColumn(column, moved(column))

@@ -108,3 +108,32 @@ def activity(feeds: dict[str, DataFrame], limit: int = 100) -> DataFrame:
         part = df.select(F.lit(name).alias("feed"), F.col("id").cast("string").alias("id"), "created_at")
         rows = part if rows is None else rows.unionByName(part)
     return rows.orderBy(F.desc("created_at"), F.desc("id"), "feed").limit(limit)
+
+
+def scope_entity_counts(memories: DataFrame, by: str = "namespace_id") -> DataFrame:
+    """Memories and distinct users, agents and runs of each namespace; blank ids are none."""
+    ids = {c: F.count_distinct(F.when(F.col(c) != "", F.col(c))) for c in ("user_id", "agent_id", "run_id")}
+    rows = memories.where("not forgotten").groupBy(by).agg(F.count("*").alias("memories"), *[n.alias(c) for c, n in ids.items()])
+    return rows.select(by, "memories", (F.col("user_id") + F.col("agent_id") + F.col("run_id")).alias("entities"))
+
+
+def recent_summary(memories: DataFrame, since: Column, by: str = "namespace_id", most: int = 3) -> DataFrame:
+    """Totals of each namespace, how many rows were made and recalled since a time, and the latest of both."""
+    accessed = F.col("access_count") > 0
+    rows = memories.where("not forgotten")
+    totals = rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("created_at") >= since).alias("remembered"), F.count_if(accessed & (F.col("last_accessed_at") >= since)).alias("recalled"))
+
+    def latest(of: DataFrame, key: str, name: str) -> DataFrame:
+        order = Window.partitionBy(by).orderBy(F.desc(key), F.desc("created_at"), F.desc("id"))
+        first = of.select(by, "id", F.row_number().over(order).alias("n")).where(F.col("n") <= most)  # cut before the shuffle
+        return first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "id")))["id"].alias(name))
+
+    return totals.join(latest(rows, "created_at", "latest"), by, "left").join(latest(rows.where(accessed), "last_accessed_at", "latest_recalled"), by, "left")
+
+
+def memory_events(tasks: DataFrame, status: Column) -> DataFrame:
+    """Tasks as events: the public status, the outcome of finished ones and the latency, never below 0. tasks: id, stored
+    (how many memories a task wrote), started_at, completed_at."""
+    ms = (F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).cast("long")
+    done = F.when(status == "SUCCEEDED", F.when(F.col("stored") > 0, "STORED").otherwise("NO_MEMORY"))
+    return tasks.select("id", status.alias("status"), done.alias("outcome"), F.greatest(F.lit(0).cast("long"), ms).alias("latency_ms"))

@@ -63,3 +63,19 @@ def shadow_diff(state: DataFrame, winners: DataFrame) -> DataFrame:
     both = state.join(winners.select("subject", "attribute", F.col("value_key").alias("belief_value")), ["subject", "attribute"], "full")
     s, b = F.col("state_value"), F.col("belief_value")
     return both.withColumn("verdict", F.when(s.isNull() & b.isNull(), "empty").when(b.isNull(), "state_only").when(s.isNull(), "belief_only").when(s == b, "agreement").otherwise("disagreement"))
+
+
+def contextual_view(evidence: DataFrame, requested: DataFrame, at: Column, policy: Policy = Policy()) -> DataFrame:
+    """The winner of every slot in each requested context: the context's own, else the global one where the context has no
+    active evidence at all (a contested context hides the global winner). evidence: ``applicability``, null for global;
+    requested: subject, attribute, applicability."""
+    slot = ("subject", "attribute", "applicability")
+    rows = active_at(observe(evidence.withColumn("applicability", F.coalesce("applicability", F.lit(""))), slot), at)
+    found = ranked(candidates(without_conflicts(rows, slot), slot), policy, slot)
+    best = found.groupBy(*slot).agg(F.max(F.when(F.col("status") == "supported", F.col("value_key"))).alias("own"))
+    common = best.where("applicability = ''").select("subject", "attribute", F.col("own").alias("common"))
+    asked = requested.select(*slot).where("applicability <> ''").distinct()
+    both = asked.join(best.withColumn("active", F.lit(True)), list(slot), "left").join(common, ["subject", "attribute"], "left")
+    value = F.coalesce("own", F.when(F.col("active").isNull(), F.col("common")))
+    reason = F.when(F.col("own").isNotNull(), "contextual_override").when(value.isNotNull(), "global_fallback")
+    return both.select(*slot, value.alias("value_key"), reason.alias("reason"))

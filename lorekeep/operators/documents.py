@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import stable_uuid
+from ..functions.scalars import stable_uuid, words_of
 from . import fusion, retrieval
 
 MAX_CHARS, OVERLAP = 1600, 200
@@ -120,3 +120,60 @@ def profile_sections(text: Column) -> Column:
     """Array of (title, body): lines that start with # open a section; bullets belong to the section they are in."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=#)"), lambda p: F.length(F.trim(p)) > 0)
     return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(F.substring_index(p, "\n", 1), r"^\s*#+", "")).alias("title"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+
+
+def transcript_cuts(text: str, max_chars: int = 16_000, overlap: int = 512) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a transcript: a piece ends at its last line break if that is past its middle; the next
+    one starts at a line break within the overlap, if there is one."""
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + max_chars, len(text))
+        if end < len(text):
+            line = text.rfind("\n", start, end + 1)
+            end = line if line > start + max_chars // 2 else end
+        out.append((start, end))
+        if end == len(text):
+            break
+        back = max(start + 1, end - overlap)
+        line = text.find("\n", back, end)
+        start = back if line < 0 else line + 1
+    return out
+
+
+def episode_chunks(messages: DataFrame, episode: str = "episode_id", order: str = "turn", max_chars: int = 16_000, overlap: int = 512) -> DataFrame:
+    """(episode, index, count, content): transcripts of ``role: text`` lines in overlapping pieces. An episode is one
+    conversation, which fits in a task; it is never a whole source."""
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    texts = messages.groupBy(episode).agg(F.array_join(F.array_sort(F.collect_list(F.struct(order, line.alias("line"))))["line"], "\n").alias("text"))
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for e, text in zip(part[episode], part["text"]):
+                cuts = transcript_cuts(text, max_chars, overlap)
+                yield pd.DataFrame({episode: e, "index": range(len(cuts)), "count": len(cuts), "content": [text[a:b] for a, b in cuts]})
+
+    kind = messages.schema[episode].dataType.simpleString()
+    return texts.mapInPandas(cut, f"{episode} {kind}, index int, count int, content string")
+
+
+# Words of no weight when a profile is searched.
+PROFILE_STOP_WORDS = (
+    "the", "and", "for", "with", "that", "this", "what", "who", "where", "when", "which", "does", "did", "was", "were", "are", "is", "has",
+    "have", "had", "about", "tell", "me", "user", "person", "their", "his", "her", "she", "him", "they",
+)
+
+
+def profile_terms(text: Column) -> Column:
+    """Distinct words without a plural s, of two characters or more."""
+    bare = F.transform(words_of(text), lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 2) & ~t.isin(*PROFILE_STOP_WORDS)))
+
+
+def search_sections(queries: DataFrame, sections: DataFrame, limit: int = 3, least: float = 0.01) -> DataFrame:
+    """The sections of a query's own profile by the share of its terms that they hold, plus 0.25 for its exact wording.
+    queries: qid, profile_id, text; sections: profile_id, id, title, body."""
+    q = queries.select("qid", "profile_id", F.lower("text").alias("asked"), profile_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    s = sections.select("profile_id", "id", F.lower("body").alias("low"), profile_terms(F.concat_ws("\n", "title", "body")).alias("held"))
+    exact = F.when(F.col("low").contains(F.col("asked")), 0.25).otherwise(0.0)
+    scored = q.join(s, "profile_id").select("qid", "id", F.round(F.size(F.array_intersect("terms", "held")) / F.size("terms") + exact, 9).alias("score"))
+    return retrieval.top(scored.where(F.col("score") >= least), limit)

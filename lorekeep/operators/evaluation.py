@@ -78,3 +78,69 @@ def kendall_tau_b(values: DataFrame, by: str) -> DataFrame:
     w = F.col("a.n") * F.col("b.n")
     pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & less).groupBy(F.col(f"a.{by}").alias(by)).agg(F.sum(w * sign).alias("s"), F.sum(F.when(F.col("a.x") == F.col("b.x"), 0).otherwise(w)).alias("nx"), F.sum(F.when(F.col("a.y") == F.col("b.y"), 0).otherwise(w)).alias("ny"))
     return pairs.select(by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("tau_b"))
+
+
+def rubric_scores(verdicts: DataFrame, by: str) -> DataFrame:
+    """Mean score of each group of rubric items; scores are cut to whole numbers but for event_ordering. verdicts: by,
+    category, score."""
+    score = F.when(F.col("category") == "event_ordering", F.col("score")).otherwise(F.signum("score") * F.floor(F.abs("score")))
+    return verdicts.groupBy(by, "category").agg(F.avg(score).alias("score"), F.count("*").alias("items"))
+
+
+def evidence_recall(contexts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per query: whether every evidence text is in the query's context (case and runs of white space aside). contexts: qid,
+    context; evidence: qid, text. A query without a context recalls nothing."""
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    rows = evidence.join(contexts.select("qid", flat("context").alias("hay")), "qid", "left")
+    return rows.groupBy("qid").agg(F.every(F.coalesce(F.col("hay").contains(flat("text")), F.lit(False))).alias("recalled"), F.count("*").alias("evidence"))
+
+
+def event_ordering(rows: DataFrame) -> DataFrame:
+    """Adds precision, recall, f1, tau_norm and final to rows with two arrays of events, ``reference`` and ``system``. Events
+    that one side lacks share the rank after the last; a tau that is not defined counts 0."""
+    ref, out = F.col("reference"), F.col("system")
+    same = F.size(F.array_intersect(ref, out))
+    extra, lost = F.size(F.filter(out, lambda x: ~F.array_contains(ref, x))), F.size(F.filter(ref, lambda x: ~F.array_contains(out, x)))
+    ratio = lambda n: F.when(same + n > 0, same / (same + n)).otherwise(0.0)
+    every = F.array_union(ref, out)
+    last = lambda seq, u: F.when(F.array_contains(seq, u), F.size(seq) + 1 - F.array_position(F.reverse(seq), u)).otherwise(F.size(every) + 1)
+    rows = rows.withColumns({"precision": ratio(extra), "recall": ratio(lost), "__r": F.transform(every, lambda u: F.struct(last(ref, u).alias("x"), last(out, u).alias("y")))})
+    pairs = F.flatten(F.transform("__r", lambda a: F.transform("__r", lambda b: F.struct(F.signum(a.x - b.x).alias("x"), F.signum(a.y - b.y).alias("y")))))
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
+    nx, ny = total(lambda p: F.abs(p.x)), total(lambda p: F.abs(p.y))
+    tau = F.when((nx > 0) & (ny > 0), (total(lambda p: p.x * p.y) / F.sqrt(nx * ny) + 1) / 2).otherwise(0.0)
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return rows.withColumns({"f1": f1, "tau_norm": tau}).withColumn("final", F.col("tau_norm") * F.col("f1")).drop("__r")
+
+
+def matched_requirements(links: DataFrame) -> DataFrame:
+    """Most requirements of each case that can be met if a fact meets one at most. links: case_id, requirement, fact (one row
+    for each fact that would meet a requirement); a case is a handful of rows, matched in one task by augmenting paths."""
+
+    def match(case):
+        wants: dict = {}
+        for r, f in zip(case["requirement"], case["fact"]):
+            wants.setdefault(r, []).append(f)
+        owner: dict = {}
+        met = 0
+        for start in wants:
+            came, queue, free = {}, [start], None  # breadth first: fact -> the requirement that reached it
+            while queue and free is None:
+                r = queue.pop(0)
+                for f in wants[r]:
+                    if f in came:
+                        continue
+                    came[f] = r
+                    if f not in owner:
+                        free = f
+                        break
+                    queue.append(owner[f])
+            met += free is not None
+            held = {r: f for f, r in owner.items()}
+            while free is not None:
+                r = came[free]
+                owner[free], free = r, held.get(r)
+        return pd.DataFrame({"case_id": [case["case_id"].iloc[0]], "met": [met], "linked": [len(wants)]})
+
+    kind = links.schema["case_id"].dataType.simpleString()
+    return links.groupBy("case_id").applyInPandas(match, f"case_id {kind}, met long, linked long")

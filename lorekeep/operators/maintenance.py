@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, trim_space
+from ..scratch import kept
 
 MAX_CONTENT = 50_000
 
@@ -77,3 +80,23 @@ def typed_edges(memories: DataFrame, key: list[str], relation: str, weight: floa
     order = Window.partitionBy(*[F.lower(k) for k in key]).orderBy("created_at", "id")
     rows = memories.where(" and ".join(f"{k} is not null" for k in key)).withColumn("before", F.collect_list("id").over(order.rowsBetween(-most, -1)))
     return rows.select(F.col("id").alias("src"), F.explode("before").alias("dst"), F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
+
+
+def greedy_matching(pairs: DataFrame, order: list[Column]) -> DataFrame:
+    """One partner per row: the pairs that a walk in ``order`` would take, skipping those with an end already taken. pairs:
+    winner, loser and more.
+
+    A round takes every pair that is first at both its ends, then drops the pairs that touch a taken row; the result is
+    that of the walk. Rounds are written, so that a lost executor costs one round; there are few, as long as the order
+    does not follow a path through the rows."""
+    cols = pairs.columns
+    left = kept(pairs.select(*cols, F.struct(*order, "winner", "loser").alias("__o")), "matching")
+    taken = []
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("winner", "loser")).alias("end"), "__o").groupBy("end").agg(F.min("__o").alias("first"))
+        at = lambda end: ends.select(F.col("end").alias(end), F.col("first").alias(f"__{end}"))
+        chosen = kept(left.join(at("winner"), "winner").join(at("loser"), "loser").where("__o = __winner and __o = __loser").select(*cols, "__o"), "matched")
+        taken.append(chosen.select(*cols))
+        used = chosen.select(F.explode(F.array("winner", "loser")).alias("end"))
+        left = kept(left.join(used.withColumnRenamed("end", "winner"), "winner", "left_anti").join(used.withColumnRenamed("end", "loser"), "loser", "left_anti").select(*cols, "__o"), "matching")
+    return reduce(DataFrame.unionByName, taken, pairs.limit(0))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_terms, dot, index_terms, norm
+from ..functions.scalars import content_terms, cosine, dot, index_terms, norm
 
 K1, B = 1.5, 0.75
 #: Queries that are broadcast at most; a larger set is cut into blocks of so many.
@@ -99,3 +99,23 @@ def intent(query: Column) -> Column:
 
 def strategy(kind: Column) -> Column:
     return F.when(kind == "single_fact", "precision").when(kind == "temporal", "balanced").otherwise("recall")
+
+
+def associations(fresh: DataFrame, memories: DataFrame, most: int = 3, least: float = 0.6) -> DataFrame:
+    """Edges of new rows to the nearest rows of their namespace that came before them. fresh and memories: id, namespace_id,
+    created_at, embedding. ``fresh`` is one batch of writes and is broadcast up to QUERY_BLOCK rows."""
+    n = fresh.where("embedding is not null").select(F.col("id").alias("qid"), "namespace_id", F.struct("created_at", "id").alias("born"), F.col("embedding").alias("qv"))
+    m = memories.where("embedding is not null").select("id", F.col("namespace_id").alias("ns"), F.struct("created_at", "id").alias("known"), "embedding")
+    small = len(n.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK
+    pairs = m.join(F.broadcast(n) if small else n, (F.col("ns") == F.col("namespace_id")) & (F.col("known") < F.col("born")))
+    return top(pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("qv")), 9).alias("score")).where(F.col("score") >= least), most)
+
+
+def synonyms(names: DataFrame, known: DataFrame, least: float = 0.88) -> DataFrame:
+    """The nearest known name of each new one inside its namespace, if it is near enough. Both: id, namespace_id, embedding."""
+    n = names.where("embedding is not null").select(F.col("id").alias("qid"), "namespace_id", F.col("embedding").alias("qv"))
+    k = known.where("embedding is not null").select("id", F.col("namespace_id").alias("ns"), "embedding")
+    small = len(n.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK
+    pairs = k.join(F.broadcast(n) if small else n, (F.col("ns") == F.col("namespace_id")) & (F.col("id") != F.col("qid")))
+    near = pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("qv")), 9).alias("score")).where(F.col("score") >= least)
+    return top(near, 1).drop("rank")

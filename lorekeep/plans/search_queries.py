@@ -181,7 +181,13 @@ def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return precision(queries_of(spark, sf_dir), load(spark, sf_dir, "memories"))
 
 
-@register()
+_HOPS = "".join(f", f{k} as (select * from f{k - 1} union select f.qid, f.subject, f.attribute, w.new from f{k - 1} f join w using (id))" for k in range(1, 6))
+
+
+@register(f"""{cte('memories', 'edges')}, {_Q}, {_VECTOR}, s as (select id, lower(subject) as subject, lower(attribute) as attribute, coalesce(event_date, created_at) as at, valid_to from memories where subject is not null and attribute is not null),
+ w as (select e.dst as id, e.src as new from edges e join s a on a.id = e.dst join s b on b.id = e.src and b.subject = a.subject and b.attribute = a.attribute where relation = 'updates'),
+ f0 as (select qid, subject, attribute, id from vec join s using (id) where rank <= 10){_HOPS}
+ select f.qid, f.subject, f.attribute, list(s.id order by s.at, s.id) as ids from f5 f join s using (id) group by all having count(*) >= 2 or bool_or(s.valid_to is not null)""")
 def belief_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.vector_lane(queries_of(spark, sf_dir), load(spark, sf_dir, "memories").where(visible()), 10)
     return graph.chains(hits, load(spark, sf_dir, "memories"), load(spark, sf_dir, "edges"))
