@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, trim_space
+from ..functions.scalars import trim_space
 from ..scratch import kept
 
 MAX_CONTENT = 50_000
+#: Distinct vectors of a block in the search for near pairs.
+BLOCK_ROWS = 2048
+#: Pairs that one task of a matching walks, about.
+WALK_PAIRS = 1 << 17
 
 
 def days(later: Column, earlier: Column) -> Column:
@@ -43,19 +50,59 @@ def merged_content(winner: Column, loser: Column) -> Column:
     return F.when(w.contains(trim_space(loser)), w).otherwise(F.substring(F.concat(w, F.lit("\n\n"), l), 1, MAX_CONTENT))
 
 
+def _near(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Pairs (a, b) of a table of one or two blocks (reps, vectors) with a cosine of at least ``threshold``, one of each
+    block; of a single block each pair once, and each vector with itself."""
+
+    def unit(vectors: pa.ListArray) -> np.ndarray:
+        sizes = np.diff(vectors.offsets.to_numpy())
+        out = np.zeros((len(sizes), sizes.max(initial=0)))
+        out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm != 0)
+
+    def run(block: pa.Table) -> pa.Table:
+        reps = [r.values for r in block.column("reps")]
+        m = [unit(v.values) for v in block.column("vectors")]
+        dims = min(x.shape[1] for x in m)
+        i, j = np.nonzero(m[0][:, :dims] @ m[-1][:, :dims].T >= threshold)
+        if len(m) == 1:
+            i, j = i[i <= j], j[i <= j]
+        return pa.table({"a": reps[0].take(pa.array(i)), "b": reps[-1].take(pa.array(j))})
+
+    return run
+
+
+def near_pairs(memories: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """All pairs of one namespace whose vectors have a cosine of at least ``threshold``: winner, loser, importance (of the
+    winner). The winner has the higher importance, then the smaller id.
+
+    Equal vectors are brought to one; the distinct ones of a namespace are dealt into blocks of about BLOCK_ROWS, and
+    every two blocks meet in a task as one matrix product, so no pair is missed."""
+    rows = kept(memories.where("embedding is not null and not forgotten and namespace_id is not null").select("id", "namespace_id", "importance", "embedding"), "near-rows")
+    same = ["namespace_id", "embedding"]
+    one = kept(rows.groupBy(*same).agg(F.min("id").alias("rep")), "near-distinct")
+    parts = one.groupBy("namespace_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = one.join(parts, "namespace_id").withColumn("block", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
+    blocks = kept(dealt.groupBy("namespace_id", "parts", "block").agg(F.collect_list("rep").alias("reps"), F.collect_list("embedding").alias("vectors")), "near-blocks")
+    sent = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.select("namespace_id", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "reps", "vectors")
+    kind = rows.schema["id"].dataType.simpleString()
+    found = sent.groupBy("namespace_id", "one", "two").applyInArrow(_near(threshold), f"a {kind}, b {kind}")
+    members = rows.join(one, same).select("rep", F.struct("id", "importance").alias("m"))
+    both = found.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").where("a <> b or x.id < y.id")
+    ends = F.array_sort(F.array("x", "y"))
+    p, q = F.col("ends")[0], F.col("ends")[1]
+    first = (p["importance"] > q["importance"]) | ((p["importance"] == q["importance"]) & (p["id"] < q["id"]))
+    out = both.select(ends.alias("ends")).select(F.when(first, p).otherwise(q).alias("w"), F.when(first, q).otherwise(p).alias("l"))
+    return out.select(F.col("w.id").alias("winner"), F.col("l.id").alias("loser"), F.col("w.importance").alias("importance")).dropDuplicates(["winner", "loser"])
+
+
 def merge_pairs(memories: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs of one namespace whose vectors are near, blocked by the signs of 12 fixed dimensions twice over, with the
-    winner: the higher importance, then the smaller id."""
-    rows = memories.where("embedding is not null and not forgotten").select("id", "namespace_id", "importance", "content", "embedding")
-    keys = F.array(*[F.concat_ws("", F.lit(str(k)), *[(F.element_at("embedding", i + 1) > 0).cast("int").cast("string") for i in range(4 * k, 4 * k + 8)]) for k in range(12)])
-    keyed = rows.withColumn("block", F.explode(keys))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.namespace_id") == F.col("b.namespace_id")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")))
-    near = pairs.where(cosine(F.col("a.embedding"), F.col("b.embedding")) >= threshold)
-    first = (F.col("a.importance") > F.col("b.importance")) | ((F.col("a.importance") == F.col("b.importance")) & (F.col("a.id") < F.col("b.id")))
-    pick = lambda c: (F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")), F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")))
-    (wi, li), (wc, lc) = pick("id"), pick("content")
-    return near.select(wi.alias("winner"), li.alias("loser"), merged_content(wc, lc).alias("content")).dropDuplicates(["winner", "loser"])
+    """The pairs of ``near_pairs`` with their merged content: winner, loser, content."""
+    of = memories.where("not forgotten").select("id", "content")
+    pairs = near_pairs(memories, threshold).join(of.toDF("winner", "__w"), "winner").join(of.toDF("loser", "__l"), "loser")
+    return pairs.select("winner", "loser", merged_content(F.col("__w"), F.col("__l")).alias("content"))
 
 
 def rewire(edges: DataFrame, merged: DataFrame) -> DataFrame:
@@ -82,21 +129,38 @@ def typed_edges(memories: DataFrame, key: list[str], relation: str, weight: floa
     return rows.select(F.col("id").alias("src"), F.explode("before").alias("dst"), F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs in order: those with both ends free."""
+    used = set()
+    for batch in batches:
+        took = []
+        for w, l in zip(batch.column("winner").to_pylist(), batch.column("loser").to_pylist(), strict=True):
+            took.append(w not in used and l not in used)
+            if took[-1]:
+                used |= {w, l}
+        yield batch.filter(pa.array(took, pa.bool_()))
+
+
 def greedy_matching(pairs: DataFrame, order: list[Column]) -> DataFrame:
     """One partner per row: the pairs that a walk in ``order`` would take, skipping those with an end already taken. pairs:
     winner, loser and more.
 
-    A round takes every pair that is first at both its ends, then drops the pairs that touch a taken row; the result is
-    that of the walk. Rounds are written, so that a lost executor costs one round; there are few, as long as the order
-    does not follow a path through the rows."""
+    Pairs are sorted and numbered once. A round walks the first WALK_PAIRS or so in one task, which holds the ends taken
+    there alone, and drops all pairs that touch a taken row; the result is that of the walk. Rounds are written, so that a lost
+    executor costs one round; there are at most pairs / WALK_PAIRS, fewer as pairs are dropped, whatever the order."""
     cols = pairs.columns
-    left = kept(pairs.select(*cols, F.struct(*order, "winner", "loser").alias("__o")), "matching")
+    left = kept(pairs.orderBy(*order, "winner", "loser").withColumn("__at", F.monotonically_increasing_id()), "matching")
     taken = []
-    while not left.isEmpty():
-        ends = left.select(F.explode(F.array("winner", "loser")).alias("end"), "__o").groupBy("end").agg(F.min("__o").alias("first"))
-        at = lambda end: ends.select(F.col("end").alias(end), F.col("first").alias(f"__{end}"))
-        chosen = kept(left.join(at("winner"), "winner").join(at("loser"), "loser").where("__o = __winner and __o = __loser").select(*cols, "__o"), "matched")
+    while n := left.count():
+        share = WALK_PAIRS / n
+        head = rest = left
+        if share < 1:
+            cut = left.approxQuantile("__at", [share], share / 8)[0]
+            head, rest = left.where(F.col("__at") <= cut), left.where(F.col("__at") > cut)
+        chosen = kept(head.repartition(1).sortWithinPartitions("__at").mapInArrow(_walk, head.schema), "matched")
         taken.append(chosen.select(*cols))
-        used = chosen.select(F.explode(F.array("winner", "loser")).alias("end"))
-        left = kept(left.join(used.withColumnRenamed("end", "winner"), "winner", "left_anti").join(used.withColumnRenamed("end", "loser"), "loser", "left_anti").select(*cols, "__o"), "matching")
+        if share >= 1:
+            break
+        used = F.broadcast(chosen.select(F.explode(F.array("winner", "loser")).alias("end")))  # of one walk: bounded
+        left = kept(rest.join(used.withColumnRenamed("end", "winner"), "winner", "left_anti").join(used.withColumnRenamed("end", "loser"), "loser", "left_anti"), "matching")
     return reduce(DataFrame.unionByName, taken, pairs.limit(0))

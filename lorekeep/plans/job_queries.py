@@ -82,8 +82,7 @@ def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One merge per row, the most important winners first; 0.35 in place of 0.95, which no two of these vectors reach."""
     rows = load(spark, sf_dir, "memories").where(visible())
-    pairs = maintenance.merge_pairs(rows, 0.35).join(rows.select(F.col("id").alias("winner"), "importance"), "winner")
-    return maintenance.greedy_matching(pairs.select("winner", "loser", "importance"), [-F.col("importance")]).select("winner", "loser")
+    return maintenance.greedy_matching(maintenance.near_pairs(rows, 0.35), [-F.col("importance")]).select("winner", "loser")
 
 
 @register(f"{cte('memories')} select namespace_id, count(*) as memories, count(distinct nullif(user_id, '')) + count(distinct nullif(agent_id, '')) + count(distinct nullif(run_id, '')) as entities from memories where not forgotten group by namespace_id")

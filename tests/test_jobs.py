@@ -30,6 +30,50 @@ def test_greedy_matching(spark):
     assert maintenance.greedy_matching(df.limit(0), [-F.col("importance")]).count() == 0
 
 
+def walked(rows):
+    want, used = [], set()
+    for w, l, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if not {w, l} & used:
+            used |= {w, l}
+            want.append((w, l))
+    return sorted(want)
+
+
+def test_greedy_matching_of_cliques(spark, monkeypatch):
+    """A clique with pairs to rows outside it is matched as by the walk, in few rounds although its pairs follow each other."""
+    rng = random.Random(11)
+    pairs = set(itertools.combinations(range(50), 2)) | {tuple(sorted((rng.randrange(50), rng.randrange(50, 90)))) for _ in range(12)} | {tuple(sorted(rng.sample(range(50, 120), 2))) for _ in range(60)}
+    rank = {i: rng.randrange(7) / 8 for i in range(120)}
+    rows = [(f"m{a:03}", f"m{b:03}", rank[a]) if rank[a] >= rank[b] else (f"m{b:03}", f"m{a:03}", rank[b]) for a, b in pairs]
+    names = []
+    monkeypatch.setattr(maintenance, "WALK_PAIRS", 300)
+    monkeypatch.setattr(maintenance, "kept", lambda df, name, keep=maintenance.kept: names.append(name) or keep(df, name))
+    got = maintenance.greedy_matching(spark.createDataFrame(rows, "winner string, loser string, importance double"), [-F.col("importance")])
+    assert sorted((r.winner, r.loser) for r in got.collect()) == walked(rows)
+    assert 1 < names.count("matched") < 7
+
+
+def test_near_pairs(spark, sf_dir, monkeypatch):
+    """Recall against brute force at the threshold that the query is registered with, over several blocks, equal vectors too."""
+    from lorekeep.sources.views import load
+
+    monkeypatch.setattr(maintenance, "BLOCK_ROWS", 40)
+    some = load(spark, sf_dir, "memories").select("id", "namespace_id", "importance", "content", "embedding", "forgotten").where("embedding is not null")
+    again = some.where("importance < 0.1").withColumn("id", F.concat(F.lit("x"), "id"))
+    df = some.union(again)
+    rows = [r for r in df.collect() if not r.forgotten]
+    v = np.array([r.embedding for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.35, 1))):
+        a, b = sorted((rows[i], rows[j]), key=lambda r: (-r.importance, r.id))
+        if a.namespace_id == b.namespace_id:
+            want.add((a.id, b.id))
+    got = [(r.winner, r.loser) for r in maintenance.merge_pairs(df, 0.35).collect()]
+    assert len(want) > 20 and len(got) == len(set(got))
+    assert len(want & set(got)) / len(want) >= 0.9 and set(got) == want
+
+
 def test_matched_requirements(spark):
     rng = random.Random(3)
     rows, want = [], {}
