@@ -1,5 +1,6 @@
 """Operators with exact contracts, against plain brute-force versions."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -166,6 +167,21 @@ def test_compression_bands():
     assert quality_rules.band_verdict(prose[:4096] + rng.bytes(4096), squeeze)[3] is not None
 
 
+@pytest.mark.parametrize(("size", "share"), [(20_000, 0.5), (20_000, 0.6), (8000, 0.6), (4000, 0.6), (2400, 0.6)])
+@pytest.mark.parametrize("last", [True, False])
+def test_encoded_parts(size, share, last):
+    """Prose with a part of base64, at either end, is rejected; the prose alone is kept."""
+    squeeze = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    rng = np.random.default_rng(size)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "an", "er", "ing")]
+    for _ in range(10):
+        prose = " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(size // 4)).encode()[:size]
+        coded = base64.b64encode(rng.bytes(size))[: int(size * share)]
+        rest = prose[: size - len(coded)]
+        assert quality_rules.band_verdict(prose, squeeze)[3] is None
+        assert quality_rules.band_verdict(rest + coded if last else coded + rest, squeeze)[3] is not None
+
+
 def test_mixing(spark, sf_dir):
     got = mixing.op6_pareto_mixing(spark, sf_dir).collect()
     again = mixing.op6_pareto_mixing(spark, sf_dir).collect()
