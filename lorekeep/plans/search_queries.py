@@ -171,7 +171,7 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def graph_entity_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = queries_of(spark, sf_dir).select("qid", F.col("qid").alias("id"), F.lit(1.0).alias("mass"))
-    return graph.entity_pagerank(seeds, load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions"), iterations=3).withColumn("score", F.round("score", 6))
+    return graph.entity_pagerank(seeds, load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions"), every=5).withColumn("score", F.round("score", 6))
 
 
 @register()

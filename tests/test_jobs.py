@@ -216,6 +216,50 @@ def test_pagerank(spark):
     assert np.allclose([got.get(n, 0.0) for n in names], p)
 
 
+def dense(rows, seeds, rounds=15):
+    """Scores above 0 of (qid, id) by a dense matrix over (a, b, w)."""
+    names = sorted({r.a for r in rows} | {r.b for r in rows} | {i for of in seeds.values() for i in of})
+    at = {n: k for k, n in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for r in rows:
+        w[at[r.a], at[r.b]] = r.w
+    out = w.sum(1, keepdims=True)
+    move = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+    found = {}
+    for q, of in seeds.items():
+        seed = np.zeros(len(names))
+        for i, mass in of.items():
+            seed[at[i]] += mass / sum(of.values())
+        p = seed
+        for _ in range(rounds):
+            p = 0.5 * seed + 0.5 * (p @ move + p[out[:, 0] == 0].sum() * seed)
+        found |= {(q, n): p[at[n]] for n in names if p[at[n]] > 0}
+    return found
+
+
+def test_registered_walks(spark, sf_dir, monkeypatch):
+    """The entity graph's query and the flagship's graph lane take the operator's 15 rounds."""
+    from lorekeep.plans import registry, search, search_queries  # noqa: F401  (the registry loads the queries)
+    from lorekeep.sources.views import load
+
+    edges, mentions = load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions")
+    q, memories = search_queries.queries_of(spark, sf_dir), load(spark, sf_dir, "memories")
+    want = dense(graph.entity_edges(edges, mentions).collect(), {r.qid: {r.qid: 1.0} for r in q.collect()})
+    want = {k: v for k, v in want.items() if not k[1].startswith("e")}
+    got = {(r.qid, r.id): r.score for r in search_queries.graph_entity_pagerank(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+    given = []
+    monkeypatch.setattr(search.graph, "pagerank", lambda seeds, walk, *a, real=graph.pagerank, **k: given.append((seeds, walk)) or real(seeds, walk, *a, **k))
+    lane = search.lanes_of(q, memories, edges, 10_000)["graph"].collect()
+    seeds = {}
+    for r in given[0][0].collect():
+        seeds.setdefault(r.qid, {})[r.id] = r.mass
+    want = dense(given[0][1].collect(), seeds)
+    assert {(r.qid, r.id) for r in lane} <= want.keys() and lane
+    assert all(abs(r.score - want[r.qid, r.id]) < 1e-8 for r in lane)
+
+
 def test_chains(spark):
     m = spark.createDataFrame([(i, "S", "job", None, DAY + dt.timedelta(days=n), None) for n, i in enumerate("cabd")] + [("x", "S", "pet", None, DAY, None), ("y", "T", "job", None, DAY, DAY)], "id string, subject string, attribute string, event_date timestamp, created_at timestamp, valid_to timestamp")
     e = spark.createDataFrame([("b", "a", "updates"), ("c", "b", "updates"), ("a", "c", "updates"), ("x", "a", "updates"), ("d", "a", "part_of")], "src string, dst string, relation string")
