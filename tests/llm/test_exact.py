@@ -210,11 +210,43 @@ def test_mixing(spark, sf_dir):
     assert all(abs(taken[s] - target[s]) <= longest[s] for s in per)
 
 
+def test_mixing_probabilities(spark):
+    """Over 400 sources of the same lengths each document is taken as often as its probability says, and unequally."""
+    sizes = [3, 5, 8, 10, 14, 20, 24, 33, 47, 60, 90, 200]
+    rows = [(k * 100 + i, f"s{k:04d}", "w " * n) for k in range(1200) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.allocate(docs, mixing.plan_for(docs)).select("doc_id", "source", "__mix.*").collect()
+    seen = {}
+    for r in got:
+        if int(r.source[1:]) % 3 == 2:  # the third weight: a target of under its size
+            seen.setdefault(r.size, []).append((r.p, r.copies))
+    p = {n: x[0][0] for n, x in seen.items()}
+    assert len({round(x, 6) for x in p.values()}) > 8 and p[3] < p[10] < p[33] < p[90] <= p[200]
+    for n, x in seen.items():
+        assert len(x) == 400 and all(abs(a - p[n]) < 1e-9 for a, _ in x)
+        assert abs(np.mean([c for _, c in x]) - p[n]) < 0.1, (n, p[n], np.mean([c for _, c in x]))
+    assert abs(sum(n * x for n, x in p.items()) - [r.target for r in got if r.source == "s0002"][0]) < 1e-6
+
+
 def test_mixing_edges(spark):
-    docs = edge_docs(spark).withColumn("size", mixing.n_words())
-    out = mixing.copies_of(docs.drop("target", "copies"), mixing.sampling_plan(docs.select("doc_id", "source", "size")))
-    assert out.count() == docs.count() and {r.copies for r in out.collect()} <= {0, 1, 2}
-    assert mixing.copies_of(docs.limit(0).drop("copies", "target"), mixing.sampling_plan(docs.limit(0).select("doc_id", "source", "size"))).count() == 0
+    names = ["copies", "target", "source_size", "p", "rest", "whole", "v", "bin", "cut_bin", "size", "ties", "scale"]
+    docs = edge_docs(spark).withColumns({n: F.concat(F.lit("mine "), F.col("doc_id").cast("string")) for n in names})
+    out = mixing.allocate(docs, mixing.plan_for(docs), into="mix")
+    assert out.columns == [*docs.columns, "mix"] and {r.mix.copies for r in out.collect()} <= {0, 1, 2}
+    assert sorted(map(repr, out.drop("mix").collect())) == sorted(map(repr, docs.collect()))
+    assert set(map(repr, mixing.mixed(docs).collect())) <= set(map(repr, docs.collect()))
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_mixing_equal_rows(spark):
+    """Equal rows that straddle a source's cut are taken as far as they fit; so are null ids of one text."""
+    rows = [(7, "a", "x " * 10)] * 90 + [(None, "b", "y " * 10)] * 300 + [(k, "c", "z " * (k % 9 + 1)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.allocate(docs, mixing.plan_for(docs)).select("source", "__mix.*").collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 10
 
 
 def test_sharding(spark, sf_dir):
