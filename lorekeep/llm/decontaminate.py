@@ -6,8 +6,9 @@ index that is broadcast; a hit is then extended to every 10-word window that cov
 the benchmark's windows and compared word by word. An item of fewer than 10 words is a single window: all
 document grams of its length are looked up.
 
-The index is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: one for common benchmarks;
-of a larger benchmark each block is one more pass that the rows stream through. No document is shuffled.
+A benchmark of up to ``BLOCK_BYTES`` of text is one index, and one pass marks the documents. A larger one is cut
+into blocks of that size by the hash of its texts: one block after the other is indexed, broadcast, looked up in one pass
+that writes the hits of the documents that have any, and dropped again. No document is shuffled but to join its hits.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, with_columns
-from .tokens import Words, gram_hash, words
+from .common import materialize, steps, table
+from .tokens import SLICE_BYTES, Words, gram_hash, slices, words
 
 WINDOW = 10
 GRAM = 5
@@ -110,62 +111,111 @@ def hits(index: Index, w: Words, window: int = WINDOW, gram: int = GRAM) -> tupl
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[str], list[bytes]]]:
-    """The benchmark in blocks that are dealt by item text, each about ``block_bytes`` at most."""
-    slim = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
-    held = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-held // block_bytes))
-    for k in range(parts):
-        rows = slim.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toArrow() if parts > 1 else slim.toArrow()
-        yield rows.column("item_id").to_pylist(), rows.column("text").to_pylist()
+def text_hits(index: Index, text: bytes) -> tuple[int, np.ndarray, set[str]]:
+    """Words of a long text, the numbers of those that are hit, and the items, slice by slice. Slices overlap by a word less than
+    the longest window, so each window lies whole in one of them."""
+    seen, hit, items = 0, [], set()
+    for w, held in slices(text, lead=max(index.lengths, default=1) - 1):
+        found, of = hits(index, w)
+        hit.append(np.flatnonzero(found) + seen - held)
+        items |= of.get(0, set())
+        seen += len(w.hash) - held
+    return seen, np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64), items
+
 
+def batch_hits(index: Index, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+    """(words, numbers of the hit words, items) of each text."""
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+        yield text_hits(index, texts[0])
+        return
+    w = words(texts)
+    hit, items = hits(index, w)
+    at = np.flatnonzero(hit)
+    cuts = np.searchsorted(at, w.first)
+    for i, (first, count) in enumerate(zip(w.first.tolist(), w.count.tolist(), strict=True)):
+        yield count, at[cuts[i] : np.searchsorted(at, first + count)] - first, items.get(i, set())
 
-def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated added (columns of these names are
-    replaced). benchmark: item_id, text.
 
-    A null text or item has no words. A null item_id is reported as ``null``. Rows of one item_id are
-    one item. Repeated document rows are marked each. An empty benchmark hits nothing; the hash is then
-    that of the empty text."""
+ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+FIELDS = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
+
+
+def _verdict(n_words: int, n_hit: int, items: list[str]) -> dict:
+    return {"n_words": n_words, "n_hit": n_hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "contaminated": n_hit > 0}
+
+
+def _slim(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
+
+
+def _index(rows: DataFrame) -> Index:
+    got = rows.toArrow()
+    return build_index(got.column("item_id").to_pylist(), got.column("text").to_pylist())
+
+
+def _in_one(docs: DataFrame, index: Index, into: str) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    schema = docs.withColumn(into, F.lit(None).cast(f"struct<{', '.join(f'{k}: {t}' for k, t in FIELDS.items())}>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                made = pa.array([_verdict(n, len(at), sorted(items)) for n, at, items in batch_hits(held.value, texts)], ARROW)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, into])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _in_blocks(docs: DataFrame, slim: DataFrame, parts: int, into: str) -> DataFrame:
+    """The same for a benchmark of several blocks: documents are numbered in a written table, and the hits of all blocks are joined
+    to them by that number."""
     spark = docs.sparkSession
-    ours = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
-    df = docs.drop(*ours, "__hits", "__items")
-    base = list(df.columns)
-    df = df.withColumns({"__hits": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    blocks = [spark.sparkContext.broadcast(build_index(*x)) for x in _blocks(benchmark, block_bytes)]
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
-        out = df.select(*base, *(F.lit(None).cast(t).alias(c) for c, t in ours.items())) if final else df
-        names = out.columns
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, final=final, names=names) -> Iterator[pa.RecordBatch]:
+    rows = materialize(docs.withColumn("__leak_row", F.monotonically_increasing_id()), "leak-rows")
+    dealt = materialize(slim.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts))), "leak-items")
+    found = None
+    for k in range(parts):
+        held = spark.sparkContext.broadcast(_index(dealt.where(F.col("part") == k)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in steps(batch, "text"):
-                    w = words(texts)
-                    hit, items = hits(block.value, w)
-                    before, listed = part.column("__hits").to_pylist(), part.column("__items").to_pylist()
-                    for i, (old, ids) in enumerate(zip(before, listed, strict=True)):
-                        if old:
-                            hit[np.array(old) + w.first[i]] = True
-                        if ids:
-                            items.setdefault(i, set()).update(ids)
-                    if final:
-                        n_hit = np.bincount(w.doc[hit], minlength=len(texts)).astype(np.int64)
-                        sha = [hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest() for i in range(len(texts))]
-                        new = {"n_words": pa.array(w.count), "n_hit": pa.array(n_hit), "n_items": pa.array([len(items.get(i, ())) for i in range(len(texts))], pa.int64()), "items_sha256": pa.array(sha), "contaminated": pa.array(n_hit > 0)}
-                    else:
-                        new = {"__hits": pa.array([(np.flatnonzero(hit[f : f + c])).tolist() for f, c in zip(w.first, w.count, strict=True)], pa.list_(pa.int32())), "__items": pa.array([sorted(items.get(i, ())) for i in range(len(texts))], pa.list_(pa.string()))}
-                    have = dict(zip(part.schema.names, part.columns, strict=True)) | new
-                    yield pa.RecordBatch.from_arrays([have[c] for c in names], names=names)
-
-        df = df.mapInArrow(run, out.schema)
-    return df
+                    some = [(row, at.tolist(), sorted(items)) for row, (_, at, items) in zip(part.column("__leak_row").to_pylist(), batch_hits(held.value, texts), strict=True) if len(at)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.list_(pa.int32())), pa.array([x[2] for x in some], pa.list_(pa.string()))], names=["__leak_row", "hit", "items"])
+
+        one = materialize(rows.select("__leak_row", "text").mapInArrow(run, "__leak_row long, hit array<int>, items array<string>"), "leak-hits")
+        held.destroy()
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy("__leak_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("__leak_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__leak_items"))
+    joined = rows.join(merged, "__leak_row", "left")
+    items = F.coalesce("__leak_items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("__leak_hit", F.lit(0))
+    made = F.struct(n_words().alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return joined.select(*docs.columns, made.alias(into))
+
+
+def n_words(text: str = "text") -> Column:
+    """Words of a text by the contract: runs of ASCII letters, digits and all that isn't ASCII (null: 0)."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, into: str = "__leak") -> DataFrame:
+    """``docs`` (text and any others) with one more column, the struct ``into``: n_words, n_hit, n_items, items_sha256 and
+    contaminated. benchmark: item_id, text.
+
+    A null text or item has no words. A null item_id is reported as ``null``. Rows of one item_id are
+    one item. Repeated document rows are marked each. An empty benchmark hits nothing; the hash is then
+    that of the empty text. Long texts are read in slices. Other columns are left as they are, whatever their
+    names; a column ``into`` is replaced. An empty table gives an empty table."""
+    docs, slim = docs.drop(into), _slim(benchmark)
+    held = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-held // block_bytes))
+    return _in_one(docs, _index(slim), into) if parts == 1 else _in_blocks(docs, slim, parts, into)
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mark(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return mark(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "__leak.*")
 
 
 OP8_SQL = r"""

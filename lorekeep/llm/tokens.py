@@ -2,11 +2,15 @@
 
 Texts are laid end to end in one byte array; a word is a maximal run of bytes whose class is not 0.
 Its hash is a polynomial over its bytes from running sums, so that a step costs a few array passes
-however many words it holds. Hashes pick candidates; whoever needs certainty compares the bytes.
+however many words it holds; the sums are taken in blocks and kept at the ends of words alone, so a byte costs a few
+bytes of memory. A long text is read in slices that end between words (see ``slices``). Hashes pick candidates; whoever
+needs certainty compares the bytes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,6 +51,12 @@ def classes_of(word: str) -> np.ndarray:
     return np.where(letters, 1, np.where(byte > 32, 2, 0)).astype(np.uint8)
 
 
+#: Bytes whose running sums are held at once; bytes of one slice of a long text.
+BLOCK_BYTES = 1 << 18
+SLICE_BYTES = 1 << 20
+_GAP = {w: re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in np.flatnonzero(classes_of(w) == 0).tolist()) + b"]") for w in ("space", "alnum", "runs")}
+
+
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
@@ -66,6 +76,29 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word: the sum of its bytes' values times growing powers, brought back to power 0 at its start."""
+    up, down = _powers(_BASE, BLOCK_BYTES + 1), _powers(_INVERSE, BLOCK_BYTES + 1)
+    at_start, at_end, back = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    carried, power, inverse = np.uint64(0), np.uint64(1), np.uint64(1)
+    values = _byte_values()
+    i = j = 0
+    for at in range(0, len(data), BLOCK_BYTES):
+        part = data[at : at + BLOCK_BYTES]
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = carried
+        np.cumsum(up[: len(part)] * values[part] * power, out=total[1:])
+        total[1:] += carried
+        stop = at + len(part)
+        i2, j2 = np.searchsorted(start, stop), np.searchsorted(end, stop, side="right")
+        at_start[i:i2] = total[start[i:i2] - at]
+        back[i:i2] = down[start[i:i2] - at] * inverse
+        at_end[j:j2] = total[end[j:j2] - at]
+        i, j, carried = i2, j2, total[-1]
+        power, inverse = power * up[len(part)], inverse * down[len(part)]
+    return mix((at_end - at_start) * back)
+
+
 def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     data = LOWER[data] if lower else data
@@ -74,12 +107,8 @@ def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
     kinds = np.append(kind, np.uint8(0))[edge]
     start = edge[kinds > 0]
     end = edge[np.flatnonzero(kinds > 0) + 1]
-    total = np.zeros(len(data) + 1, np.uint64)
-    weighted = _powers(_BASE, len(data))
-    weighted *= _byte_values()[data]
-    np.cumsum(weighted, out=total[1:])
-    del weighted
-    hashed = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start])
+    with np.errstate(over="ignore"):
+        hashed = _word_hashes(data, start, end)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     stops = np.cumsum(sizes)
     doc = np.searchsorted(stops, start, side="right")
@@ -87,6 +116,23 @@ def words(texts: list[bytes], word: str = "alnum", lower: bool = True) -> Words:
     return Words(data, start, end, doc, hashed, count, np.cumsum(count) - count, stops)
 
 
+def slices(text: bytes, word: str = "alnum", lower: bool = True, lead: int = 0, size: int | None = None) -> Iterator[tuple[Words, int]]:
+    """The words of a long text, a slice of about ``size`` bytes at a time: (words, how many of the first belong to the
+    slice before). A slice ends between words, however far the next gap is, and holds the last ``lead`` words of those before it."""
+    size = SLICE_BYTES if size is None else size
+    at, tail = 0, b""
+    while at < len(text):
+        gap = _GAP[word].search(text, at + size) if at + size < len(text) else None
+        end = gap.end() if gap else len(text)
+        w = words([tail + text[at:end]], word, lower)
+        held = len(words([tail], word, lower).hash) if tail else 0
+        yield w, held
+        if lead:
+            first = w.start[max(0, len(w.start) - lead)] if len(w.start) else len(tail) + end - at
+            tail = (tail + text[at:end])[first:]
+        at = end
+
+
 def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
     """Hash of the k words from each position in ``at`` on (None: from every position that has k)."""
     out = np.zeros(max(0, len(hashes) - k + 1) if at is None else len(at), np.uint64)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, decontaminate, graph, mixing, paragraphs, quality_rules, sharding, simhash
+from lorekeep.llm import chat, decontaminate, graph, mixing, paragraphs, quality_rules, sharding, simhash, tokens
 from lorekeep.llm.common import table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -123,19 +123,37 @@ def test_winnowing(spark, sf_dir, block_bytes):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     short = spark.createDataFrame([(900, "of the"), (901, None), (902, ""), (903, "the and of"), (900, "Of THE")], "item_id long, text string")
     items = items.unionByName(short)
-    got = decontaminate.mark(docs, items, block_bytes).select(*OURS).collect()
+    got = decontaminate.mark(docs, items, block_bytes).select("doc_id", "__leak.*").collect()
     want = brute_decontaminate([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert sorted((tuple(r) for r in got), key=repr) == want
 
 
-def test_winnowing_edges(spark):
-    docs = edge_docs(spark)
-    items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 515))), (2, "a b c a"), (3, "one")], "item_id long, text string")
-    got = decontaminate.mark(docs, items)
-    assert got.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "n_hit"]
-    assert sorted((tuple(r) for r in got.select(*OURS).collect()), key=repr) == brute_decontaminate([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
-    assert decontaminate.mark(docs, items.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.mark(docs.limit(0), items).count() == 0
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 8])
+def test_winnowing_edges(spark, block_bytes):
+    docs = edge_docs(spark).withColumns({n: F.lit("mine") for n in ("n_words", "n_items", "items_sha256", "contaminated", "hit", "items", "part")})
+    items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 515))), (2, "a b c a"), (3, "one"), (None, "Text")], "item_id long, text string")
+    got = decontaminate.mark(docs, items, block_bytes, into="leak")
+    assert got.columns == [*docs.columns, "leak"] and sorted(map(repr, got.drop("leak").collect())) == sorted(map(repr, docs.collect()))
+    want = brute_decontaminate([(r.doc_id, r.text) for r in docs.collect()], [("null" if r.item_id is None else r.item_id, r.text) for r in items.collect()])
+    assert sorted((tuple(r) for r in got.select("doc_id", "leak.*").collect()), key=repr) == want
+    assert decontaminate.mark(docs, items.limit(0)).where("__leak.contaminated").count() == 0
+    assert decontaminate.mark(docs.limit(0), items, block_bytes).count() == 0
+
+
+def test_long_texts_in_slices(monkeypatch):
+    """A long text has the same hits, however small its slices."""
+    rng = np.random.default_rng(2)
+    told = [f"w{k}" for k in rng.integers(0, 3000, 40_000)]
+    text = " ".join(told).encode()
+    index = decontaminate.build_index(["a", "b", "c"], [" ".join(told[100:140]).encode(), b"w1 w2", " ".join(told[20_000:20_011]).encode()])
+    whole = next(iter(decontaminate.batch_hits(index, [text[: decontaminate.SLICE_BYTES]])))
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 500)
+    n, at, items = decontaminate.text_hits(index, text)
+    assert (n, at.tolist(), items) == (whole[0], whole[1].tolist(), whole[2])
+    for word in ("alnum", "space", "runs"):
+        odd = b"  x" + text[:3000] + b"\n" + b"y" * 5000 + b", z..! "
+        parts = [w.hash[held:] for w, held in tokens.slices(odd, word, lead=3)]
+        assert np.array_equal(np.concatenate(parts), tokens.words([odd], word).hash)
 
 
 def brute_base(text):
