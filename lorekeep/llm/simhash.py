@@ -13,6 +13,7 @@ Documents of equal fingerprint are one node; trees give spanning links of a shar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, table, with_columns
+from .common import materialize, steps, table
 from .graph import components, local_roots
+from .tokens import SLICE_BYTES
 
 RADIUS = 2
 SHINGLE = 3
@@ -31,36 +33,47 @@ SHARD_ROWS = 8192
 FRONTIER_ROWS = 1 << 16
 #: Fingerprints that a task lays out as trees at once, besides the shard it is at.
 TREE_ROWS = 65536
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' XXH64 (seed 42), repeats included; no words: 0."""
-    found = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if not found:
-        return 0
-    if len(found) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(found), 42)
+def _counted(found: list[bytes], shingle: int, total: np.ndarray) -> int:
+    """Adds the bits of the shingles' XXH64 (seed 42) to ``total``; returns how many there are."""
     parts = [found[i:] for i in range(shingle)]
-    digest, total, n = xxhash.xxh64_digest, np.zeros(64, np.int64), len(found) - shingle + 1
-    joined = map(b" ".join, zip(*parts, strict=False))
-    raw = b"".join([digest(s, 42) for s in joined])  # big-endian: bit 63 first
+    digest, n = xxhash.xxh64_digest, max(0, len(found) - shingle + 1)
+    raw = b"".join([digest(s, 42) for s in map(b" ".join, zip(*parts, strict=False))])  # big-endian: bit 63 first
     for at in range(0, len(raw), 8 << 14):
         total += np.unpackbits(np.frombuffer(raw[at : at + (8 << 14)], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return n
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' XXH64, repeats included; no words: 0. A long text is read in slices."""
+    total, n, at, held = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text) or not at:
+        gap = GAP.search(text, at + SLICE_BYTES) if at + SLICE_BYTES < len(text) else None
+        end = gap.end() if gap else len(text)
+        held += text[at:end].lower().split()  # of bytes: A-Z only, and ASCII white space only
+        if end < len(text):
+            n += _counted(held, shingle, total)
+            held = held[-(shingle - 1) :]
+        elif not n and len(held) <= shingle:
+            return xxhash.xxh64_intdigest(b" ".join(held), 42) if held else 0
+        at = max(end, 1)
+    n += _counted(held, shingle, total)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null text has no words."""
-    slim = docs.select("doc_id", "text")
-    schema = pa.schema([("doc_id", slim.schema["doc_id"].dataType.simpleString() == "bigint" and pa.int64() or pa.string()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp, the fingerprint as a signed long. A null text has no words."""
+    slim = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield with_columns(part, schema, fp=pa.array(fps))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(fps)], names=[*keep, "fp"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    return slim.mapInArrow(run, slim.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def _grow(fps: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -176,18 +189,36 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id that links reach.
+def near_groups(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, fp, component (the least fingerprint of the group) and component_id (the smallest doc_id that links reach) for
+    every row. docs: doc_id (of any type that has an order), text, and what ``keep`` names.
 
     A null or wordless text has fingerprint 0 and is linked like any other. Rows that repeat a doc_id
     each get a row. A null doc_id never leads a group that has another id; a group of null ids only
-    has a null component_id. An empty table gives an empty table."""
-    fps = materialize(fingerprints(docs), "fingerprints")
+    has a null component_id. An empty table gives an empty table. Long texts are read in slices."""
+    fps = materialize(fingerprints(docs, keep=keep), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return fps.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return fps.join(named.join(least, "component").select("fp", "component", "component_id"), "fp").select(*keep, "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id (null last), then of the least
+    text hash; of rows equal in both, any one. docs: doc_id, text and any others, whatever their names."""
+    group = near_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), radius, ("doc_id", "digest"))
+    same = group.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "n")
+    lead = same.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__near_id"), F.col("k.digest").alias("__near_digest"), F.col("k.n").alias("__near_n"))
+    lead = materialize(lead, "near-leaders")
+    rows = docs.withColumn("__near_hash", F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_hash") == F.col("__near_digest"))
+    single = rows.join(lead.where("__near_n = 1"), match, "left_semi")
+    repeated = lead.where("__near_n > 1")
+    if repeated.isEmpty():
+        return single.select(*docs.columns)
+    return single.unionByName(rows.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "__near_hash"])).select(*docs.columns)
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

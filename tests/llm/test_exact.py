@@ -68,6 +68,27 @@ def test_simhash_edges(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_long_fingerprints(monkeypatch):
+    """A long text has the same fingerprint, however small its slices."""
+    rng = np.random.default_rng(4)
+    texts = [b" ".join(b"W%d" % k for k in rng.integers(0, 999, n)) + b"\n" for n in (0, 1, 2, 3, 4, 5, 40, 5000)] + [b"x" * 3000, b" " * 3000, b"a " + b"y" * 2000 + b" b c d"]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 7)
+    assert [simhash.fingerprint(t) for t in texts] == whole
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "date"])
+def test_near_duplicates_by_any_id(spark, kind):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (1, "other words are here", 3), (2, "a b c d", 4), (None, "a b c d", 5), (None, "no one else says this", 6), (None, "no one else says this", 7), (5, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, component int")
+    docs = docs.withColumn("doc_id", F.expr("date'2024-01-01' + doc_id") if kind == "date" else F.col("doc_id").cast(kind))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.text or "") for r in got.collect()) == ["", "a b c d", "no one else says this", "other words are here"]
+    assert [r.component for r in got.collect() if r.text == "a b c d"][0] in (1, 2)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bk_tree_slices(spark, monkeypatch):
     """A dense cluster over many slices and small frontiers has the links of all pairs."""
     monkeypatch.setattr(simhash, "SHARD_ROWS", 50)
