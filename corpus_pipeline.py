@@ -1,12 +1,15 @@
 """A corpus run in five stages: quality classifier, SimHash near-duplicates, benchmark decontamination, mixing
-sources to target weights, sharding. Each stage works on all that the one before it kept."""
+sources to target weights, sharding. Each stage works on all that the one before it kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and an empty table (which gives an
+empty table), and returns the columns of its input as they are, whatever else a table has; the last one adds ``shard``, in place of a
+column of that name. What a stage does with nulls and ties is its operator's rule."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorekeep.llm import decontaminate, mixing, nbsvm, sharding, simhash
 from lorekeep.llm.common import materialize, table
@@ -21,26 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest id; of rows that repeat an id, one.
-    Rows without an id are kept: nothing tells them apart."""
-    leaders = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: that of the smallest doc_id (null last), then of the least text hash."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("not __leak.contaminated").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that each source comes near its target."""
-    sized = materialize(docs.select("doc_id", "source", mixing.n_words().alias("size")), "mix-sizes")
-    plan = mixing.sampling_plan(sized)
-    copies = mixing.copies_of(docs.select(*docs.columns), plan)
-    return copies.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
