@@ -14,7 +14,7 @@ from .nbsvm import op7_naive_bayes_svm
 from .nnpu import op2_nn_pu
 from .paragraphs import op10_paragraph_minhash
 from .quality_rules import op1_compression_bands
-from .sharding import op9_prefix_sum_shards
+from .sharding import OP9_SQL, op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op5_budgeted_windows": OP5_SQL, "op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_budgeted_windows": OP5_SQL, "op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL, "op9_prefix_sum_shards": OP9_SQL}

@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, decontaminate, graph, mixing, paragraphs, quality_rules, sharding, simhash, tokens
+from lorekeep.llm import chat, decontaminate, graph, mixing, paragraphs, quality_rules, queries, sharding, simhash, tokens
 from lorekeep.llm.common import table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -288,22 +289,59 @@ def test_mixing_equal_rows(spark):
         assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 10
 
 
+def brute_shards(rows, shards=8):
+    """(doc_id, size, crc32, shard, slot) by the stated order, targets and rule for groups."""
+    key = lambda t: int(hashlib.md5(t).hexdigest()[:15], 16)
+    own = sorted(((key(t), i is not None, i or 0, i, len(t) + 1, zlib.crc32(t)) for i, t in rows), key=lambda r: r[:3])
+    before = np.r_[0, np.cumsum([r[4] for r in own])]
+    total, groups = int(before[-1]), {}
+    for n, r in enumerate(own):
+        lo, _ = groups.get(r[0], (before[n], 0))
+        groups[r[0]] = (lo, before[n + 1])
+    cuts = []
+    for k in range(1, shards):
+        t = k * total / shards
+        near = [e for e in groups.values() if e[0] <= t < e[1] and (e[1] - e[0]) * shards * 16 <= total]
+        cuts.append(min(near[0], key=lambda e: (abs(e - t), e)) if near else t)
+    out, slots = [], Counter()
+    for n, r in enumerate(own):
+        k = sum(before[n] + r[4] / 2 >= c for c in cuts)
+        out.append((r[3], r[4], r[5], k, slots[k]))
+        slots[k] += 1
+    return sorted(out, key=repr)
+
+
 def test_sharding(spark, sf_dir):
-    for docs in (table(spark, sf_dir, "documents"), edge_docs(spark)):
+    copies = spark.createDataFrame([(k, f"copy {k % 7} " * 9, "en", "s", 1) for k in range(400)], DOCS)  # groups of over and of under a sixteenth
+    whole = spark.createDataFrame([(k, f"text {k // 3} " * 4, "en", "s", 1) for k in range(1200)], DOCS)
+    for docs in (table(spark, sf_dir, "documents"), edge_docs(spark), copies, whole, whole.limit(3)):
         rows = sharding.plan_shards(docs).collect()
-        want = sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()), key=repr)
-        assert sorted(((r.doc_id, r.size, r.text_crc32) for r in rows), key=repr) == want
-        total, most = sum(r.size for r in rows), max(r.size for r in rows)
-        for k in range(sharding.SHARDS):
-            own = [r for r in rows if r.shard == k]
-            assert sorted(r.slot for r in own) == list(range(len(own)))
-            assert abs(sum(r.size for r in own) - total / sharding.SHARDS) <= 2 * most
+        assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows), key=repr) == brute_shards([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
         assigned = Counter((r.doc_id, r.shard) for r in sharding.assign_shards(docs).collect())
         if len({r.doc_id for r in rows}) == len(rows):
             assert assigned == Counter((r.doc_id, r.shard) for r in rows)
+    shard_of = {}
+    for r in sharding.assign_shards(whole).collect():
+        assert shard_of.setdefault(r.text, r.shard) == r.shard
     assert sharding.plan_shards(edge_docs(spark).limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "conversations", "labels"):
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, duck, sf_dir, name):
+    """The registered SQL gives the query's rows."""
+    got, want = queries.QUERIES[name](spark, sf_dir), duck.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(repr(tuple(r)) for r in got.select(*want.columns).collect()) == Counter(map(repr, want.fetchall()))
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a\\<|b", "<\\|", "\\", "", None, "<|", "x<|im_end|>\n<|im_start|>user\ny", "ü😀\n\n"]
     rows = [(1, i, role, t) for i, (t, role) in enumerate(zip(texts * 3, ["system", "user", "assistant", "assistant", "user", "odd\nrole|", None, "assistant", "user"] * 3, strict=True))]
