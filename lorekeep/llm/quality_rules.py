@@ -1,30 +1,38 @@
 """Quality rules: base counts of words, lines and repeats, and zstandard compression bands.
 
-A text's compression ratio (UTF-8 bytes by zstandard bytes) is held against a band of its length class, as a
-whole and in chunks: repetitive text compresses too well, incompressible text (keys, base64) too badly. Chunks
-catch a repetitive or random part inside a document whose whole ratio is in its band. Hexadecimal digits compress as
-prose does (1.87 to 1.93 at 2 KB), so no ratio tells them apart.
+A text's compression ratio (UTF-8 bytes by zstandard bytes) is held against limits that depend on its length, as a
+whole and in fixed chunks: repetitive text compresses too well, incompressible text (keys, base64) too badly. Chunks
+catch a repetitive or random part inside a document whose whole ratio is in its band; every byte of a text of more than one
+chunk is in one. Hexadecimal digits compress as prose does (1.87 to 1.93 at 2 KB), so no ratio tells them apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import steps, table
+from .tokens import SLICE_BYTES, classes_of, gram_hash, slices
 
-SYMBOLS = b"#*$%&|<>"
+SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
+CONTINUED = bytes(range(0x80, 0xC0))  # UTF-8 bytes that begin no character
 LEVEL = 3
-CHUNK_BYTES = 2048
-#: (bytes up to, lowest ratio, highest ratio) of whole texts by length; prose rises slowly with length.
-BANDS = ((128, 0.55, 2.0), (512, 1.1, 2.6), (2048, 1.35, 3.6), (8192, 1.45, 4.5), (65536, 1.5, 6.0), (1 << 62, 1.6, 8.0))
-#: (bytes up to, lowest ratio, highest ratio) of chunks. Measured: base64 at most 1.19, 1.26 and 1.30 at 512, 1024 and 2048 bytes,
-#: prose at least 1.40, 1.66 and 1.89.
-CHUNK_BANDS = ((1023, 1.27, 3.0), (2047, 1.4, 3.6), (1 << 62, 1.45, 4.0))
+#: (bytes, lowest ratio, highest ratio) of texts and of chunks; between two lengths the limits lie on a line over log2(bytes).
+#: Measured at 128, 256, 512, 1024 and 2048 bytes: base64 at most 0.98, 1.07, 1.19, 1.26 and 1.30; prose of four languages 1.00 to 1.56,
+#: 1.22 to 1.75, 1.43 to 1.97, 1.67 to 2.23 and 1.91 to 2.41, and up to 2.9 at 64 KB; eight words in any order at least 1.42, 1.98, 2.68,
+#: 3.89 and 4.65.
+LIMITS = ((16, 0.3, 1.5), (128, 0.99, 1.8), (256, 1.14, 2.1), (512, 1.3, 2.4), (1024, 1.45, 2.9), (2048, 1.55, 3.2), (8192, 1.65, 3.6), (65536, 1.7, 4.2), (1 << 20, 1.7, 5.0))
+#: (bytes up to, chunk) of texts: shorter ones have shorter chunks.
+CHUNKS = ((4096, 512), (16384, 1024), (1 << 62, 2048))
+#: A rest of fewer bytes is read with the chunk before it.
+MIN_CHUNK = 256
 #: The share of a text's bytes that may be in chunks outside their band.
 BAD_CHUNKS = 0.25
 MIN_WORDS = 50
@@ -33,10 +41,13 @@ MAX_REPEAT_PERCENT = 50
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the contract; words are split at ASCII white space."""
-    found = text.split()
-    chars = sum(map(len, found)) if text.isascii() else sum(len(w.decode()) for w in found)
+    chars = len(text.translate(None, SPACES + CONTINUED))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = Counter(line for line in text.split(b"\n") if line.strip(b" \t\n\r\x0b\x0c"))
+    if len(text) > SLICE_BYTES:
+        n, repeats = _long_words(text)
+        return n, chars, symbols, _long_lines(text), repeats
+    found = text.split()
+    lines = Counter(line for line in text.split(b"\n") if line.strip(SPACES))
     repeats = 0
     if len(found) > 3:  # two windows at least
         windows = Counter(zip(found, found[1:], found[2:], strict=False))
@@ -49,16 +60,51 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(found), chars, symbols, lines.total() - len(lines), repeats
 
 
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which of the values occur more than once."""
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(hashes), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def _long_words(text: bytes) -> tuple[int, int]:
+    """n_words and n_repeat_words of a long text, from 64-bit hashes of its words, read in slices."""
+    hashes = np.concatenate([w.hash for w, _ in slices(text, "space", False)])
+    if len(hashes) < 4:
+        return len(hashes), 0
+    again = _repeated(gram_hash(hashes, None, 3))
+    hit = np.zeros(len(hashes), bool)
+    for j in range(3):
+        hit[j : j + len(again)] |= again
+    return len(hashes), int(hit.sum())
+
+
+def _long_lines(text: bytes) -> int:
+    """n_dup_lines of a long text, from 64-bit hashes of its lines, read in slices."""
+    found, visible = [], classes_of("space")
+    for w, _ in slices(text, "line", False):
+        seen = np.r_[0, np.cumsum(visible[w.data], dtype=np.int32)]
+        found.append(w.hash[seen[w.end] > seen[w.start]])
+    hashes = np.concatenate(found)
+    return len(hashes) - len(np.unique(hashes))
+
+
+@lru_cache(maxsize=65536)
+def limits(size: int) -> tuple[float, float]:
+    """The lowest and highest ratio of a text or chunk of so many bytes."""
+    at = [math.log2(b) for b, _, _ in LIMITS]
+    return float(np.interp(math.log2(size), at, [x for _, x, _ in LIMITS])), float(np.interp(math.log2(size), at, [x for _, _, x in LIMITS]))
+
+
 def chunks_of(size: int) -> list[tuple[int, int]]:
-    """Bounds of the chunks of a text of 2 KB or more: CHUNK_BYTES each, half of it in texts of under four chunks. The last holds
-    what is left, with the one before it if that is under a quarter of CHUNK_BYTES."""
-    if size < CHUNK_BYTES:
-        return []
-    step = CHUNK_BYTES if size >= 4 * CHUNK_BYTES else CHUNK_BYTES // 2
+    """Bounds of the chunks of a text; none if one chunk would hold it whole."""
+    step = next(c for most, c in CHUNKS if size <= most)
     starts = list(range(0, size, step))
-    if size - starts[-1] < CHUNK_BYTES // 4:
+    if size - starts[-1] < MIN_CHUNK:
         starts.pop()
-    return list(zip(starts, [*starts[1:], size], strict=True))
+    return list(zip(starts, [*starts[1:], size], strict=True)) if len(starts) > 1 else []
 
 
 def band_verdict(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, int, int, str | None]:
@@ -66,11 +112,11 @@ def band_verdict(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float,
     if not text:
         return 1.0, 0, 0, None
     ratio = len(text) / len(squeeze.compress(text))
-    _, low, high = next(b for b in BANDS if len(text) <= b[0])
+    low, high = limits(len(text))
     bounds = chunks_of(len(text))
     bad = bad_bytes = 0
     for a, b in bounds:
-        _, least, most = next(x for x in CHUNK_BANDS if b - a <= x[0])
+        least, most = limits(b - a)
         if not least <= (b - a) / len(squeeze.compress(text[a:b])) <= most:
             bad, bad_bytes = bad + 1, bad_bytes + b - a
     reason = "incompressible" if ratio < low else "repetitive" if ratio > high else "chunks" if bad_bytes > BAD_CHUNKS * len(text) else None
@@ -82,7 +128,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
     kept is false for a text that fails the base rules or is outside its band. A null or empty text has no
     words, ratio 1 and fails the base rules. Repeated rows are judged each; an empty table gives an empty
-    table. One pass over the rows, nothing is shuffled."""
+    table. Other columns are not read, whatever their names. In texts of over 1 MB, words and lines are compared by 64-bit hashes.
+    One pass over the rows, nothing is shuffled."""
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

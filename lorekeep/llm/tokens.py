@@ -41,10 +41,13 @@ def _powers(base: np.uint64, size: int) -> np.ndarray:
 
 def classes_of(word: str) -> np.ndarray:
     """The class of each byte: 0 separates words. ``space``: all but ASCII white space is one class.
+    ``line``: all but the line feed.
     ``alnum``: ASCII letters, digits and all non-ASCII. ``runs``: as alnum, other visible bytes are class 2."""
     byte = np.arange(256)
     if word == "space":
         return (~np.isin(byte, [32, 9, 10, 11, 12, 13])).astype(np.uint8)
+    if word == "line":
+        return (byte != 10).astype(np.uint8)
     letters = (byte >= 0x80) | ((byte >= 0x30) & (byte <= 0x39)) | ((byte >= 0x61) & (byte <= 0x7A)) | ((byte >= 0x41) & (byte <= 0x5A))
     if word == "alnum":
         return letters.astype(np.uint8)
@@ -54,7 +57,7 @@ def classes_of(word: str) -> np.ndarray:
 #: Bytes whose running sums are held at once; bytes of one slice of a long text.
 BLOCK_BYTES = 1 << 18
 SLICE_BYTES = 1 << 20
-_GAP = {w: re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in np.flatnonzero(classes_of(w) == 0).tolist()) + b"]") for w in ("space", "alnum", "runs")}
+_GAP = {w: re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in np.flatnonzero(classes_of(w) == 0).tolist()) + b"]") for w in ("space", "line", "alnum", "runs")}
 
 
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)

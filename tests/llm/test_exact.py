@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from lorekeep.llm import chat, decontaminate, graph, mixing, paragraphs, quality_rules, queries, sharding, simhash, tokens
@@ -187,39 +189,85 @@ def brute_base(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n
 
 
+def brute_bands(text):
+    """Why the bands reject a text, by the stated limits: straight lines over log2(bytes) between the measured lengths."""
+    data, squeeze = (text or "").encode(), zstandard.ZstdCompressor(level=3)
+
+    def outside(part):
+        points, x = quality_rules.LIMITS, min(max(len(part), 16), 1 << 20)
+        k = max(i for i, p in enumerate(points) if p[0] <= x)
+        a, b = points[k], points[min(k + 1, len(points) - 1)]
+        share = math.log2(x / a[0]) / math.log2(b[0] / a[0]) if a != b else 0.0
+        ratio = len(part) / len(squeeze.compress(part))
+        return "incompressible" if ratio < a[1] + share * (b[1] - a[1]) else "repetitive" if ratio > a[2] + share * (b[2] - a[2]) else None
+
+    if not data:
+        return None
+    size = 512 if len(data) <= 4096 else 1024 if len(data) <= 16384 else 2048
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    if len(parts) > 1 and len(parts[-1]) < 256:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    bad = sum(len(p) for p in parts if outside(p)) if len(parts) > 1 else 0
+    return outside(data) or ("chunks" if bad > 0.25 * len(data) else None)
+
+
 def test_quality_rules(spark, sf_dir):
-    for docs in (table(spark, sf_dir, "documents"), edge_docs(spark)):
-        got = quality_rules.rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
-        want = [(r.doc_id, *brute_base(r.text)) for r in docs.collect()]
-        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    kept = quality_rules.rules(table(spark, sf_dir, "documents")).where("kept and base_failed").count()
-    assert kept == 0
-
-
-def test_compression_bands():
-    squeeze = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
-    rng = np.random.default_rng(0)
-    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "an", "er", "ing")]
-    prose = " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(900)).encode()
-    assert quality_rules.band_verdict(prose, squeeze)[3] is None
-    assert quality_rules.band_verdict(b"again and again " * 300, squeeze)[3] == "repetitive"
-    assert quality_rules.band_verdict(rng.bytes(3000), squeeze)[3] == "incompressible"
-    assert quality_rules.band_verdict(prose[:4096] + rng.bytes(4096), squeeze)[3] is not None
-
-
-@pytest.mark.parametrize(("size", "share"), [(20_000, 0.5), (20_000, 0.6), (8000, 0.6), (4000, 0.6), (2400, 0.6)])
+    """All columns of whole tables against the brute-force version."""
+    rng = np.random.default_rng(8)
+    coded = [(k, base64.b64encode(rng.bytes(int(n))).decode().replace("+", " ").replace("/", " ").replace("a", " ")) for k, n in enumerate(rng.integers(300, 4000, 20))]
+    few = [(50 + k, " ".join(rng.choice([f"w{j}" for j in range(int(m))], 400))) for k, m in enumerate((9, 12, 30, 60, 200))]
+    for docs in (table(spark, sf_dir, "documents"), edge_docs(spark), spark.createDataFrame(coded + few, "doc_id long, text string")):
+        got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.reason) for r in quality_rules.rules(docs).collect()]
+        want = []
+        for r in docs.collect():
+            base, reason = brute_base(r.text), brute_bands(r.text)
+            want.append((r.doc_id, *base, not base[-1] and reason is None, reason))
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    # rows that pass the base rules and fail the bands, and the reverse
+    assert {r[8] for r in got if not r[6]} >= {"incompressible", "repetitive"} and any(r[6] for r in got)
+    prose = [r for r in quality_rules.rules(table(spark, sf_dir, "documents")).collect() if not r.base_failed]
+    assert np.mean([r.kept for r in prose]) > 0.99
+    assert quality_rules.rules(docs.limit(0)).count() == 0
+
+
+def test_long_text_counts(monkeypatch):
+    """A long text's counts from hashes are those of its words and lines."""
+    rng = np.random.default_rng(1)
+    lines = [" ".join(f"ü{k}" for k in rng.integers(0, 40, n)) for n in rng.integers(0, 9, 3000)] + ["  ", "\t", ""] * 20
+    text = "\n".join(lines).encode()
+    want = quality_rules.base_counts(text[: quality_rules.SLICE_BYTES])
+    monkeypatch.setattr(quality_rules, "SLICE_BYTES", 10)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 999)
+    assert len(text) < 1 << 20 and quality_rules.base_counts(text) == want == (*brute_base(text.decode())[:5],)
+
+
+PROSE = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "an", "er", "ing")]
+
+
+@pytest.mark.parametrize("size", [300, 700, 1500, 2400, 4000, 8000, 20_000])
 @pytest.mark.parametrize("last", [True, False])
-def test_encoded_parts(size, share, last):
-    """Prose with a part of base64, at either end, is rejected; the prose alone is kept."""
-    squeeze = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
-    rng = np.random.default_rng(size)
-    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "an", "er", "ing")]
+def test_compression_bands(size, last):
+    """Prose alone is kept; with a part of base64 of three fifths, at either end, or of few words over and over, it is rejected."""
+    squeeze, rng = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL), np.random.default_rng(size)
     for _ in range(10):
-        prose = " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(size // 4)).encode()[:size]
-        coded = base64.b64encode(rng.bytes(size))[: int(size * share)]
+        prose = " ".join("".join(rng.choice(PROSE, rng.integers(1, 4))) for _ in range(size // 4)).encode()[:size]
+        coded = base64.b64encode(rng.bytes(size))[: int(size * 0.6)]
         rest = prose[: size - len(coded)]
+        again = (b"again and again " * size)[: int(size * 0.6)]
         assert quality_rules.band_verdict(prose, squeeze)[3] is None
-        assert quality_rules.band_verdict(rest + coded if last else coded + rest, squeeze)[3] is not None
+        assert quality_rules.band_verdict(coded, squeeze)[3] == "incompressible"
+        assert quality_rules.band_verdict(again, squeeze)[3] == "repetitive"
+        if size >= 700:
+            assert quality_rules.band_verdict(rest + coded if last else coded + rest, squeeze)[3] is not None
+            assert quality_rules.band_verdict(rest + again if last else again + rest, squeeze)[3] is not None
+
+
+def test_chunks_cover_the_text():
+    for size in (1, 255, 511, 512, 767, 768, 1024, 4096, 4097, 4400, 16384, 16385, 100_001):
+        bounds = quality_rules.chunks_of(size)
+        assert not bounds or (bounds[0][0], bounds[-1][1]) == (0, size) and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+        assert bounds or size < 768
+        assert all(b - a >= 256 for a, b in bounds)
 
 
 def test_mixing(spark, sf_dir):
