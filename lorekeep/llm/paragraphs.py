@@ -1,18 +1,22 @@
 """Repeated passages by MinHash banding over paragraphs.
 
 A text is cut into short paragraphs whose ends depend on nearby words alone: a sentence or line of at least
-``MIN_WORDS`` words is one, neighbouring shorter ones are one together, what is longer than ``LONG_WORDS`` words is cut at words whose
-hash is the least of its neighbourhood. A passage put into any text keeps its inner paragraphs. Then:
+``MIN_WORDS`` words is a block, neighbouring shorter ones are one together, and a block of more than ``LONG_WORDS`` words is cut
+after every word whose hash is the least of the ``CUT_REACH`` words on either side, all inside the block. A passage put into any
+text keeps its inner paragraphs, with or without sentence marks. Then:
 
 1. paragraphs are brought to one row each (hash, first and last document, min-hashes of the 5-word shingles);
    those in several documents are repeats, and those that share a min-hash with a different paragraph
    are candidates. Bands of one min-hash each are enough here, because unrelated texts share no 5-word shingle;
-2. a bitmap of bounded size of these paragraphs is broadcast, and a second pass over the texts keeps only
+2. a bitmap of these paragraphs, sized to their number up to a bound, is broadcast, and a second pass over the texts keeps only
    their places and shingles (a wrong bit costs a row, never a result: exact joins follow);
 3. candidates are banded again, more strictly, and colliding ones verified by exact Jaccard similarity in the
    task; a group gives spanning links, never its pairs, and a large group is dealt out in slices;
 4. classes are the components of the links; places whose class is in several documents and that lie side
    by side for ``MIN_PASSAGE`` words are removals, except for the first place of a class.
+
+Equal paragraphs are those equal in two independent 64-bit hashes of their words. A paragraph of fewer words than a shingle is
+too short to be told from chance; it leaves a gap of less than ``MAX_GAP`` words inside a passage, which is bridged.
 """
 
 from __future__ import annotations
@@ -27,19 +31,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, steps, table
 from .graph import components, local_roots
-from .tokens import gram_hash, mix, words
+from .tokens import SLICE_BYTES, WORD_GAP, gram_hash, mix, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
-MIN_WORDS = 8
-LONG_WORDS = 64
-CUT_REACH = 8
+MIN_WORDS = 6
+LONG_WORDS = 24
+CUT_REACH = 4
 #: A removal has at least so many words; the gap that may lie between two of its paragraphs.
 MIN_PASSAGE = 20
 MAX_GAP = 8
-BITMAP_BITS = 27
+#: Bits of the bitmap for each paragraph in it, and the bounds of its size: 128 KB and 32 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 28
 SLICE_ROWS = 2048
+#: A key with more than this share of all rows is joined by broadcast (there are fewer such keys than its inverse), not shuffled.
+HOT_SHARE = 1 / 1024
+#: Keys of documents without an id, made from their texts, lie at and above this number (or begin with this character).
+NAMELESS, NAMELESS_TEXT = 1 << 62, "\uffff"
 
 
 def tune_bands(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -52,43 +61,68 @@ STRICT_ROWS = 3
 STRICT_BANDS = tune_bands(STRICT_ROWS)
 
 
-def _local_minima(h: np.ndarray) -> np.ndarray:
-    """Words of a hash under those of the CUT_REACH words on either side."""
-    padded = np.pad(h, CUT_REACH, constant_values=np.iinfo(np.uint64).max)
-    out = np.ones(len(h), bool)
-    for j in range(2 * CUT_REACH + 1):
-        if j != CUT_REACH:
-            out &= h < padded[j : j + len(h)]
+def _least_nearby(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Words of a hash under those of the CUT_REACH words on either side, where all of these are in the word's own block."""
+    n, r = len(h), CUT_REACH
+    out = np.zeros(n, bool)
+    if n > 2 * r:
+        mid = h[r : n - r]
+        least = block[: n - 2 * r] == block[2 * r :]
+        for j in range(2 * r + 1):
+            if j != r:
+                least &= mid < h[j : n - 2 * r + j]
+        out[r : n - r] = least
     return out
 
 
 class Paragraphs:
-    """The paragraphs of at least MIN_WORDS words of some texts."""
+    """The paragraphs of at least SHINGLE words of some texts.
+
+    Of a slice of a long text (``more``: the text goes on behind it) only those whose ends can't change; ``rest`` is then the first
+    byte of what must be read again. inside: the text begins within a block of over LONG_WORDS, and so many words (lead) after the
+    beginning of its sentence."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], more: bool = False, inside: bool = False, lead: int = 0) -> None:
         w = words(texts)
         self.words, n = w, len(w.hash)
+        self.rest, self.inside, self.lead = 0, inside, lead
         if not n:
-            self.doc = self.start = self.size = self.hash = self.first_byte = self.last_byte = np.zeros(0, np.int64)
+            self.doc = self.start = self.size = self.hash = self.check = self.first_byte = self.last_byte = np.zeros(0, np.int64)
             self.shingle, self.shingle_at = np.zeros(0, np.uint64), np.zeros(1, np.int64)
             return
         ends = np.isin(w.data, np.frombuffer(b".!?\n", np.uint8))
-        seen = np.r_[0, np.cumsum(ends)]
+        seen = np.r_[0, np.cumsum(ends, dtype=np.int32)]
         following = np.r_[w.start[1:], len(w.data)]
         last_of_doc = np.r_[w.doc[1:] != w.doc[:-1], True]
         stop = (seen[following] > seen[w.end]) | last_of_doc
         sentence = np.r_[0, np.cumsum(stop)[:-1]]
-        long = np.bincount(sentence) >= MIN_WORDS
+        lengths = np.bincount(sentence)
+        lengths[0] += lead
+        long = lengths >= MIN_WORDS
         next_long = np.r_[long[1:], True]
         cut = stop & (long[sentence] | next_long[sentence] | last_of_doc)
         block = np.r_[0, np.cumsum(cut)[:-1]]
-        long_block = np.bincount(block)[block] > LONG_WORDS
-        if long_block.any():
-            cut |= long_block & _local_minima(w.hash)
+        end = n
+        if more:  # the last sentence goes on; short ones before it may be joined with it
+            last = int(sentence[-1])
+            certain = last - 1 if long[last] or last and long[last - 1] else last - 2
+            end = n if long[last] else int(np.searchsorted(sentence, certain + 1))
+        long_block = np.bincount(block[:end], minlength=int(block[-1]) + 1) > LONG_WORDS
+        long_block[0] |= inside
+        inner = _least_nearby(w.hash, block) & long_block[block]
+        sure = n
+        if more:
+            at = np.flatnonzero((cut & (sentence <= certain)) | (inner & (np.arange(n) + CUT_REACH < end)))
+            sure = int(at[-1]) + 1 if len(at) else 0
+            self.rest = int(w.start[sure]) if sure < n else len(texts[0])
+            self.inside = bool(sure and not cut[sure - 1]) if sure else inside
+            begun = int(np.searchsorted(sentence, sentence[sure - 1])) if sure else 0
+            self.lead = (sure - begun + (lead if begun == 0 else 0)) if self.inside and sure and not stop[sure - 1] else 0
+        cut |= inner
         block = np.r_[0, np.cumsum(cut)[:-1]]
         size = np.bincount(block)
         first = np.cumsum(size) - size
-        kept = size >= MIN_WORDS
+        kept = (size >= SHINGLE) & (first + size <= sure)
         # shingles lie wholly inside a kept paragraph
         at = np.arange(max(0, n - SHINGLE + 1))
         at = at[(block[at] == block[at + SHINGLE - 1]) & kept[block[at]]]
@@ -99,76 +133,106 @@ class Paragraphs:
         self.start, self.size = first[kept], size[kept]
         self.doc = w.doc[self.start]
         self.first_byte, self.last_byte = w.start[self.start], w.end[self.start + self.size - 1]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(w.hash + (np.arange(n) - first[block]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
-        self.hash = mix(total[self.start + self.size] - total[self.start]).view(np.int64)
+        place = (np.arange(n) - first[block]).astype(np.uint64)
+        self.hash, self.check = (self._of_words(mix(w.hash + place * np.uint64(k))) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+
+    def _of_words(self, of_word: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(of_word) + 1, np.uint64)
+        np.cumsum(of_word, out=total[1:])
+        return mix(total[self.start + self.size] - total[self.start]).view(np.int64)
 
     def min_hashes(self, count: int) -> list[np.ndarray]:
         return [np.minimum.reduceat(mix(self.shingle ^ np.uint64(0xA5A5A5A5 * (k + 1))), self.shingle_at[:-1]).view(np.int64) if len(self.hash) else np.zeros(0, np.int64) for k in range(count)]
 
 
+def read(texts: list[bytes]) -> Iterator[tuple[Paragraphs, int, int]]:
+    """The paragraphs of texts, those of a long text slice by slice: with the words and bytes before the slice."""
+    if len(texts) != 1 or len(texts[0]) <= SLICE_BYTES:
+        yield Paragraphs(texts), 0, 0
+        return
+    text, at, before, inside, lead, size = texts[0], 0, 0, False, 0, SLICE_BYTES
+    while at < len(text):
+        gap = WORD_GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.end() if gap else len(text)
+        p = Paragraphs([text[at:end]], end < len(text), inside, lead)
+        if end < len(text) and not p.rest:  # nothing is sure yet: read on
+            size *= 2
+            continue
+        yield p, before, at
+        if end == len(text):
+            return
+        before += int(np.searchsorted(p.words.start, p.rest))
+        at, inside, lead, size = at + p.rest, p.inside, p.lead, SLICE_BYTES
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(doc, text): the id, or for rows without one a key made from the text, which comes after all ids."""
+    id_, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        made = F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+        return docs.select(F.coalesce(id_.cast("long"), made).alias("doc"), "text")
+    return docs.select(F.coalesce(id_.cast("string"), F.concat(F.lit(NAMELESS_TEXT), F.md5(text))).alias("doc"), "text")
+
+
 def _distinct(docs: DataFrame) -> DataFrame:
-    """A row per paragraph: piece, first_doc, last_doc, m0, m1, ... (its min-hashes)."""
+    """A row per paragraph: piece, check, first_doc, last_doc, m0, m1, ... (its min-hashes)."""
     names = [f"m{k}" for k in range(FIRST_BANDS)]
-    slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, "text"):
-                p = Paragraphs(texts)
-                ids = part.column("doc_id").take(pa.array(p.doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(p.hash), *map(pa.array, p.min_hashes(FIRST_BANDS))], names=["doc_id", "piece", *names])
+                for p, _, _ in read(texts):
+                    ids = part.column("doc").take(pa.array(p.doc))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(p.hash), pa.array(p.check), *map(pa.array, p.min_hashes(FIRST_BANDS))], names=["doc", "piece", "check", *names])
 
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = slim.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, piece long, {', '.join(f'{n} long' for n in names)}")
-    return rows.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), *(F.min(n).alias(n) for n in names))
+    kind = docs.schema["doc"].dataType.simpleString()
+    rows = docs.mapInArrow(run, f"doc {kind}, piece long, check long, {', '.join(f'{n} long' for n in names)}")
+    return rows.groupBy("piece", "check").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), *(F.min(n).alias(n) for n in names))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(piece, repeated): paragraphs of several documents, and those that share a min-hash with another."""
-    one = _distinct(docs)
-    bands = [F.struct(F.lit(False).alias("repeated"), F.xxhash64(F.lit(k), f"m{k}").alias("bucket")) for k in range(FIRST_BANDS)]
-    again = F.when(F.col("first_doc") != F.col("last_doc"), F.struct(F.lit(True).alias("repeated"), F.col("piece").alias("bucket")))
-    rows = one.select("piece", F.explode(F.array_compact(F.array(*bands, again))).alias("b")).select("piece", "b.*")
-    # a bucket's extremes are a window without order: its rows stream past, none are collected
-    bucket = Window.partitionBy("bucket", "repeated")
-    rows = rows.withColumns({"least": F.min("piece").over(bucket), "most": F.max("piece").over(bucket)})
-    return rows.where("repeated or least <> most").groupBy("piece").agg(F.max("repeated").alias("repeated"), F.max(~F.col("repeated")).alias("candidate"))
+    """(piece, check, repeated, candidate): paragraphs of several documents, and those that share a min-hash with another."""
+    one = materialize(_distinct(docs), "distinct-paragraphs")
+    bands = one.select("piece", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{k}") for k in range(FIRST_BANDS)])).alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("bucket")
+    near = bands.join(shared, "bucket", "left_semi").select("piece").distinct().withColumn("candidate", F.lit(True))
+    found = one.select("piece", "check", (F.col("first_doc") != F.col("last_doc")).alias("repeated")).join(near, "piece", "left")
+    return found.where("repeated or candidate").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
 
 
 def _bitmap(pieces: DataFrame) -> np.ndarray:
-    """Bit (piece mod 2**BITMAP_BITS) of every piece, as 64-bit words: at most 2**(BITMAP_BITS - 6) rows reach the driver."""
-    low = F.col("piece").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    """Bit (piece mod the bitmap's size) of every piece, as 64-bit words: at most 2**(MOST_BITS - 6) rows reach the driver."""
+    bits = min(max(LEAST_BITS, (pieces.count() * BITS_EACH).bit_length()), MOST_BITS)
+    low = F.col("piece").bitwiseAND(F.lit((1 << bits) - 1))
     got = pieces.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(piece & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     if got.num_rows:
         out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _places(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Places of the paragraphs in the bitmap: doc_id, piece, start and size in words, first and last byte, shingles."""
-    slim = docs.select("doc_id", "text")
+    """Places of the paragraphs in the bitmap: doc, piece, check, start and size in words, first and last byte, shingles."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "piece", "start", "size", "first_byte", "last_byte", "shingles"]
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["doc", "piece", "check", "start", "size", "first_byte", "last_byte", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
             for part, texts in steps(batch, "text"):
-                p = Paragraphs(texts)
-                low = p.hash & ((1 << BITMAP_BITS) - 1)
-                at = np.flatnonzero((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
-                doc = p.doc[at]
-                lists = [np.unique(p.shingle[p.shingle_at[i] : p.shingle_at[i + 1]]).view(np.int64) for i in at.tolist()]
-                offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-                before = np.r_[0, p.words.stop[:-1]][doc]
-                first_word = p.words.first[doc]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(p.hash[at]), pa.array(p.start[at] - first_word), pa.array(p.size[at]), pa.array(p.first_byte[at] - before), pa.array(p.last_byte[at] - before), shingles], names=names)
+                for p, words_before, bytes_before in read(texts):
+                    low = p.hash & (len(bits) * 64 - 1)
+                    at = np.flatnonzero((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
+                    doc = p.doc[at]
+                    lists = [np.unique(p.shingle[p.shingle_at[i] : p.shingle_at[i + 1]]).view(np.int64) for i in at.tolist()]
+                    offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+                    shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+                    byte = bytes_before - np.r_[0, p.words.stop[:-1]][doc]
+                    columns = [p.hash[at], p.check[at], p.start[at] - p.words.first[doc] + words_before, p.size[at], p.first_byte[at] + byte, p.last_byte[at] + byte]
+                    yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(doc)), *map(pa.array, columns), shingles], names=names)
 
-    return slim.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, piece long, start long, size long, first_byte long, last_byte long, shingles array<long>")
+    return docs.mapInArrow(run, f"doc {kind}, piece long, check long, start long, size long, first_byte long, last_byte long, shingles array<long>")
 
 
 def _verify(piece: np.ndarray, lists: list[np.ndarray], asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -263,40 +327,61 @@ def _all_links(block: pa.Table, keys: list[str], similarity: float) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a row per key that holds n, its number of rows. Keys of more than HOT_SHARE of all rows are fewer than
+    its inverse: their facts are broadcast, and only the rows of the others are shuffled."""
+    facts = materialize(facts, "facts")
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(facts.where(F.col("n") > max(1, total * HOT_SHARE)))
+    others = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(facts, key)).drop("n")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """Places of repeated passages: doc_id, class_id, start, size (words), first_byte, last_byte, passage (its number in
-    the document), removed (false for a class's first place). docs: doc_id, text.
+    """Places of repeated passages: doc, class_id, start, size (words), first_byte, last_byte, passage (its number in
+    the document), removed (false for a class's first place). docs: doc (see ``with_keys``), text.
 
-    Rows of one doc_id are one document; rows without an id and null or wordless texts have no places. Word
+    Rows of one key are one document; null or wordless texts have no places. Word
     comparison ignores ASCII case and marks. An empty table gives an empty table."""
     marked = materialize(_marked(docs), "marked-paragraphs")
     places = materialize(_places(docs, _bitmap(marked)), "paragraph-places")
-    near = places.join(marked.where("candidate").select("piece"), "piece", "left_semi").groupBy("piece").agg(F.min("shingles").alias("shingles"))
-    joined = components(_links(materialize(near, "paragraph-candidates")))
-    classes = marked.where("repeated").select("piece").union(joined.select("node")).distinct().join(joined.withColumnRenamed("node", "piece"), "piece", "left").select("piece", F.coalesce("component", "piece").alias("class_id"))
-    own = places.drop("shingles").join(classes, "piece").dropDuplicates(["doc_id", "start", "piece"])
-    wide = own.groupBy("class_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("class_id")
-    own = own.join(wide, "class_id", "left_semi")
-    along = Window.partitionBy("doc_id").orderBy("start", "piece")
+    near = places.join(marked.where("candidate").select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.min("shingles").alias("shingles"))
+    joined = components(_links(materialize(near, "paragraph-candidates"))).withColumnRenamed("node", "piece")
+    classes = marked.join(joined, "piece", "left").where("repeated or component is not null").select("piece", "check", F.coalesce("component", "piece").alias("class_id"))
+    sizes = places.groupBy("piece", "check").agg(F.count("*").alias("n"))
+    key = F.xxhash64("piece", "check").alias("key")
+    held = places.drop("shingles").select("*", key)
+    own = _with_facts(held, classes.join(sizes, ["piece", "check"]).select(key, F.col("piece").alias("__p"), F.col("check").alias("__c"), "class_id", "n"), "key")
+    own = own.where("piece = __p and check = __c").drop("key", "check", "__p", "__c").groupBy("doc", "start", "piece").agg(*[F.first(c).alias(c) for c in ("size", "first_byte", "last_byte", "class_id")])
+    own = materialize(own, "own-places")
+    spread = own.groupBy("class_id").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    own = _with_facts(own, spread.withColumn("wide", F.col("least") != F.col("most")), "class_id").where("wide").drop("least", "most", "wide")
+    along = Window.partitionBy("doc").orderBy("start", "piece")
     opens = F.col("start") - F.coalesce(F.lag(F.col("start") + F.col("size")).over(along), F.lit(-(1 << 40))) > MAX_GAP
     own = own.withColumn("passage", F.sum(opens.cast("int")).over(along))
-    run = Window.partitionBy("doc_id", "passage")
+    run = Window.partitionBy("doc", "passage")
     own = own.withColumn("words", F.max(F.col("start") + F.col("size")).over(run) - F.min("start").over(run)).where(f"words >= {MIN_PASSAGE}")
-    first = own.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    out = own.join(first, "class_id").withColumn("removed", F.struct("doc_id", "start") != F.col("first"))
-    return out.select("doc_id", "class_id", "start", "size", "first_byte", "last_byte", "passage", "removed")
+    own = materialize(own, "passages")
+    first = own.groupBy("class_id").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    out = _with_facts(own, first, "class_id").withColumn("removed", F.struct("doc", "start") != F.col("first"))
+    return out.select("doc", "class_id", "start", "size", "first_byte", "last_byte", "passage", "removed", F.col("first.doc").alias("first_doc"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_repeats, repeat_words, n_removed, removed_words, repeated (has repeats), and
-    component_id: the smallest doc_id that shared passages lead to (its own without any)."""
-    places = materialize(repeats(docs), "repeated-passages")
-    per_doc = places.groupBy("doc_id").agg(F.count("*").alias("n_repeats"), F.sum("size").alias("repeat_words"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum(F.when(F.col("removed"), F.col("size")).otherwise(F.lit(0))).alias("removed_words"))
-    least = places.groupBy("class_id").agg(F.min("doc_id").alias("b"))
-    joined = components(places.join(least, "class_id").select(F.col("doc_id").alias("a"), "b").distinct())
-    out = docs.select("doc_id").join(per_doc, "doc_id", "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    """A row per row of ``docs`` (doc_id, text): doc_id, component_id (the smallest doc_id that shared passages lead to, its own
+    without any), n_repeats, repeat_words, n_removed, removed_words and repeated (has repeats).
+
+    Rows of one doc_id are one document. Rows without an id are documents by their texts: they are searched like any other, lead
+    only where no document has an id, and have then a null component_id. An empty table gives an empty table."""
+    keyed = with_keys(docs)
+    places = materialize(repeats(keyed), "repeated-passages")
+    per_doc = places.groupBy("doc").agg(F.count("*").alias("n_repeats"), F.sum("size").alias("repeat_words"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum(F.when(F.col("removed"), F.col("size")).otherwise(F.lit(0))).alias("removed_words"))
+    joined = components(places.select(F.col("doc").alias("a"), F.col("first_doc").alias("b")).distinct()).withColumnRenamed("node", "doc")
+    out = with_keys(docs).drop("text").join(per_doc, "doc", "left").join(joined, "doc", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_repeats", "repeat_words", "n_removed", "removed_words")]
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), *counts, F.col("n_repeats").isNotNull().alias("repeated"))
+    kind = docs.schema["doc_id"].dataType
+    named = lambda c: F.when(c < F.lit(NAMELESS if keyed.schema["doc"].dataType.typeName() == "long" else NAMELESS_TEXT), c).cast(kind)
+    return out.select(named(F.col("doc")).alias("doc_id"), named(F.coalesce("component", "doc")).alias("component_id"), *counts, F.col("n_repeats").isNotNull().alias("repeated"))
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

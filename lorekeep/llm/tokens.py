@@ -58,7 +58,7 @@ def classes_of(word: str) -> np.ndarray:
 BLOCK_BYTES = 1 << 18
 SLICE_BYTES = 1 << 20
 _GAP = {w: re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in np.flatnonzero(classes_of(w) == 0).tolist()) + b"]") for w in ("space", "line", "alnum", "runs")}
-
+WORD_GAP = _GAP["alnum"]
 
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 

@@ -421,10 +421,61 @@ def test_paragraph_repeats(spark):
     rows += [(400, passage), (400, passage)]
     out = {(r.doc_id): r for r in paragraphs.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     hit = {i for i, r in out.items() if r.repeated}
-    assert hit == {100, 101, 102, 103, 200, 400}
+    assert hit == {100, 101, 102, 103, 200, 400, None}
     assert {out[i].component_id for i in hit} == {100} and out[100].n_removed == 0 and out[101].n_removed > 0
-    assert out[300].component_id == 300 and out[None].n_repeats == 0
+    assert out[300].component_id == 300 and out[None].component_id == 100 and out[None].n_removed > 0
     assert paragraphs.summary(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    named = spark.createDataFrame([(f"d{i}" if i is not None else None, t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id for r in paragraphs.summary(named).where("repeated").collect()} == {None if i is None else f"d{i}" for i in hit}
+
+
+@pytest.mark.parametrize("size", [50, 52, 56, 60, 64, 80])
+def test_unpunctuated_passages(size):
+    """A passage without sentence marks, alone, in a short and in a long run, keeps paragraphs of 20 words side by side."""
+    rng = np.random.default_rng(size)
+    run = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
+    found = 0
+    for _ in range(200):
+        told = run(size)
+        hashes = [set(paragraphs.Paragraphs([t.encode()]).hash.tolist()) for t in (told, f"{run(20)} {told}, {run(9)}", f"{run(140)} {told} {run(150)}")]
+        p = paragraphs.Paragraphs([f"{run(140)} {told} {run(150)}".encode()])
+        same = [(a, a + b) for a, b, h in zip(p.start.tolist(), p.size.tolist(), p.hash.tolist(), strict=True) if all(h in x for x in hashes)]
+        found += bool(same) and same[-1][1] - same[0][0] >= paragraphs.MIN_PASSAGE
+    assert found >= 180, found
+
+
+def test_long_paragraphs(monkeypatch):
+    """A long text has the same paragraphs, however small its slices."""
+    rng = np.random.default_rng(9)
+    text = "".join(f"w{k}" + rng.choice([" ", " ", " ", " ", " ", ", ", ". ", "\n"]) for k in rng.integers(0, 9999, 9000))
+    text += " ".join(f"v{k}" for k in rng.integers(0, 9999, 3000)) + ". one two. three four five six seven eight"
+    data = text.encode()
+    whole = paragraphs.Paragraphs([data])
+    want = list(zip(whole.start.tolist(), whole.size.tolist(), whole.hash.tolist(), whole.first_byte.tolist(), strict=True))
+    for size in (300, 1000, 7000):
+        monkeypatch.setattr(paragraphs, "SLICE_BYTES", size)
+        got = [(s + w, n, h, f + b) for p, w, b in paragraphs.read([data]) for s, n, h, f in zip(p.start.tolist(), p.size.tolist(), p.hash.tolist(), p.first_byte.tolist(), strict=True)]
+        assert got == want
+
+
+def test_repeats_of_a_whole_table(spark):
+    """All 1,000 documents against all windows of words: shared passages of 51 words are found, documents that share none of 6 are left."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    told = {r.doc_id: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").encode().translate(LOWER)) for r in docs.collect()}
+
+    def holders(n):
+        seen = {}
+        for i, w in told.items():
+            for k in range(len(w) - n + 1):
+                seen.setdefault(hash(tuple(w[k : k + n])), set()).add(i)
+        return [x for x in seen.values() if len(x) > 1]
+
+    out = {r.doc_id: r for r in paragraphs.summary(docs).collect()}
+    long = holders(51)
+    pairs = {(min(x), i) for x in long for i in x if i != min(x)}
+    assert len(pairs) > 50 and np.mean([out[a].repeated and out[b].repeated and out[a].component_id == out[b].component_id for a, b in pairs]) >= 0.98
+    short = set().union(*holders(6))
+    assert not [i for i, r in out.items() if r.repeated and i not in short]
 
 
 def test_paragraph_links():
