@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps
-from .tokens import Words, byte_grams, gram_hash, words
+from .tokens import SLICE_BYTES, Words, byte_grams, gram_hash, slices, words
 
 
 #: Bands of the share of distinct n-grams, and indicators of each band.
@@ -32,36 +32,56 @@ class NGrams:
     repeats: bool = False
     chars: tuple[int, ...] = ()  # orders of byte n-grams
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, bucket) of every distinct indicator, in the order of texts."""
-        w: Words = words(texts, self.word, self.lower)
+    def _keys(self, w: Words, held: int = 0) -> np.ndarray:
+        """Text and bucket, as one number, of every n-gram that is not wholly within the first ``held`` words (or, of bytes, within
+        what they span)."""
         keys = []
         for n in self.orders:
-            at = np.arange(max(0, len(w.hash) - n + 1))
+            at = np.arange(max(0, held - n + 1), max(0, len(w.hash) - n + 1))
             at = at[w.doc[at] == w.doc[at + n - 1]] if n > 1 else at
             bucket = gram_hash(w.hash, at, n) >> np.uint64(64 - self.bits)
             keys.append((w.doc[at].astype(np.int64) << self.bits) | bucket.astype(np.int64))
         for n in self.chars:
             doc, hashed = byte_grams(w, n)
             keys.append((doc.astype(np.int64) << self.bits) | (hashed >> np.uint64(64 - self.bits)).astype(np.int64))
-        both = np.concatenate(keys)
-        both.sort()
-        fresh = np.ones(len(both), bool)
-        np.not_equal(both[1:], both[:-1], out=fresh[1:])
-        if self.repeats:
+        return np.concatenate(keys)
+
+    def _of_long(self, text: bytes) -> tuple[np.ndarray, int]:
+        """Distinct buckets of a long text and its number of n-grams, slice by slice."""
+        seen, total = np.zeros(1 << self.bits, bool), 0
+        for w, held in slices(text, self.word, self.lower, max([*self.orders, 2]) - 1):
+            keys = self._keys(w, held)
+            seen[keys] = True
+            total += len(keys)
+        return np.flatnonzero(seen), total
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, bucket) of every distinct indicator, in the order of texts. A text of over SLICE_BYTES, which is a step of its own, is
+        read in slices, each with the last word of the one before it."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+            both, n = self._of_long(texts[0])
+            total = np.array([n])
+        else:
+            both = self._keys(words(texts, self.word, self.lower))
+            both.sort()
             total = np.bincount(both >> self.bits, minlength=len(texts))
-            both = both[fresh]
+            both = _distinct(both)
+        if self.repeats:
             share = np.bincount(both >> self.bits, minlength=len(texts)) / np.maximum(total, 1)
             band = np.where(total > 0, np.ceil(share * BANDS), 0).astype(np.int64)
             at = np.arange(len(texts))[:, None] << self.bits
             both = np.concatenate([both, (at | (band[:, None] * COPIES + np.arange(COPIES))).ravel()])
             both.sort()
-            fresh = np.ones(len(both), bool)
-            np.not_equal(both[1:], both[:-1], out=fresh[1:])
-        both = both[fresh]
+            both = _distinct(both)
         return both >> self.bits, both & ((1 << self.bits) - 1)
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return ordered[fresh]
+
+
 def sparse_rows(docs: DataFrame, ngrams: NGrams, *keep: str, only: np.ndarray | None = None) -> DataFrame:
     """The ``keep`` columns and the buckets of each text (those in ``only``, if given), as an array."""
     slim = docs.select(*keep, "text")
@@ -83,10 +103,15 @@ def sparse_rows(docs: DataFrame, ngrams: NGrams, *keep: str, only: np.ndarray |
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
     """(doc_id, y, text) of at most ``max_rows`` labelled documents for which ``usable`` (of doc_id) holds: those
-    of the smallest hashes of their ids. The picked ids are bounded by max_rows, so they are broadcast."""
+    of the smallest hashes of their ids, one row of each id. The picked ids are bounded by max_rows, so they are broadcast."""
     picked = labels.where(usable & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_per_id(docs.join(F.broadcast(picked), "doc_id"))
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text): of rows that repeat an id the one of the least text, so that as many rows as ids reach a fit."""
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
 
 @dataclass

@@ -24,6 +24,8 @@ from .tokens import mix
 BITS = 15
 ORDERS = (1, 2, 3)
 MAX_ROWS = 8_000
+#: Rows of a language that are learnt from at least (all, if it has fewer).
+MIN_CLASS_ROWS = 200
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 1e-3
 CALIBRATION_PART = 5
@@ -53,12 +55,33 @@ def gram_counts(text: str) -> np.ndarray:
     return out
 
 
+def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.log1p(counts) * idf[at]
+    length = np.sqrt(x @ x)
+    return at, x / length if length else x
+
+
 def tf_idf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = gram_counts(text)
     at = np.flatnonzero(counts)
-    x = np.log1p(counts[at]) * idf[at]
-    length = np.sqrt(x @ x)
-    return at, x / length if length else x
+    return weighted(at, counts[at], idf)
+
+
+def counted(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, buckets, counts) of a bounded sample's texts that have a letter, in an order that does not depend on partitions. Counting is done
+    in the tasks: the driver gets at most 2**BITS numbers of a text, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                found = [(i, lang, np.flatnonzero(c), c) for i, lang, t in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), texts, strict=True) if has_letter(t.decode()) for c in (gram_counts(t.decode()),)]
+                lists = [pa.array([x[2] for x in found], pa.list_(pa.int32())), pa.array([x[3][x[2]] for x in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([str(x[0]) for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *lists], names=["id", "lang", "at", "n"])
+
+    rows = sample.select("doc_id", "lang", "text").mapInArrow(run, "id string, lang string, at array<int>, n array<int>").toArrow()
+    ids, langs, at, n = (rows.column(c) for c in ("id", "lang", "at", "n"))
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(ids[i].as_py().encode()), ids[i].as_py(), langs[i].as_py()))
+    return [(langs[i].as_py(), at[i].values.to_numpy(), n[i].values.to_numpy()) for i in order]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -149,17 +172,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame, usable: Column, max_rows: int = MAX_ROWS) -> Model:
     """docs: doc_id, text, lang. Learns from rows for which ``usable`` holds; null languages and texts without
-    letters are left out. The training sample is all rows whose id hashes under the limit that gives max_rows."""
+    letters are left out, as are other columns. The training sample is all rows whose id hashes under the limit that gives max_rows, and
+    for a rare language MIN_CLASS_ROWS; of rows that repeat an id and a language one is used. Without two languages nothing is learnt: every text
+    is then of the only one, or ``und``."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, rows = document_frequencies(known)
     idf = np.log((1 + rows) / (1 + df)) + 1.0
-    part = min(1.0, max_rows / max(1, rows))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < F.lit(int(part * (1 << 40))))
-    got = [r for r in picked.select("doc_id", "lang", "text").toArrow().to_pylist() if has_letter(r["text"])]
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["lang"], r["text"]))
-    classes = sorted({r["lang"] for r in got})
-    y = np.array([classes.index(r["lang"]) for r in got], np.int64)
-    features = [tf_idf(r["text"], idf) for r in got]
+    # a row per language: as many as there are languages
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {c: min(1.0, max(max_rows / max(1, rows), MIN_CLASS_ROWS / n)) for c, n in sizes.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for c, p in share.items() for x in (c, int(p * (1 << 40)))]), F.col("lang")) if share else F.lit(0)
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < limit)
+    got = counted(picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
+    classes = sorted({r[0] for r in got})
+    y = np.array([classes.index(r[0]) for r in got], np.int64)
+    features = [weighted(at, n, idf) for _, at, n in got]
     held = np.arange(len(got)) % CALIBRATION_PART == 0
     model = Model(classes, idf, np.zeros(((1 << BITS) + 1, max(1, len(classes)))))
     if len(classes) > 1:
@@ -186,7 +213,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document; languages of the held-out fifth are never read."""
+    """doc_id, held_out, lang_pred, score for every document; languages of the held-out fifth are never read. Ties go to the first
+    language by code point; repeated rows are predicted each; an empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs, fold(F.col("doc_id"), 5) != 0)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")

@@ -109,6 +109,9 @@ def fit(rows: Rows, ngrams: NGrams = NGRAMS) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=None, max_rows: int = MAX_ROWS) -> Model:
+    """Fits the classifier on at most ``max_rows`` labelled ids for which ``usable`` (of doc_id) holds. Null labels and ids are left out; of
+    repeated ids one row is used; a null text is an empty one, and long texts are read in slices; without labels of both classes the
+    share of one class is the score throughout. Only doc_id, text and the label are read, whatever else the tables have."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if usable is None else usable, max_rows)
     return fit(Rows.collect(sparse_rows(sample, NGRAMS, "doc_id", "y")))
 

@@ -4,7 +4,8 @@ Only confirmed toxic documents are used as examples, against unlabelled text of
 prior p, the risk of a scorer f is p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): the second part estimates the
 risk on clean text and can't be negative, so where a batch drives it under zero the step goes back up
 instead. The scorer is linear on n-gram indicators with logistic loss, trained by Adam in numpy on bounded samples.
-The prior is the toxic share of all usable labels.
+The class prior is a parameter; without one it is estimated from the examples and the unlabelled rows alone: labels of clean
+documents are never read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .features import NGrams, Rows, bucket_counts, labelled_sample, sigmoid, sparse_rows
+from .features import NGrams, Rows, bucket_counts, labelled_sample, one_per_id, sigmoid, sparse_rows
 from .nbsvm import scored
 
 MAX_POSITIVE = 4_000
@@ -96,25 +97,45 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, used: np.ndarray, ngrams
     return Model(ngrams, full, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """usable: of doc_id; which labels and which unlabelled texts may be learnt from. Samples are picked by the hash
-    of the id: the smallest hashes of toxic rows, and all ids of the corpus under a hash limit that gives max_unlabelled."""
+def estimated_prior(positive: Rows, unlabelled: Rows, used: np.ndarray, in_p: np.ndarray, in_u: np.ndarray) -> float:
+    """The toxic share of the unlabelled rows: rows are ordered by the summed log-ratios of their telling indicators, and of every
+    upper part that holds at least half of the examples the unlabelled share by that of the examples is an upper bound
+    of the prior; the least of these (with a margin of a standard error) is taken."""
+    n_p, n_u = len(positive.y), len(unlabelled.y)
+    if not n_p or not n_u:
+        return 0.0
+    ratio = np.log((in_p[used] + 0.5) / (n_p + 1)) - np.log((in_u[used] + 0.5) / (n_u + 1))
+    p, u = (np.bincount(r.doc, ratio[np.searchsorted(used, r.bucket)], len(r.y)) for r in (positive, unlabelled))
+    cuts = np.unique(np.quantile(p, np.linspace(0.0, 0.5, 26)))
+    in_both = [((p >= c).mean(), (u >= c).mean()) for c in cuts]
+    return float(min((b + np.sqrt(b * (1 - b) / n_u)) / a for a, b in in_both))
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
+    """usable: of doc_id; which labels and which unlabelled texts may be learnt from. prior: the toxic share (None: estimated).
+
+    Counts of indicators are over all usable toxic ids up to max_positive and a sample of the corpus. Samples are picked by the hash
+    of the id: the smallest hashes of toxic rows, and all ids of the corpus under a hash limit that gives max_unlabelled: a larger sample
+    tells rarer wordings, the result does not otherwise depend on the corpus's size. Null labels and null ids are left out; of repeated ids
+    one row is used; a null text is an empty one, and long texts are read in slices. Without toxic examples, or without texts, every score is the
+    prior. Only doc_id, text and toxic are read, whatever else the tables have."""
     toxic = labels.where(F.col("toxic") == 1)
-    prior = labels.where(usable).agg(F.avg("toxic")).first()[0]
     corpus = docs.where(usable).count()
     positive = labelled_sample(docs, toxic, "toxic", usable, max_positive)
     part = min(1.0, max_unlabelled / max(1, corpus))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))
-    unlabelled = docs.where(usable & spread).select("doc_id", F.lit(0).alias("y"), "text")
+    unlabelled = one_per_id(docs.where(usable & spread & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("y"), "text"))
     # first the counts of all indicators, then the rows with the telling ones: the driver gets little of either
     size = 1 << NGRAMS.bits
     (in_u, _), (_, in_p) = (bucket_counts(sparse_rows(x, NGRAMS, "y"), size) for x in (unlabelled, positive))
     used = telling(in_p, in_u, positive.count(), unlabelled.count())
-    return fit(*(Rows.collect(sparse_rows(x, NGRAMS, "doc_id", "y", only=used)) for x in (positive, unlabelled)), prior or 0.0, used)
+    p, u = (Rows.collect(sparse_rows(x, NGRAMS, "doc_id", "y", only=used)) for x in (positive, unlabelled))
+    return fit(p, u, estimated_prior(p, u, used, in_p, in_u) if prior is None else prior, used)
 
 
 def op2_nn_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; labels of the held-out quarter are never read."""
+    """doc_id, held_out, score, predicted for every document; labels of the held-out quarter are never read. A null or empty text
+    gets the score of no indicators; repeated rows are scored each; an empty table gives an empty table."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, fold(F.col("doc_id"), 4) != 2)
     return scored(docs.select("doc_id", "text"), model, THRESHOLD).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")

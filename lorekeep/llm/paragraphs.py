@@ -36,7 +36,7 @@ from .tokens import SLICE_BYTES, WORD_GAP, gram_hash, mix, words
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
-MIN_WORDS = 6
+MIN_WORDS = 8
 LONG_WORDS = 24
 CUT_REACH = 4
 #: A removal has at least so many words; the gap that may lie between two of its paragraphs.
@@ -192,11 +192,12 @@ def _distinct(docs: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame) -> DataFrame:
     """(piece, check, repeated, candidate): paragraphs of several documents, and those that share a min-hash with another."""
-    one = materialize(_distinct(docs), "distinct-paragraphs")
+    one = _distinct(docs).withColumn("repeated", F.col("first_doc") != F.col("last_doc")).drop("first_doc", "last_doc")
+    one = materialize(one, "distinct-paragraphs")
     bands = one.select("piece", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{k}") for k in range(FIRST_BANDS)])).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most").select("bucket")
     near = bands.join(shared, "bucket", "left_semi").select("piece").distinct().withColumn("candidate", F.lit(True))
-    found = one.select("piece", "check", (F.col("first_doc") != F.col("last_doc")).alias("repeated")).join(near, "piece", "left")
+    found = one.select("piece", "check", "repeated").join(near, "piece", "left")
     return found.where("repeated or candidate").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
 
 
@@ -211,21 +212,27 @@ def _bitmap(pieces: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Places of the paragraphs in the bitmap: doc, piece, check, start and size in words, first and last byte, shingles."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _in(bits: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    low = pieces & (len(bits) * 64 - 1)
+    return ((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _places(docs: DataFrame, bitmap: np.ndarray, candidates: np.ndarray) -> DataFrame:
+    """Places of the paragraphs in the bitmap: doc, piece, check, start and size in words, first and last byte, and the shingles of
+    those that are in the bitmap of candidates."""
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, candidates))
     kind = docs.schema["doc"].dataType.simpleString()
     names = ["doc", "piece", "check", "start", "size", "first_byte", "last_byte", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
+        bits, near = held.value
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 for p, words_before, bytes_before in read(texts):
-                    low = p.hash & (len(bits) * 64 - 1)
-                    at = np.flatnonzero((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
+                    at = np.flatnonzero(_in(bits, p.hash))
                     doc = p.doc[at]
-                    lists = [np.unique(p.shingle[p.shingle_at[i] : p.shingle_at[i + 1]]).view(np.int64) for i in at.tolist()]
+                    none = np.zeros(0, np.int64)
+                    lists = [np.unique(p.shingle[p.shingle_at[i] : p.shingle_at[i + 1]]).view(np.int64) if c else none for i, c in zip(at.tolist(), _in(near, p.hash[at]).tolist(), strict=True)]
                     offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
                     shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
                     byte = bytes_before - np.r_[0, p.words.stop[:-1]][doc]
@@ -344,8 +351,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     Rows of one key are one document; null or wordless texts have no places. Word
     comparison ignores ASCII case and marks. An empty table gives an empty table."""
     marked = materialize(_marked(docs), "marked-paragraphs")
-    places = materialize(_places(docs, _bitmap(marked)), "paragraph-places")
-    near = places.join(marked.where("candidate").select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.min("shingles").alias("shingles"))
+    candidates = marked.where("candidate").select("piece").distinct()
+    places = materialize(_places(docs, _bitmap(marked), _bitmap(candidates)), "paragraph-places")
+    # summed up before they meet the candidates, so that a frequent paragraph is a row per task
+    near = places.where("size(shingles) > 0").groupBy("piece").agg(F.min("shingles").alias("shingles")).join(candidates, "piece", "left_semi")
     joined = components(_links(materialize(near, "paragraph-candidates"))).withColumnRenamed("node", "piece")
     classes = marked.join(joined, "piece", "left").where("repeated or component is not null").select("piece", "check", F.coalesce("component", "piece").alias("class_id"))
     sizes = places.groupBy("piece", "check").agg(F.count("*").alias("n"))
