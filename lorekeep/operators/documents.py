@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,38 +14,46 @@ from ..functions.scalars import stable_uuid, words_of
 from . import fusion, retrieval
 
 MAX_CHARS, OVERLAP = 1600, 200
-BREAKS = ("\n\n", "\n", ". ", "。")
+#: Where a chunk may end: before a line feed or an ideographic full stop, after a full stop that a space follows.
+BREAK = re.compile(r"\n|。|(?<=\.) ")
 
 
-def chunk_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
-    """(index, first byte, last byte, text) of the chunks: windows that end at the last break of their final 40 per
-    cent where there is one, and start again before their end by the overlap; blank chunks are left out."""
-    max_chars = max(max_chars, 200)
-    overlap = max(0, min(overlap, max_chars // 2))
-    out, start = [], 0
-    at_byte, at_char = 0, 0
+def _units(text: str) -> str:
+    """The text as UTF-16 units, a character each."""
+    return "".join(map(chr, memoryview(text.encode("utf-16-le")).cast("H"))) if any(c > "\uffff" for c in text) else text
 
-    def byte_of(char: int) -> int:
-        nonlocal at_byte, at_char
-        if char < at_char:
-            at_byte -= len(text[char:at_char].encode())
-        else:
-            at_byte += len(text[at_char:char].encode())
-        at_char = char
-        return at_byte
 
-    while start < len(text):
-        end = min(len(text), start + max_chars)
-        if end < len(text):
-            least = start + int(max_chars * 0.6)
-            cut = max((text.rfind(b, least, end) + (1 if b in (". ", "。") else 0) for b in BREAKS if text.rfind(b, least, end) >= 0), default=-1)
-            end = cut if cut > start else end
-        part = text[start:end]
-        if part.strip():
-            out.append((len(out), byte_of(start), byte_of(end), part))
-        if end >= len(text):
+def chunk_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
+    """(index, first byte, last byte, text) of the chunks; lengths count UTF-16 units.
+
+    All places where a chunk may end are found first; a chunk takes the last of them in the final 40 per cent of its window, else the
+    window's end (never within a pair of surrogates), and the next begins before that end by the overlap. Blank chunks are left out."""
+    most = max(max_chars, 200)
+    back = min(max(overlap, 0), most // 2)
+    units = _units(text)
+    stops = [(m.start(), m.end()) for m in BREAK.finditer(units)]
+    ends = [e for _, e in stops]
+    pieces, start, total = [], 0, len(units)
+    while start < total:
+        end = start + most
+        if end < total:
+            last = bisect_right(ends, end) - 1
+            # the stop that ends a sentence belongs to its break: a window that starts on the space after it doesn't hold it whole
+            if last >= 0 and stops[last][0] - (units[stops[last][0]] == " ") >= start + most * 3 // 5:
+                end = stops[last][0]
+            end -= "\udc00" <= units[end] <= "\udfff"
+        pieces.append((start, min(end, total)))
+        if end >= total:
             break
-        start = max(start + 1, end - overlap)
+        start = max(start + 1, end - back)
+        start += "\udc00" <= units[start] <= "\udfff"
+    out, at, byte = [], 0, 0
+    plain = lambda a, b: units[a:b].encode("utf-16-le", "surrogatepass").decode("utf-16-le")
+    for a, b in pieces:
+        byte, at = byte + len(plain(at, a).encode()), a
+        part = plain(a, b)
+        if part.strip():
+            out.append((len(out), byte, byte + len(part.encode()), part))
     return out
 
 

@@ -4,14 +4,22 @@ A lane is (qid, id, score). Queries are a stated, small set; memories are scanne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_terms, cosine, dot, index_terms, norm
+from ..functions.scalars import content_terms, cosine, index_terms
 
 K1, B = 1.5, 0.75
 #: Queries that are broadcast at most; a larger set is cut into blocks of so many.
 QUERY_BLOCK = 10_000
+#: Terms or numbers of a block of queries, and pairs of a row and a query that a task holds at once.
+BLOCK_VALUES = 1 << 21
 
 
 def top(lane: DataFrame, limit: int) -> DataFrame:
@@ -19,33 +27,140 @@ def top(lane: DataFrame, limit: int) -> DataFrame:
     return lane.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _parts(queries: DataFrame, size: Column) -> list[DataFrame]:
+    """The queries in blocks by the hash of their ids, each of about QUERY_BLOCK rows and BLOCK_VALUES values at most."""
+    rows, values = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n = max(1, -(-rows // QUERY_BLOCK), -(-values // BLOCK_VALUES))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+
+
+def _best(scores: np.ndarray, ids: pa.Array, qids: pa.Array, limit: int, own: np.ndarray | None = None) -> pa.RecordBatch:
+    """The ``limit`` best rows of each query (a column of ``scores``) with those equal to the last of them. own: pairs to be left out."""
+    if own is not None:
+        scores = np.where(own, -np.inf, scores)
+    if len(scores) > limit:
+        least = np.partition(scores, len(scores) - limit, axis=0)[len(scores) - limit]
+        scores = np.where(scores >= least, scores, -np.inf)
+    row, query = np.nonzero(np.isfinite(scores))
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], names=["qid", "id", "score"])
+
+
+def _matrix(vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of ``width`` (longer ones are cut: the dimensions of both sides count), and their lengths."""
+    at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = np.diff(at)
+    row, column = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat[at[0] : at[-1]])) - np.repeat(at[:-1] - at[0], sizes)
+    out, values = np.zeros((len(sizes), width)), flat[at[0] : at[-1]]
+    inside = column < width
+    out[row[inside], column[inside]] = values[inside]
+    return out, np.sqrt(np.bincount(row, values * values, len(sizes)))
+
+
 def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclude_self: bool = True) -> DataFrame:
     """Exact cosine of every query with every row that has a vector, best first. queries: qid, embedding.
 
-    Norms are taken once a row. The query side is broadcast only up to QUERY_BLOCK rows; beyond, Spark
-    chooses how to send it."""
-    q = queries.where("embedding is not null").select("qid", F.col("embedding").alias("qv"), norm(F.col("embedding")).alias("qn"))
-    m = memories.where("embedding is not null").select("id", "embedding", norm(F.col("embedding")).alias("mn"))
-    small = len(q.select("qid").limit(QUERY_BLOCK + 1).take(QUERY_BLOCK + 1)) <= QUERY_BLOCK
-    pairs = m.join(F.broadcast(q) if small else q, F.col("qid") != F.col("id") if exclude_self else F.lit(True))
-    score = F.when(F.col("mn") * F.col("qn") > 0, dot(F.col("embedding"), F.col("qv")) / (F.col("mn") * F.col("qn"))).otherwise(0.0)
-    return top(pairs.select("qid", "id", score.alias("score")), limit)
+    Queries are broadcast a block at a time. A task multiplies batches of rows with the block and sends on only the best of each batch
+    and query, so what is shuffled is a small part of the pairs."""
+    m = memories.where("embedding is not null").select("id", "embedding")
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {m.schema['id'].dataType.simpleString()}, score double"
+    found = []
+    for part in _parts(queries.where("embedding is not null").select("qid", "embedding"), F.size("embedding")):
+        block = part.toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        held = memories.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qids, vectors = held.value.column("qid").chunk(0), held.value.column("embedding").chunk(0)
+            q, q_norm = _matrix(vectors, int(np.diff(vectors.offsets.to_numpy()).max()))
+            step = max(limit, BLOCK_VALUES // max(1, len(q)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    ids, rows = batch.column("id").slice(at, step), batch.column("embedding").slice(at, step)
+                    x, norm_ = _matrix(rows, q.shape[1])
+                    size = norm_[:, None] * q_norm[None, :]
+                    cosine_ = np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 0)
+                    # a query is left out of its own results
+                    index = pc.index_in(ids.cast(pa.string()), qids.cast(pa.string())).to_numpy(zero_copy_only=False)
+                    own = index[:, None] == np.arange(len(q))[None, :] if exclude_self else None
+                    yield _best(cosine_, ids, qids, limit, own)
+
+        found.append(m.mapInArrow(run, schema))
+    return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
 
 
 def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataFrame:
     """BM25 over rows with a term; document counts and lengths are those of the rows given. queries: qid, text.
 
-    Only terms that a query has are exploded into rows, so the shuffle carries matches and not the corpus."""
+    Document counts are taken of the queries' terms only. Queries are broadcast a block at a time, as the list of queries of each term; a
+    task adds up its rows' weights over those lists and sends on only the best of each batch and query, so that frequent
+    terms, which nearly every query shares with nearly every row, are never joined."""
     docs = memories.select("id", index_terms(F.col("content")).alias("terms")).where(F.size("terms") > 0)
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = queries.select("qid", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
-    counted = docs.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = counted.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = weighted.select("term", "id", part.alias("part")).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"))  # the order of the sum must not break ties
-    return top(scored.where("score > 0"), limit)
+    n_docs, length = docs.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    asked = queries.select("qid", F.array_distinct(index_terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    found = []
+    for part in _parts(asked, F.size("terms")) if n_docs else []:
+        block = part.toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        lists = block.column("terms").chunk(0)
+        coded = lists.flatten().dictionary_encode()
+        vocabulary = coded.dictionary
+        query = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        index = (vocabulary, np.searchsorted(code[order], np.arange(len(vocabulary) + 1)), query[order], block.column("qid").chunk(0))
+        held = memories.sparkSession.sparkContext.broadcast(index)
+
+        def frequencies(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(held.value[0]), np.int64)
+            for batch in batches:
+                doc, term, _ = _postings(batch.column("terms"), held.value[0])
+                total += np.bincount(term, minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+
+        counted = docs.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(vocabulary))
+        df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+        idf = memories.sparkSession.sparkContext.broadcast(np.log((n_docs - df + 0.5) / (df + 0.5) + 1))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, idf=idf) -> Iterator[pa.RecordBatch]:
+            words, first, of, qids = held.value
+            step = max(limit, BLOCK_VALUES // max(1, len(qids)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    doc, term, tf = _postings(part.column("terms"), words)
+                    size = pc.list_value_length(part.column("terms")).to_numpy()[doc]
+                    weight = idf.value[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / length))
+                    total = np.zeros(part.num_rows * len(qids))
+                    many = first[term + 1] - first[term]
+                    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + BLOCK_VALUES, BLOCK_VALUES))
+                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                        n = many[lo:hi]
+                        where = np.repeat(first[term[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        total += np.bincount(np.repeat(doc[lo:hi], n) * len(qids) + of[where], np.repeat(weight[lo:hi], n), len(total))
+                    scores = np.round(total.reshape(part.num_rows, len(qids)), 9)  # the order of the sum must not break ties
+                    yield _best(np.where(scores > 0, scores, -np.inf), part.column("id"), qids, limit)
+
+        found.append(docs.mapInArrow(run, schema))
+    return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
+
+
+def _postings(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, how often) of the terms of ``vocabulary`` in each row's list."""
+    flat = lists.flatten()
+    term = pc.fill_null(pc.index_in(flat, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    key, tf = np.unique((doc * len(vocabulary) + term)[term >= 0], return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), tf
+
+
+def _held(queries: DataFrame) -> DataFrame:
+    """The queries, to be broadcast if they are at most QUERY_BLOCK rows."""
+    return F.broadcast(queries) if len(queries.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK else queries
 
 
 def temporal_lane(queries: DataFrame, memories: DataFrame, tau_days: float = 7.0, limit: int = 50) -> DataFrame:
@@ -55,12 +170,12 @@ def temporal_lane(queries: DataFrame, memories: DataFrame, tau_days: float = 7.0
     day = F.lit(86_400_000.0)
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     if tau_days <= 0:
-        inside = rows.join(F.broadcast(queries), (F.col("event_date") >= F.col("from")) & (F.col("event_date") <= F.col("to")))
+        inside = rows.join(_held(queries), (F.col("event_date") >= F.col("from")) & (F.col("event_date") <= F.col("to")))
         order = Window.partitionBy("qid").orderBy(F.desc("created_at"), F.desc("id"))
         found = inside.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("qid"))})
         return top(found.select("qid", "id", (1 - F.col("i") / F.col("n")).alias("score")), limit)
     reach = F.expr(f"make_dt_interval({int(3 * tau_days)})")
-    near = rows.join(F.broadcast(queries), (F.col("event_date") >= F.col("from") - reach) & (F.col("event_date") <= F.col("to") + reach))
+    near = rows.join(_held(queries), (F.col("event_date") >= F.col("from") - reach) & (F.col("event_date") <= F.col("to") + reach))
     far = F.greatest(F.lit(0), ms("from") - ms("event_date"), ms("event_date") - ms("to")) / day
     return top(near.select("qid", "id", F.exp(-far / tau_days).alias("score")).where("score > 0.01"), limit)
 
@@ -75,26 +190,39 @@ def graph_seeds(queries: DataFrame, memories: DataFrame, vector_hits: DataFrame,
 
 
 def slot_boost(query: Column, subject: Column, attribute: Column, content: Column) -> Column:
-    """How far a query names a memory's slot: its subject, a part of its attribute, and shared terms."""
+    """How far a query names a memory's slot: 0.3 for its subject, 0.25 for a part of its attribute, 0.45 times the share of the query's
+    terms in its content; names are looked for as parts of the query's text."""
     asked, held = content_terms(query), content_terms(content)
+    low = F.lower(query)
     parts = F.filter(F.split(F.lower(attribute), r"[^\p{L}\p{N}]+"), lambda p: F.length(p) >= 3)
     shared = F.size(F.array_intersect(asked, held)) / F.greatest(F.size(asked), F.lit(1))
-    by_subject = F.when(F.length(subject) > 0, F.lower(query).contains(F.lower(subject)).cast("double") * 0.3)
-    return F.least(F.coalesce(by_subject, F.lit(0.0)) + F.coalesce(F.arrays_overlap(parts, asked).cast("double") * 0.25, F.lit(0.0)) + 0.45 * shared, F.lit(1.0))
+    by_subject = F.when((F.length(subject) > 0) & low.contains(F.lower(subject)), 0.3).otherwise(0.0)
+    by_part = F.when(F.coalesce(F.exists(parts, lambda p: low.contains(p)), F.lit(False)), 0.25).otherwise(0.0)
+    return F.least(by_subject + by_part + 0.45 * shared, F.lit(1.0))
+
+
+# The wordings that tell what a question asks for. Those marked "first" count at its beginning only.
+SYNTHESIS = ("all", "every", "list", "summarise", "summarize", "summary", "overall", "in general")
+TEMPORAL_FIRST = ("when", "how long", "what date", "what day", "what month", "what year")
+TEMPORAL = ("before or after", "earlier than", "later than", "most recent", "previously", "currently")
+SPANS = ("year", "month", "week", "spring", "summer", "autumn", "fall", "winter")
+FACT_FIRST = ("who", "what", "where", "which", "do", "does", "did", "is", "are", "was", "were", "has", "have", "had")
+HOW_FIRST = ("many", "much", "old", "does", "did", "is", "are")
+INTENTS = (
+    ("synthesis", (), SYNTHESIS),
+    ("temporal", TEMPORAL_FIRST, (*TEMPORAL, *(f"{near} {span}" for near in ("last", "next") for span in SPANS))),
+    ("single_fact", (*FACT_FIRST, *(f"how {word}" for word in HOW_FIRST)), ()),
+)
 
 
 def intent(query: Column) -> Column:
-    """single_fact, temporal, multi_hop or synthesis, by the wording of a question."""
-    q = F.lower(F.trim(query))
-    rules = [
-        ("synthesis", r"\b(all|every|list|summari[sz]e|summary|overall|in general)\b"),
-        ("temporal", r"^(when|what date|what day|what month|what year)\b|^how long\b|\b(before or after|earlier than|later than|most recent|previously|currently)\b|\b(last|next) (year|month|week|summer|winter|spring|fall|autumn)\b"),
-        ("single_fact", r"^(who|what|where|which|did|does|do|is|are|was|were|has|have|had)\b|^how (many|much|old|does|did|is|are)\b"),
-    ]
+    """single_fact, temporal, multi_hop or synthesis: the first of INTENTS with a wording that a question has, as whole words."""
+    said = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(query), r"\W+"), lambda w: w != ""), " "), F.lit(" "))
     out = F.lit("multi_hop")
-    for name, pattern in reversed(rules):
-        out = F.when(q.rlike(pattern), name).otherwise(out)
-    return F.when(q == "", "multi_hop").otherwise(out)
+    for name, first, anywhere in reversed(INTENTS):
+        tests = [said.startswith(f" {w} ") for w in first] + [said.contains(f" {w} ") for w in anywhere]
+        out = F.when(reduce(lambda a, b: a | b, tests), name).otherwise(out)
+    return out
 
 
 def strategy(kind: Column) -> Column:

@@ -122,10 +122,11 @@ def entity_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(n, "entity_id").groupBy("memory_id").agg(F.count_distinct("entity_id").alias("entities"), F.round(F.max(boost), 6).alias("boost"))
 
 
-@register("""with t as (select conv_id, turn, lower(trim(text)) as q from conversations)
-select conv_id, turn, case when q = '' then 'multi_hop' when regexp_matches(q, '\\b(all|every|list|summari[sz]e|summary|overall|in general)\\b') then 'synthesis'
- when regexp_matches(q, '^(when|what date|what day|what month|what year)\\b|^how long\\b|\\b(before or after|earlier than|later than|most recent|previously|currently)\\b|\\b(last|next) (year|month|week|summer|winter|spring|fall|autumn)\\b') then 'temporal'
- when regexp_matches(q, '^(who|what|where|which|did|does|do|is|are|was|were|has|have|had)\\b|^how (many|much|old|does|did|is|are)\\b') then 'single_fact' else 'multi_hop' end as intent from t""")
+_SAID = "' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> ''), ' ') || ' '"
+_WHEN = " ".join(f"when {' or '.join([f"starts_with(q, ' {w} ')" for w in first] + [f"contains(q, ' {w} ')" for w in anywhere])} then '{name}'" for name, first, anywhere in retrieval.INTENTS)
+
+
+@register(f"with t as (select conv_id, turn, {_SAID} as q from conversations) select conv_id, turn, case {_WHEN} else 'multi_hop' end as intent from t")
 def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text")).alias("intent"))
 
