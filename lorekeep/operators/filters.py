@@ -5,6 +5,7 @@ The whole predicate is a Column, so Catalyst pushes to the Parquet scan what the
 from __future__ import annotations
 
 import datetime as dt
+import json
 from functools import reduce
 from typing import Any
 
@@ -106,6 +107,8 @@ def _metadata(path: str, value: Any) -> tuple[Column, Column]:
     segments = path.split(".")
     if any(s in UNSAFE_SEGMENTS or not s for s in segments):
         return F.lit(False), F.lit(None)
+    if any("'" in s or "\\" in s for s in segments):
+        raise InvalidFilter("a metadata path has no quotes and no backslashes")
     where = "$" + "".join(f"['{s}']" for s in segments)
     any_ = F.try_variant_get("metadata", where, "variant")
     kind = F.schema_of_variant(any_)
@@ -119,6 +122,23 @@ def _metadata(path: str, value: Any) -> tuple[Column, Column]:
     return any_.isNotNull() & (kind != "VOID"), typed
 
 
+def _array_test(path: str, op: str, value: Any) -> Column:
+    """The test of a metadata field that is an array: equal as a whole, or with an element that is equal (``icontains``: but for case). False if the
+    field is no array; elements of another type than the operand's are not equal to it."""
+    where = "$" + "".join(f"['{s}']" for s in path.split("."))
+    items = F.try_variant_get("metadata", where, "array<variant>")
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    texts = F.transform(items, lambda x: F.to_json(x))
+    wanted = F.array(*[F.lit(json.dumps(v, ensure_ascii=False)) for v in values]).cast("array<string>")
+    if op == "icontains":
+        test = F.exists(texts, lambda x: F.lower(x).isin(*[json.dumps(v, ensure_ascii=False).lower() if isinstance(v, str) else json.dumps(v) for v in values]))
+    elif op in ("eq", "ne"):
+        test = (texts == wanted) if isinstance(value, (list, tuple)) else F.lit(False)
+    else:
+        test = F.arrays_overlap(texts, wanted)
+    return F.coalesce(test, F.lit(False))
+
+
 def compile_filter(tree: dict) -> Column:
     """The expression tree as a two-valued Column: a condition on a null or missing field is false (but for exists),
     so ``not`` of it is true."""
@@ -130,12 +150,25 @@ def compile_filter(tree: dict) -> Column:
         return ~compile_filter(tree["not"])
     field, op, value = tree["field"], tree["op"], tree.get("value")
     if field.startswith("metadata."):
-        present, actual = _metadata(field.removeprefix("metadata."), value)
+        path = field.removeprefix("metadata.")
+        present, actual = _metadata(path, value)
         kind = "any"
+        if op in ("eq", "ne", "in", "nin", "contains", "icontains") and not UNSAFE_SEGMENTS & set(path.split(".")):
+            hit = _array_test(path, op, value)
+            if isinstance(value, (list, tuple)) and op in ("eq", "ne"):
+                return F.coalesce(present, F.lit(False)) & (hit if op == "eq" else ~hit)
+            plain = {"field": field, "op": {"ne": "eq", "nin": "in"}.get(op, op), "value": value}
+            same = (_scalar_test(present, actual, plain, kind) if value != [] else F.lit(False)) | hit
+            return F.coalesce(present, F.lit(False)) & (~same if op in ("ne", "nin") else same)
     else:
         name, kind = FIELDS[field]
         actual = F.col(name)
         present = actual.isNotNull()
+    return _scalar_test(present, actual, tree, kind)
+
+
+def _scalar_test(present: Column, actual: Column, tree: dict, kind: str) -> Column:
+    op, value = tree["op"], tree.get("value")
     if op == "exists":
         return F.coalesce(present == F.lit(value), F.lit(False))
     if op in ("in", "nin"):

@@ -25,4 +25,4 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import analytics_queries, job_queries, memory_queries, search_queries  # noqa: E402, F401  (they register themselves)
+from . import analytics_queries, job_queries, lifecycle_queries, memory_queries, search_queries  # noqa: E402, F401  (they register themselves)
