@@ -1,7 +1,7 @@
 """The engine's facade: a set of tables and the operations on them, each a DataFrame.
 
-Reads return DataFrames. Writes return the new state of a table as a DataFrame and change nothing in place; the
-caller stores it (see ``sources.files.stage_and_swap``)."""
+Reads return DataFrames of the scope. Writes change rows of the scope, and return the new state of a whole table, other tenants' rows
+included, as a DataFrame; nothing is changed in place, the caller stores it (see ``sources.files.stage_and_swap``)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analytics, beliefs, documents, filters, graph, journal, listing, maintenance, state
+from .operators import analytics, beliefs, documents, filters, graph, journal, lifecycle, listing, maintenance, retrieval, state
 from .plans import search as plans
 from .sources import views
 
@@ -52,29 +52,64 @@ class Engine:
         return self.memories.where(filters.visible() & self._where(filter, structural)).count()
 
     def search(self, queries: DataFrame, limit: int = 10, mode: str = "hybrid", filter: dict | None = None, weights: dict[str, float] | None = None, min_score: float = 0.0, budget: int = 0, **structural: Any) -> DataFrame:
-        """queries: qid and any of text, embedding, from, to. Modes recent, important and typed need no queries."""
+        """queries: qid and any of text, embedding, from, to. Modes: hybrid; precision (single facts); deep (a lexical second round after the
+        vectors); auto, which sends each query to precision or hybrid by what it asks for; recent, important and typed need no queries."""
         where = self._where(filter, structural)
         if mode in ("recent", "important", "typed"):
             return plans.metadata_search(self.memories, "recent" if mode == "recent" else "importance", limit, where=where)
+        rows = self.memories.where(where)
+        if mode == "precision":
+            return plans.precision(queries, rows, limit)
+        if mode == "deep":
+            return plans.deep(queries, rows, limit)
+        if mode == "auto":
+            told = queries.withColumn("__strategy", retrieval.strategy(retrieval.intent(F.col("text"))))
+            exact, wide = (told.where(test).drop("__strategy") for test in ("__strategy = 'precision'", "__strategy <> 'precision'"))
+            found = plans.hybrid(wide, self.memories, self.tables.get("edges"), limit, weights, min_score=min_score, where=where, budget=budget)
+            return plans.precision(exact, rows, limit).select("qid", "id", "score", F.col("rank").cast("long").alias("rank")).unionByName(found.select("qid", "id", "score", "rank"))
+        if mode != "hybrid":
+            raise ValueError(f"there is no search mode {mode}")
         return plans.hybrid(queries, self.memories, self.tables.get("edges"), limit, weights, min_score=min_score, where=where, budget=budget)
 
     def add(self, messages: DataFrame) -> DataFrame:
         return journal.add_verbatim(messages)
 
     def update(self, log: DataFrame, columns: list[str]) -> DataFrame:
-        """The memories after a log of updates, deletes and purges."""
-        return journal.fold(self.memories, log, columns)
+        """The memories of all tenants after a log of updates, deletes and purges, of which only those of rows in scope count."""
+        mine = self.memories.select("id")
+        return journal.fold(self.tables["memories"], log.join(mine, "id", "left_semi"), columns)
+
+    def delete(self, ids: DataFrame) -> dict[str, DataFrame]:
+        """memories, edges and mentions of all tenants without the given rows of this scope and their links."""
+        mine = self.memories.join(ids.select("id"), "id", "left_semi")
+        return lifecycle.without(self.tables["memories"], self.tables["edges"], self.tables["mentions"], mine)
+
+    def purge_namespace(self) -> dict[str, DataFrame]:
+        return lifecycle.purged(self.tables["memories"], self.tables["edges"], self.tables["mentions"], self.scope["namespace_id"])
 
     def delete_all(self) -> DataFrame:
         return journal.delete_all(self.tables["memories"], filters.scope_wildcard(**self.scope))
 
     def invalidate(self, ids: DataFrame, at: Column) -> DataFrame:
-        """Memories with valid_to set for the given (id, superseded_by); an earlier valid_to stays."""
-        rows = self.memories.join(ids.select("id", F.lit(True).alias("__hit")), "id", "left")
+        """The memories of all tenants; those in scope of the given ids have valid_to set, if they don't end before."""
+        hits = self.memories.join(ids.select("id"), "id", "left_semi").select("id", F.lit(True).alias("__hit"))
+        rows = self.tables["memories"].join(hits, "id", "left")
         return rows.withColumn("valid_to", F.when(F.col("__hit"), F.least(F.coalesce("valid_to", at), at)).otherwise(F.col("valid_to"))).drop("__hit")
 
+    def promote(self, ids: DataFrame, now: Column) -> DataFrame:
+        return lifecycle.promoted(self.tables["memories"], self.memories.join(ids.select("id"), "id", "left_semi"), now)
+
+    @property
+    def edges(self) -> DataFrame:
+        """The edges both of whose ends are in scope."""
+        found = self.tables["edges"]
+        if not self.scope:
+            return found
+        mine = self.memories.select("id")
+        return found.join(mine.withColumnRenamed("id", "src"), "src", "left_semi").join(mine.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
     def neighbours(self, ids: DataFrame, depth: int = 1) -> DataFrame:
-        return graph.neighbours(ids, self.tables["edges"], depth)
+        return graph.neighbours(ids, self.edges, depth)
 
     def graph(self, limit: int = 200) -> tuple[DataFrame, DataFrame]:
         return listing.subgraph(self.memories, self.tables["edges"], limit)
@@ -88,22 +123,33 @@ class Engine:
         return maintenance.reinforce(self.tables["edges"], pairs, eta, cap)
 
     def run_maintenance(self, now: Column) -> DataFrame:
-        """Decay, then prune, as one expression per row; consolidation is ``maintenance.merge_pairs``."""
-        aged = maintenance.decay(self.memories, now).withColumn("importance", F.col("decayed")).drop("decayed", "written")
-        return aged.where(~F.coalesce(maintenance.prunable(now), F.lit(False)))
+        """The memories of all tenants after decay and pruning of those in scope; consolidation is ``maintenance.merge_pairs``."""
+        mine = F.coalesce(filters.scope_wildcard(**self.scope), F.lit(False))
+        aged = maintenance.decay(self.tables["memories"], now).withColumn("importance", F.when(mine, F.col("decayed")).otherwise(F.col("importance"))).drop("decayed", "written")
+        return aged.where(~(mine & F.coalesce(maintenance.prunable(now), F.lit(False))))
+
+    def _of_scope(self, name: str) -> DataFrame:
+        """The rows of a table in scope: by its own scope columns, else by the memories that its rows come from."""
+        rows = self.tables[name]
+        by = {k: v for k, v in self.scope.items() if k in rows.columns}
+        if len(by) == len(self.scope):
+            return rows.where(filters.scope_wildcard(**by))
+        if "source_id" not in rows.columns:
+            raise ValueError(f"{name} can't be read in a scope: it has neither {sorted(set(self.scope) - set(by))} nor source_id")
+        return rows.where(filters.scope_wildcard(**by)).join(self.memories.select(F.col("id").alias("source_id")), "source_id", "left_semi")
 
     def get_state(self, at: Column | None = None) -> DataFrame:
-        rows = state.slots(self.tables["state_obs"])
+        rows = state.slots(self._of_scope("state_obs"))
         return state.current(rows) if at is None else state.as_of(rows, at)
 
     def get_state_history(self) -> DataFrame:
-        return state.slots(self.tables["state_obs"])
+        return state.slots(self._of_scope("state_obs"))
 
     def belief_at(self, at: Column) -> DataFrame:
         return state.belief_at(self.memories.withColumn("valid_from", F.col("created_at")), at)
 
     def get_belief_view(self, at: Column, mode: str = "default", policy: beliefs.Policy = beliefs.Policy()) -> DataFrame:
-        return beliefs.view(self.tables["evidence"], at, policy, mode)
+        return beliefs.view(self._of_scope("evidence"), at, policy, mode)
 
     def list_scope_entities(self) -> DataFrame:
         return analytics.scope_entities(self.memories)

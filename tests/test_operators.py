@@ -178,6 +178,60 @@ def test_facade(spark, sf_dir):
     assert e.search(q, mode="recent", limit=3).count() == 3
 
 
+def test_writes_keep_other_tenants(spark, sf_dir):
+    """Every write in a namespace returns the rows of all, and changes none of the others."""
+    whole = Engine.over(spark, sf_dir)
+    e = whole.for_namespace("ns0")
+    every = {r.id: r for r in whole.memories.select("id", "namespace_id", "valid_to", "importance", "content").collect()}
+    other = {i for i, r in every.items() if r.namespace_id != "ns0"}
+    at = F.lit(dt.datetime(2024, 2, 1))
+    ids = whole.memories.select("id")
+    ended = {r.id: r.valid_to for r in e.invalidate(ids, at).collect()}
+    assert set(ended) == set(every) and all(ended[i] == every[i].valid_to for i in other) and all(ended[i] is not None for i in set(every) - other)
+    aged = {r.id: r.importance for r in e.run_maintenance(F.lit(dt.datetime(2024, 6, 1))).collect()}
+    assert other <= set(aged) and all(aged[i] == every[i].importance for i in other) and len(aged) < len(every)
+    log = whole.memories.select("id", F.lit(1).alias("seq"), F.when(F.col("id") < "m0000100", "delete").otherwise("update").alias("op"), F.lit("new").alias("content"))
+    after = {r.id: r.content for r in e.update(log, ["content"]).collect()}
+    assert all(after[i] == every[i].content for i in other) and {i for i in set(every) - other if i in after} == {i for i in set(every) - other if i >= "m0000100"}
+    left = e.delete(ids)
+    assert {r.id for r in left["memories"].collect()} == other and {r.id for r in e.purge_namespace()["memories"].collect()} == other
+    tiers = {r.id: r.tier for r in e.promote(ids, at).collect()}
+    assert set(tiers) == set(every) and all((t == "working") == (i not in other) for i, t in tiers.items())
+    near = {r.id for r in e.neighbours(e.memories.select("id"), 1).collect()}
+    assert near and not near & other
+
+
+def test_search_modes(spark, sf_dir):
+    e = Engine.over(spark, sf_dir).for_namespace("ns0")
+    q = e.memories.where("id < 'm0000006'").select(F.col("id").alias("qid"), F.when(F.col("id") == "m0000001", "who is there?").otherwise(F.col("content")).alias("text"), "embedding")
+    mine = {r.id for r in e.memories.where("not forgotten").collect()}
+    for mode in ("precision", "deep", "auto"):
+        rows = e.search(q, limit=5, mode=mode).collect()
+        assert rows and {r.id for r in rows} <= mine and all(1 <= r["rank"] <= 5 for r in rows)
+    with pytest.raises(ValueError):
+        e.search(q, mode="nonsense")
+    with pytest.raises(ValueError):
+        e.get_belief_view(F.lit(dt.datetime(2024, 2, 1)))
+    assert e.get_state().count() <= Engine.over(spark, sf_dir).get_state().count()
+
+
+@pytest.mark.parametrize(("value", "want"), [("2023", "2023-01-01"), ("2023-04", "2023-04-01"), ("2023-04-05", "2023-04-05"), ("2023-04-05T10:00:00Z", "2023-04-05"), ("soon", None), ("2023-13", None), (None, None)])
+def test_event_date(spark, value, want):
+    got = spark.createDataFrame([(value,)], "t string").select(temporal.event_date(F.col("t")).alias("d")).first()["d"]
+    assert (got and str(got)[:10]) == want
+
+
+def test_chunk_ends(spark):
+    """A chunk ends before an ideographic full stop, after a full stop, and never within a pair of surrogates."""
+    han = documents.chunk_text("字" * 150 + "。" + "字" * 100, 200, 0)
+    assert [len(t) for *_, t in han] == [150, 101] and han[1][3][0] == "。"
+    dot = documents.chunk_text("a" * 150 + ". " + "b" * 100, 200, 0)
+    assert [len(t) for *_, t in dot] == [151, 101]
+    faces = documents.chunk_text("x" + "😀" * 300, 200, 10)
+    raw = ("x" + "😀" * 300).encode()
+    assert all(raw[a:b].decode() == t and len(t.encode("utf-16-le")) <= 400 for _, a, b, t in faces) and faces[-1][2] == len(raw)
+
+
 def test_entry_without_optional_parts():
     """The entry module must import, and keep its queries, without the optional subpackage."""
     import subprocess
