@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import analytics, documents, evaluation
 from ..sources.views import cte, load
 from .registry import register
+from .sql import FNV, uuid
 
 
 @register(f"{cte('memories')}, e as (select namespace_id, 'user' as type, user_id as entity_id, created_at, updated_at from memories where not forgotten union all select namespace_id, 'agent', agent_id, created_at, updated_at from memories where not forgotten union all select namespace_id, 'run', run_id, created_at, updated_at from memories where not forgotten) select namespace_id, type, entity_id, count(*) as memories, epoch_us(min(created_at)) as first_created_us, epoch_us(max(updated_at)) as last_updated_us from e where entity_id is not null and entity_id <> '' group by all")
@@ -182,11 +183,13 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@register()
+@register(f"select page_id, {FNV.format('url')} as hash, {uuid('url')} as uuid from pages")
 def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", S.fnv1a(F.col("url")).alias("hash"), S.stable_uuid(F.col("url")).alias("uuid"))
 
 
-@register()
+@register(r"""with r as (select doc_id, regexp_extract_all(text, '(\p{Lu}[\p{L}\p{N}''-]*(?:[ ]\p{Lu}[\p{L}\p{N}''-]*)*)', 1) as runs from documents), u as (select doc_id, unnest(runs) as run, generate_subscripts(runs, 1) as i from r),
+ b as (select doc_id, i, regexp_replace(regexp_replace(run, '^(?:(?:The|A|An|I|It|He|She|We|They|This|That|In|On|At|And|But)(?: |$))+', ''), '(?: (?:The|A|An|I|And|Of))+$', '') as entity from u),
+ f as (select doc_id, entity, row_number() over (partition by doc_id order by min(i)) as n from b where length(entity) >= 2 group by doc_id, entity) select doc_id, entity from f where n <= 16""")
 def title_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.explode(documents.heuristic_entities(F.col("text"))).alias("entity"))

@@ -11,6 +11,8 @@ from ..functions import vectors
 from ..operators import analytics, beliefs, documents, evaluation, fusion, journal, maintenance, retrieval, state
 from ..operators.filters import visible
 from ..sources.views import cte, load
+from . import sql
+from .memory_queries import _SLOTS
 from .registry import register
 from .search_queries import _BM25, _Q, _VECTOR, queries_of
 
@@ -159,7 +161,13 @@ def episode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.episode_chunks(load(spark, sf_dir, "conversations"), "conv_id", "turn", 400, 60)
 
 
-@register()
+_BARE = "list_distinct(list_filter(list_transform({}, lambda t: case when length(t) > 3 and t like '%s' then left(t, -1) else t end), lambda t: length(t) >= 2 and t not in (" + ", ".join(f"'{w}'" for w in documents.PROFILE_STOP_WORDS) + ")))"
+
+
+@register(f"""with q as (select conv_id as qid, lower(text) as asked, {_BARE.format(sql.words('text'))} as terms from conversations where turn = 0 and text is not null),
+ s as (select conv_id, 't' || lpad(turn::varchar, 3, '0') as id, lower(text) as low, {_BARE.format(sql.words("concat_ws(chr(10), role, text)"))} as held from conversations where text is not null),
+ p as (select q.qid, s.id, round(len(list_intersect(q.terms, s.held))::double / len(q.terms) + case when contains(s.low, q.asked) then 0.25 else 0.0 end, 9) as score from q join s on s.conv_id = q.qid where len(q.terms) > 0),
+ r as (select *, row_number() over (partition by qid order by score desc, id) as rank from p where score >= 0.01) select * from r where rank <= 3""")
 def profile_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as sections of its profile; its first turn as the query."""
     c = load(spark, sf_dir, "conversations").where("text is not null")
@@ -177,7 +185,9 @@ def belief_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beliefs.contextual_view(e.withColumn("evidence_key", F.col("id")), asked, F.lit(dt.datetime(2024, 1, 20)), policy)
 
 
-@register()
+@register(f"""{cte('state_obs')}{_SLOTS}, t as (select subject_key, attribute_key, 'Belief slot ' || subject_key || ' / ' || attribute_key || chr(10) || 'Current: ' || coalesce(max(value) filter (valid_to is null), 'unknown') || chr(10) || 'Timeline:' || chr(10)
+ || string_agg(strftime(valid_from, '%Y-%m-%d') || ' - ' || coalesce(strftime(valid_to, '%Y-%m-%d'), 'now') || ' : ' || value, chr(10) order by valid_from, island) || chr(10) || 'Evidence: ' || count(*) as summary from slots group by subject_key, attribute_key)
+ select subject_key, attribute_key, sha256(summary) as digest, length(summary) as chars from t""")
 def slot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.summary_text(state.slots(load(spark, sf_dir, "state_obs"))).select("subject_key", "attribute_key", F.sha2("summary", 256).alias("digest"), F.length("summary").alias("chars"))
 

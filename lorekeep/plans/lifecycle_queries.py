@@ -11,7 +11,8 @@ from ..operators import filters, lifecycle, maintenance, retrieval
 from ..operators.filters import visible
 from ..sources.views import cte, load
 from .registry import register
-from .search_queries import _Q, _VECTOR, _WHEN, _SAID, queries_of
+from .search_queries import _Q, _SAID, _VECTOR, _WHEN, queries_of
+from .sql import FNV, uuid
 
 NOW = dt.datetime(2024, 1, 20, 12, 30)
 NOW_SQL = "timestamp '2024-01-20 12:30:00'"
@@ -25,15 +26,6 @@ def _us(name: str):
     return F.unix_micros(F.col(name).cast("timestamp")).alias(f"{name}_us")
 
 
-_HASH = "list_reduce(list_transform(string_split({}, ''), lambda c: ord(c)::bigint), lambda h, u: xor(h, u) * 16777619 % 4294967296, 2166136261::bigint)"
-_FNV = f"lower(lpad(to_hex({_HASH}), 8, '0'))"
-
-
-def _uuid_sql(text: str) -> str:
-    h = f"sha256({text})"
-    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || lower(to_hex(cast('0x' || substr({h}, 17, 1) as bigint) % 4 + 8)) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
-
-
 @register(f"{cte('memories')}, e as (select namespace_id, episode_id, epoch_us(min(created_at)) as created_us, count(*) as rows from memories where episode_id is not null group by all), r as (select *, row_number() over (partition by namespace_id order by created_us desc, episode_id desc) as place from e) select * from r where place > 2 and place <= 7")
 def episode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "memories").where("episode_id is not null").groupBy("namespace_id", "episode_id").agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("created_us"), F.count("*").alias("rows"))
@@ -130,7 +122,7 @@ def evidence_after_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slot_hash(k: int) -> str:
-    return _FNV.format(f"('{k}:' || subject || '|' || attribute)")
+    return FNV.format(f"('{k}:' || subject || '|' || attribute)")
 
 
 @register(f"""{cte('memories')}, s as (select distinct subject, attribute from memories where attribute is not null), h as (select *, {' || '.join(map(_slot_hash, range(4)))} as h from s)
@@ -182,7 +174,7 @@ def batch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.batch_checks(items)
 
 
-@register(f"""with c as (select event_id, 'ns' || (user_id % 2) as n, 'k' || (event_id // 3) as k, event_id % 3 as p from events) select event_id, {_uuid_sql("n || chr(0) || k || chr(0) || p")} as memory_id from c""")
+@register(f"""with c as (select event_id, 'ns' || (user_id % 2) as n, 'k' || (event_id // 3) as k, event_id % 3 as p from events) select event_id, {uuid("n || chr(0) || k || chr(0) || p")} as memory_id from c""")
 def frozen_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     commands = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("ns"), (F.col("user_id") % 2).cast("string")).alias("namespace_id"), F.concat(F.lit("k"), F.expr("event_id div 3").cast("string")).alias("idempotency_key"), (e % 3).alias("position"))
@@ -204,7 +196,7 @@ def operation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.operation_states(_operations(spark, sf_dir), F.lit(NOW)).drop("lease_until")
 
 
-@register(f"""with {_LOG} select {_uuid_sql("operation_id || chr(0) || seq")} as event_id, operation_id, case event when 'complete' then 'COMMITTED' else 'FAILED' end as kind, seq from l where event in ('complete', 'fail')""")
+@register(f"""with {_LOG} select {uuid("operation_id || chr(0) || seq")} as event_id, operation_id, case event when 'complete' then 'COMMITTED' else 'FAILED' end as kind, seq from l where event in ('complete', 'fail')""")
 def journal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.journal_rows(_operations(spark, sf_dir))
 

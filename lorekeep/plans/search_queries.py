@@ -10,6 +10,7 @@ from ..operators import fusion, graph, retrieval
 from ..operators.filters import visible
 from ..sources.views import cte, load
 from .registry import register
+from . import sql
 from .search import hybrid
 
 
@@ -83,11 +84,18 @@ sh as (select a, b, w / sum(w) over (partition by a) as share from und),
 seed as (select id as qid, id, 1.0::double as r from memories where cast(substr(id, 2) as bigint) % 20 = 0)"""
 
 
-def _pagerank_sql(rounds: int) -> str:
+_ENTITY = f"""ee as (select memory_id as a, entity_id as b, 1.0::double as w from mentions union all select entity_id, memory_id, 1.0 from mentions
+ union all select src, dst, weight * {_FACTOR} * case relation when 'updates' then 0.4 when 'caused_by' then 0.6 when 'result_of' then 0.6 else 1.0 end from edges union all select dst, src, weight * {_FACTOR} from edges),
+und as (select a, b, sum(w) as w from ee where a <> b group by all), sh as (select a, b, w / sum(w) over (partition by a) as share from und), seed as (select id as qid, id, 1.0::double as r from memories where cast(substr(id, 2) as bigint) % 20 = 0)"""
+
+
+def _pagerank_sql(rounds: int, entities: bool = False) -> str:
     steps = ["p0 as materialized (select qid, id, r as p from seed)"]
     for k in range(rounds):
         steps.append(f"l{k} as materialized (select p.qid, sh.b as id, 0.5 * sum(p.p * coalesce(sh.share, 1.0)) as p from p{k} p left join sh on sh.a = p.id group by all)")
         steps.append(f"p{k + 1} as materialized (select qid, id, sum(p) as p from (select qid, id, p from l{k} where id is not null union all select s.qid, s.id, (0.5 + coalesce(d.p, 0)) * s.r from seed s left join (select qid, p from l{k} where id is null) d on d.qid = s.qid) group by all)")
+    if entities:
+        return f"{cte('memories', 'edges', 'mentions')}, {_ENTITY}, {', '.join(steps)} select qid, id, round(p, 6) as score from p{rounds} where id not in (select entity_id from mentions)"
     return f"{cte('memories', 'edges')}, {_UND}, {', '.join(steps)} select qid, id, round(p, 6) as score from p{rounds} where round(p, 6) > 0"
 
 
@@ -102,7 +110,18 @@ def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(queries_of(spark, sf_dir).select(F.col("qid").alias("id")), load(spark, sf_dir, "edges"), 2)
 
 
-@register()
+def _push_sql(depth: int) -> str:
+    steps = []
+    for k in range(depth + 1):
+        steps.append(f"s{k} as materialized (select f.qid, b.b as id, b.relation, b.score from f{k} f join both_ b on b.a = f.id where not exists (select 1 from n{k} n where n.qid = f.qid and n.id = b.b))")
+        steps.append(f"f{k + 1} as materialized (select distinct qid, id from s{k} where relation in ('related_to', 'part_of'))")
+        steps.append(f"n{k + 1} as materialized (select qid, id from n{k} union select qid, id from s{k})")
+    parts = " union all ".join(["select qid, id, 1.0::double as score from f0", *(f"select qid, id, score from s{k}" for k in range(depth + 1))])
+    return f"""{cte('memories', 'edges')}, both_ as (select e.a, e.b, e.relation, m.importance * e.f as score from (select src as a, dst as b, relation, weight * {_FACTOR} as f from edges union all select dst, src, relation, weight * {_FACTOR} from edges) e join memories m on m.id = e.b),
+ f0 as (select id as qid, id from memories where cast(substr(id, 2) as bigint) % 20 = 0), n0 as (select * from f0), {', '.join(steps)} select qid, id, round(max(score), 6) as score from ({parts}) group by all"""
+
+
+@register(_push_sql(2))
 def graph_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = queries_of(spark, sf_dir).select("qid", F.col("qid").alias("id"), F.lit(1.0).alias("mass"))
     return graph.push_scores(seeds, load(spark, sf_dir, "memories"), load(spark, sf_dir, "edges")).withColumn("score", F.round("score", 6))
@@ -169,17 +188,25 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_edges(load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions")).withColumn("w", F.round("w", 6))
 
 
-@register()
+@register(_pagerank_sql(15, True))
 def graph_entity_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = queries_of(spark, sf_dir).select("qid", F.col("qid").alias("id"), F.lit(1.0).alias("mass"))
     return graph.entity_pagerank(seeds, load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions"), every=5).withColumn("score", F.round("score", 6))
 
 
-@register()
+_SLOT = f"""least(1.0, case when length(m.subject) > 0 and contains(lower(q.text), lower(m.subject)) then 0.3 else 0.0 end
+ + case when coalesce(len(list_filter(string_split_regex(lower(m.attribute), '[^\\p{{L}}\\p{{N}}]+'), lambda p: length(p) >= 3 and contains(lower(q.text), p))) > 0, false) then 0.25 else 0.0 end
+ + 0.45 * (len(list_intersect({sql.content_terms('q.text')}, {sql.content_terms('m.content')}))::double / greatest(len({sql.content_terms('q.text')}), 1)))"""
+
+
+@register(f"""{cte('memories')}, {_Q}, {_VECTOR}, {_BM25}, p as (select coalesce(v.qid, t.qid) as qid, coalesce(v.id, t.id) as id, v.score as cosine, t.score as bm25, v.rank as v_rank, t.rank as t_rank from (select * from vec where rank <= 60) v full join (select * from fts where rank <= 60) t on v.qid = t.qid and v.id = t.id),
+ b as (select *, greatest(1.0, max(bm25) over (partition by qid)) as most from p),
+ s as (select b.qid, b.id, round(0.62 * coalesce(least(greatest(b.cosine, 0.0), 1.0), 0.0) + 0.26 * coalesce(b.bm25 / b.most, 0.0) + 0.08 * {_SLOT} + 0.04 * (coalesce(1.0 / (60 + b.v_rank), 0.0) + coalesce(1.0 / (60 + b.t_rank), 0.0)), 9) as score from b join memories m on m.id = b.id join q on q.qid = b.qid),
+ r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, round(score, 6) as score from r where rank <= 5""")
 def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import precision
 
-    return precision(queries_of(spark, sf_dir), load(spark, sf_dir, "memories"))
+    return rounded(precision(queries_of(spark, sf_dir), load(spark, sf_dir, "memories"))).drop("rank")
 
 
 _HOPS = "".join(f", f{k} as (select * from f{k - 1} union select f.qid, f.subject, f.attribute, w.new from f{k - 1} f join w using (id))" for k in range(1, 6))
