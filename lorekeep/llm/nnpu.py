@@ -4,8 +4,8 @@ Only confirmed toxic documents are used as examples, against unlabelled text of
 prior p, the risk of a scorer f is p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): the second part estimates the
 risk on clean text and can't be negative, so where a batch drives it under zero the step goes back up
 instead. The scorer is linear on n-gram indicators with logistic loss, trained by Adam in numpy on bounded samples.
-The class prior is a parameter; without one it is estimated from the examples and the unlabelled rows alone: labels of clean
-documents are never read.
+The class prior is a parameter. Without one it is the toxic share of all usable labels, for which alone labels of clean
+documents are counted; they are never examples.
 """
 
 from __future__ import annotations
@@ -97,22 +97,8 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, used: np.ndarray, ngrams
     return Model(ngrams, full, float(w[-1]))
 
 
-def estimated_prior(positive: Rows, unlabelled: Rows, used: np.ndarray, in_p: np.ndarray, in_u: np.ndarray) -> float:
-    """The toxic share of the unlabelled rows: rows are ordered by the summed log-ratios of their telling indicators, and of every
-    upper part that holds at least half of the examples the unlabelled share by that of the examples is an upper bound
-    of the prior; the least of these (with a margin of a standard error) is taken."""
-    n_p, n_u = len(positive.y), len(unlabelled.y)
-    if not n_p or not n_u:
-        return 0.0
-    ratio = np.log((in_p[used] + 0.5) / (n_p + 1)) - np.log((in_u[used] + 0.5) / (n_u + 1))
-    p, u = (np.bincount(r.doc, ratio[np.searchsorted(used, r.bucket)], len(r.y)) for r in (positive, unlabelled))
-    cuts = np.unique(np.quantile(p, np.linspace(0.0, 0.5, 26)))
-    in_both = [((p >= c).mean(), (u >= c).mean()) for c in cuts]
-    return float(min((b + np.sqrt(b * (1 - b) / n_u)) / a for a, b in in_both))
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
-    """usable: of doc_id; which labels and which unlabelled texts may be learnt from. prior: the toxic share (None: estimated).
+    """usable: of doc_id; which labels and which unlabelled texts may be learnt from. prior: the toxic share of the corpus (None: that of the usable labels).
 
     Counts of indicators are over all usable toxic ids up to max_positive and a sample of the corpus. Samples are picked by the hash
     of the id: the smallest hashes of toxic rows, and all ids of the corpus under a hash limit that gives max_unlabelled: a larger sample
@@ -130,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int
     (in_u, _), (_, in_p) = (bucket_counts(sparse_rows(x, NGRAMS, "y"), size) for x in (unlabelled, positive))
     used = telling(in_p, in_u, positive.count(), unlabelled.count())
     p, u = (Rows.collect(sparse_rows(x, NGRAMS, "doc_id", "y", only=used)) for x in (positive, unlabelled))
-    return fit(p, u, estimated_prior(p, u, used, in_p, in_u) if prior is None else prior, used)
+    return fit(p, u, (labels.where(usable).agg(F.avg("toxic")).first()[0] or 0.0) if prior is None else prior, used)
 
 
 def op2_nn_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
