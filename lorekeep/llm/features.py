@@ -169,6 +169,27 @@ def bucket_counts(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def corpus_counts(docs: DataFrame, ngrams: NGrams) -> tuple[np.ndarray, int]:
+    """How many texts of all rows have each bucket, and how many rows there are. A task adds up its own texts before the
+    shuffle, and 2**bits sums reach the driver."""
+    size = 1 << ngrams.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(size + 1, np.int64), 0
+        for batch in batches:
+            for _, texts in steps(batch, "text"):
+                total += np.bincount(ngrams.of(texts)[1], minlength=size + 1)
+                rows += len(texts)
+        total[size] = rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out[:size], int(out[size])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 

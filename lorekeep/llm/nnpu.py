@@ -3,7 +3,8 @@
 Only confirmed toxic documents are used as examples, against unlabelled text of the corpus. With the class
 prior p, the risk of a scorer f is p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): the second part estimates the
 risk on clean text and can't be negative, so where a batch drives it under zero the step goes back up
-instead. The scorer is linear on n-gram indicators with logistic loss, trained by Adam in numpy on bounded samples.
+instead. The scorer is linear on n-gram indicators with logistic loss, trained by Adam in numpy on bounded samples; which
+indicators it may use is told by counts over the whole corpus.
 The class prior is a parameter. Without one it is the toxic share of all usable labels, for which alone labels of clean
 documents are counted; they are never examples.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .features import NGrams, Rows, bucket_counts, labelled_sample, one_per_id, sigmoid, sparse_rows
+from .features import NGrams, Rows, bucket_counts, corpus_counts, labelled_sample, one_per_id, sigmoid, sparse_rows
 from .nbsvm import scored
 
 MAX_POSITIVE = 4_000
@@ -100,21 +101,21 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, used: np.ndarray, ngrams
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
     """usable: of doc_id; which labels and which unlabelled texts may be learnt from. prior: the toxic share of the corpus (None: that of the usable labels).
 
-    Counts of indicators are over all usable toxic ids up to max_positive and a sample of the corpus. Samples are picked by the hash
-    of the id: the smallest hashes of toxic rows, and all ids of the corpus under a hash limit that gives max_unlabelled: a larger sample
-    tells rarer wordings, the result does not otherwise depend on the corpus's size. Null labels and null ids are left out; of repeated ids
+    Indicators are screened by their counts over the texts of all rows, usable or not (no label is read there), against those over at most
+    max_positive usable toxic ids. The gradient steps take samples picked by the hash of the id: the smallest hashes of toxic ids, and of
+    the usable corpus all ids under a hash limit that gives about max_unlabelled. Null labels and null ids are left out; of repeated ids
     one row is used; a null text is an empty one, and long texts are read in slices. Without toxic examples, or without texts, every score is the
     prior. Only doc_id, text and toxic are read, whatever else the tables have."""
     toxic = labels.where(F.col("toxic") == 1)
+    in_u, rows = corpus_counts(docs, NGRAMS)
     corpus = docs.where(usable).count()
     positive = labelled_sample(docs, toxic, "toxic", usable, max_positive)
     part = min(1.0, max_unlabelled / max(1, corpus))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))
     unlabelled = one_per_id(docs.where(usable & spread & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("y"), "text"))
     # first the counts of all indicators, then the rows with the telling ones: the driver gets little of either
-    size = 1 << NGRAMS.bits
-    (in_u, _), (_, in_p) = (bucket_counts(sparse_rows(x, NGRAMS, "y"), size) for x in (unlabelled, positive))
-    used = telling(in_p, in_u, positive.count(), unlabelled.count())
+    in_p = bucket_counts(sparse_rows(positive, NGRAMS, "y"), 1 << NGRAMS.bits)[1]
+    used = telling(in_p, in_u, positive.count(), rows)
     p, u = (Rows.collect(sparse_rows(x, NGRAMS, "doc_id", "y", only=used)) for x in (positive, unlabelled))
     return fit(p, u, (labels.where(usable).agg(F.avg("toxic")).first()[0] or 0.0) if prior is None else prior, used)
 
