@@ -7,10 +7,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_uuid, words_of
+from ..scratch import kept
 from . import fusion, retrieval
 
 MAX_CHARS, OVERLAP = 1600, 200
@@ -132,38 +134,68 @@ def profile_sections(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(F.substring_index(p, "\n", 1), r"^\s*#+", "")).alias("title"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
 
 
-def transcript_cuts(text: str, max_chars: int = 16_000, overlap: int = 512) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a transcript: a piece ends at its last line break if that is past its middle; the next
-    one starts at a line break within the overlap, if there is one."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + max_chars, len(text))
-        if end < len(text):
-            line = text.rfind("\n", start, end + 1)
-            end = line if line > start + max_chars // 2 else end
-        out.append((start, end))
-        if end == len(text):
-            break
-        back = max(start + 1, end - overlap)
-        line = text.find("\n", back, end)
-        start = back if line < 0 else line + 1
-    return out
+class Transcript:
+    """The pieces of a text that comes line by line: a piece ends at its last line break if that is past its middle; the next one
+    starts at a line break within the overlap, if there is one. Holds one piece and one line at most."""
+
+    def __init__(self, max_chars: int, overlap: int) -> None:
+        self.max_chars, self.overlap = max_chars, overlap
+        self.held: str | None = None
+
+    def add(self, line: str) -> Iterator[str]:
+        """The pieces that end before the end of ``line``."""
+        text = line if self.held is None else f"{self.held}\n{line}"
+        start = 0
+        while len(text) - start > self.max_chars:
+            end = start + self.max_chars
+            at = text.rfind("\n", start, end + 1)
+            end = at if at > start + self.max_chars // 2 else end
+            yield text[start:end]
+            back = max(start + 1, end - self.overlap)
+            at = text.find("\n", back, end)
+            start = back if at < 0 else at + 1
+        self.held = text[start:]
+
+    def rest(self) -> Iterator[str]:
+        if self.held:
+            yield self.held
+        self.held = None
 
 
 def episode_chunks(messages: DataFrame, episode: str = "episode_id", order: str = "turn", max_chars: int = 16_000, overlap: int = 512) -> DataFrame:
-    """(episode, index, count, content): transcripts of ``role: text`` lines in overlapping pieces. An episode is one
-    conversation, which fits in a task; it is never a whole source."""
+    """(episode, index, count, content): transcripts of ``role: text`` lines in overlapping pieces. Where a piece ends depends on the
+    one before it, so an episode is one task's, but its rows stream through in order and are never held together. Rows without
+    an episode are one; a null role or text is an empty one."""
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
-    texts = messages.groupBy(episode).agg(F.array_join(F.array_sort(F.collect_list(F.struct(order, line.alias("line"))))["line"], "\n").alias("text"))
+    rows = messages.select(F.col(episode).alias("episode"), F.col(order).alias("order"), line.alias("line"))
+    rows = rows.repartition("episode").sortWithinPartitions("episode", "order", "line").select("episode", "line")
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for e, text in zip(part[episode], part["text"]):
-                cuts = transcript_cuts(text, max_chars, overlap)
-                yield pd.DataFrame({episode: e, "index": range(len(cuts)), "count": len(cuts), "content": [text[a:b] for a, b in cuts]})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, index, kind = None, False, 0, None
+        text = Transcript(max_chars, overlap)
+        for batch in batches:
+            kind, out = batch.schema.field("episode").type, []
+            for e, said in zip(batch.column("episode").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if seen and e != now:
+                    out += [(now, index + k, piece) for k, piece in enumerate(text.rest())]
+                    index = 0
+                now, seen = e, True
+                for piece in text.add(said):
+                    out.append((e, index, piece))
+                    index += 1
+            yield _pieces(out, kind)
+        if seen:
+            yield _pieces([(now, index + k, piece) for k, piece in enumerate(text.rest())], kind)
 
     kind = messages.schema[episode].dataType.simpleString()
-    return texts.mapInPandas(cut, f"{episode} {kind}, index int, count int, content string")
+    pieces = kept(rows.mapInArrow(cut, f"episode {kind}, index int, content string"), "episode-chunks")
+    counts = pieces.groupBy(F.col("episode").alias("of")).agg(F.count("*").cast("int").alias("count"))
+    return pieces.join(counts, F.col("episode").eqNullSafe(F.col("of"))).select(F.col("episode").alias(episode), "index", "count", "content")
+
+
+def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    episode, index, content = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(episode, kind), pa.array(index, pa.int32()), pa.array(content, pa.string())], names=["episode", "index", "content"])
 
 
 # Words of no weight when a profile is searched.

@@ -109,29 +109,28 @@ def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.memory_events(tasks, journal.event_status(F.col("state")))
 
 
-@register(f"""{cte('memories')}, {_Q}, {_VECTOR}, t as (select q.qid, m.id from q join memories m on m.id <> q.qid and m.episode_id = (select episode_id from memories x where x.id = q.qid) where cast(substr(m.id, 2) as bigint) % 10 = 0)
+@register(f"""{cte('memories')}, {_Q}, {_VECTOR}, t as (select q.qid, m.id from q join memories m on m.id <> q.qid and m.episode_id = (select episode_id from memories x where x.id = q.qid))
  select qid, coalesce(bool_or(rank <= 10), false) as hit from t left join vec using (qid, id) group by qid""")
 def hits_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a query's first ten vector hits hold a row of its own episode (rows of ids divisible by 10 are the targets)."""
+    """Whether a query's first ten vector hits hold a row of its own episode."""
     rows = load(spark, sf_dir, "memories")
     hits = retrieval.vector_lane(queries_of(spark, sf_dir), rows.where(visible()), 10)
     ids = rows.where("episode_id is not null").select("id", "episode_id")
-    n = F.substring("id", 2, 7).cast("long")
-    asked = ids.where(n % 20 == 0).withColumnRenamed("id", "qid")
-    targets = asked.join(ids.where(n % 10 == 0), "episode_id").where("qid <> id").select("qid", "id")
+    asked = ids.where(F.substring("id", 2, 7).cast("long") % 20 == 0).withColumnRenamed("id", "qid")
+    targets = asked.join(ids, "episode_id").where("qid <> id").select("qid", "id")
     return evaluation.hit_at_k(hits, targets)
 
 
 _FLAT = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 
-@register(f"""with c as (select conv_id as qid, string_agg(text, chr(10) order by turn) as context from conversations where turn <> 1 group by conv_id), e as (select conv_id as qid, substr(text, 1, 12) as text from conversations)
+@register(f"""with c as (select conv_id as qid, string_agg(text, chr(10) order by turn) as context from conversations where turn < 4 and conv_id is not null group by conv_id), e as (select conv_id as qid, text from conversations)
  select qid, bool_and(coalesce(contains({_FLAT.format('context')}, {_FLAT.format('text')}), false)) as recalled, count(*) as evidence from e left join c using (qid) group by qid""")
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a conversation without its turn 1 still holds the opening of every turn."""
+    """Whether the first four turns of a conversation, as its context, hold the text of all its turns."""
     c = load(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "qid")
-    contexts = c.where("turn <> 1").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("context"))
-    return evaluation.evidence_recall(contexts, c.select("qid", F.substring("text", 1, 12).alias("text")))
+    contexts = c.where("turn < 4 and qid is not null").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("context"))
+    return evaluation.evidence_recall(contexts, c.select("qid", "text"))
 
 
 @register("select conv_id, role as category, avg(case when role = 'event_ordering' then turn * 0.7 else trunc(turn * 0.7) end) as score, count(*) as items from (select conv_id, turn, case when role = 'user' then 'event_ordering' else role end as role from conversations) group by all")
@@ -140,10 +139,18 @@ def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.rubric_scores(c.select("conv_id", F.when(F.col("role") == "user", "event_ordering").otherwise(F.col("role")).alias("category"), (F.col("turn") * 0.7).alias("score")), "conv_id")
 
 
-@register()
+@register("""with c as (select conv_id, turn, role, coalesce(text, '') as event from conversations), r as (select conv_id, event, row_number() over (partition by conv_id order by turn, event) as place from c),
+ s as (select conv_id, event, row_number() over (partition by conv_id order by role, event) as place from c where turn <> 2),
+ u as (select conv_id, event, x.place as x, y.place as y, x.n as lost, y.n as extra from (select conv_id, event, max(place) as place, count(*) as n from r group by all) x full join (select conv_id, event, max(place) as place, count(*) as n from s group by all) y using (conv_id, event)),
+ n as (select conv_id, count(*) as n, count(*) filter (x is not null and y is not null) as same, coalesce(sum(lost) filter (y is null), 0) as lost, coalesce(sum(extra) filter (x is null), 0) as extra from u group by conv_id),
+ k as (select conv_id, coalesce(x, n + 1) as x, coalesce(y, n + 1) as y from u join n using (conv_id)),
+ t as (select a.conv_id, sum(sign(a.x - b.x) * sign(a.y - b.y)) as s, sum(abs(sign(a.x - b.x)))::double as nx, sum(abs(sign(a.y - b.y)))::double as ny from k a join k b using (conv_id) group by a.conv_id),
+ m as (select conv_id, case when same + extra > 0 then same / (same + extra)::double else 0.0 end as p, case when same + lost > 0 then same / (same + lost)::double else 0.0 end as r, case when nx > 0 and ny > 0 then (s / sqrt(nx * ny) + 1) / 2 else 0.0 end as t from n join t using (conv_id)),
+ f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end as f from m)
+ select conv_id, round(p, 6)::double as precision, round(r, 6)::double as recall, round(f, 6)::double as f1, round(t, 6)::double as tau_norm, round(t * f, 6)::double as final from f""")
 def event_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of a conversation's openings by turn against that by role and text."""
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring(F.coalesce("text", F.lit("")), 1, 8).alias("event"))
+    """The order of a conversation's texts by turn against that by role and text."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("event"))
     lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "event")))["event"].alias("reference"), F.array_sort(F.collect_list(F.when(F.col("turn") != 2, F.struct("role", "event"))))["event"].alias("system"))
     return evaluation.event_ordering(lists).select("conv_id", *[F.round(n, 6).alias(n) for n in ("precision", "recall", "f1", "tau_norm", "final")])
 

@@ -115,17 +115,48 @@ def test_rubric_and_evidence(spark):
     assert {r.qid: r.recalled for r in evaluation.evidence_recall(contexts, evidence).collect()} == {1: True, 2: False, 3: False}
 
 
+def whole_transcript(text, most, overlap):
+    """(start, end) of the pieces, from the whole text."""
+    found, start = [], 0
+    while text:
+        end = min(start + most, len(text))
+        if end == len(text):
+            return [*found, (start, end)]
+        breaks = [i for i in range(start + most // 2 + 1, end + 1) if text[i] == "\n"]
+        end = breaks[-1] if breaks else end
+        found.append((start, end))
+        after = [i + 1 for i in range(max(start + 1, end - overlap), end) if text[i] == "\n"]
+        start = after[0] if after else max(start + 1, end - overlap)
+    return found
+
+
 def test_transcript_pieces(spark):
     rng = random.Random(5)
-    for _ in range(200):
+    for _ in range(300):
         text = "".join(rng.choice("ab\n") for _ in range(rng.randrange(200)))
-        cuts = documents.transcript_cuts(text, 40, 8)
+        cuts = whole_transcript(text, 40, 8)
         assert not text or (cuts[0][0] == 0 and cuts[-1][1] == len(text))
         assert all(b - a <= 40 for a, b in cuts)
-        assert all(a < c <= b for (a, b), (c, _) in zip(cuts, cuts[1:]) if c != b + 1)  # nothing but a line break between two pieces
         assert all(c <= b + 1 for (_, b), (c, _) in zip(cuts, cuts[1:]))
+        streamed, lines, held = documents.Transcript(40, 8), [], []
+        for line in text.split("\n"):  # rows of one line or several
+            held.append(line)
+            if rng.random() < 0.6:
+                lines.append("\n".join(held))
+                held = []
+        lines += ["\n".join(held)] if held else []
+        got = [piece for line in lines for piece in streamed.add(line)] + list(streamed.rest())
+        assert got == [text[a:b] for a, b in cuts]
     rows = spark.createDataFrame([("e", 2, "user", "there"), ("e", 1, "user", None), ("f", 1, None, "x")], "episode_id string, turn int, role string, text string")
     assert sorted((r.episode_id, r.content) for r in documents.episode_chunks(rows).collect()) == [("e", "user: \nuser: there"), ("f", ": x")]
+    assert documents.episode_chunks(rows.limit(0)).count() == 0
+    many = spark.createDataFrame([(i % 3 if i % 3 else None, i, "user", "x" * (i % 50) + "\ny") for i in range(300)], "episode_id int, turn int, role string, text string")
+    want = set()
+    for e in (None, 1, 2):
+        text = "\n".join(f"user: {'x' * (i % 50)}\ny" for i in range(300) if (i % 3 or None) == e)
+        cuts = whole_transcript(text, 120, 30)
+        want |= {(e, k, len(cuts), text[a:b]) for k, (a, b) in enumerate(cuts)}
+    assert {tuple(r) for r in documents.episode_chunks(many, max_chars=120, overlap=30).collect()} == want
 
 
 def test_sections(spark):
