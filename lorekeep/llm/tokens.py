@@ -147,7 +147,8 @@ def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
 
 def byte_grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of all runs of n bytes of a text and its line feed, the bytes as in ``w``."""
-    n = min(n, len(w.data))
+    if len(w.data) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.zeros(len(w.data) - n + 1, np.uint64)
     for j in range(n):  # n is at most 8: the bytes themselves, then mixed
         at = (at << np.uint64(8)) | w.data[j : len(w.data) - n + 1 + j]

@@ -147,6 +147,18 @@ def test_clean_labels_are_no_examples(spark):
     assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
 
 
+def test_corpus_counts_cover_all_rows(spark):
+    """The counts that screen indicators equal a count text by text, over nulls, repeated rows and any partitions."""
+    docs = table(spark, SF, "documents").select("text").limit(50)
+    docs = docs.unionByName(docs).unionByName(spark.createDataFrame([(None,), ("",)], "text string")).repartition(5)
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    want = sum(np.bincount(nnpu.NGRAMS.of([t])[1], minlength=1 << nnpu.NGRAMS.bits) for t in texts)
+    got, rows = features.corpus_counts(docs, nnpu.NGRAMS)
+    assert rows == len(texts) == 102 and np.array_equal(got, want)
+    got, rows = features.corpus_counts(docs.limit(0), nnpu.NGRAMS)
+    assert rows == 0 and not got.any()
+
+
 def test_temperature_and_platt():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(4000, 3))
