@@ -13,9 +13,12 @@ from .mixing import OP6_SQL, op6_pareto_mixing
 from .nbsvm import op7_naive_bayes_svm
 from .nnpu import op2_nn_pu
 from .paragraphs import op10_paragraph_minhash
+from .periodic import op12_harmonic_grid_runs
 from .quality_rules import op1_compression_bands
 from .sharding import OP9_SQL, op9_prefix_sum_shards
 from .simhash import op4_simhash_bktree
+from .url_rules import OP11_SQL, op11_redirect_equivalence
+from .whitening import op13_chan_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
@@ -28,7 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_prefix_sum_shards": op9_prefix_sum_shards,
     "op10_paragraph_minhash": op10_paragraph_minhash,
+    "op11_redirect_equivalence": op11_redirect_equivalence,
+    "op12_harmonic_grid_runs": op12_harmonic_grid_runs,
+    "op13_chan_whitening": op13_chan_whitening,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op5_budgeted_windows": OP5_SQL, "op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL, "op9_prefix_sum_shards": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_budgeted_windows": OP5_SQL, "op6_pareto_mixing": OP6_SQL, "op8_winnowing": OP8_SQL, "op9_prefix_sum_shards": OP9_SQL, "op11_redirect_equivalence": OP11_SQL}
