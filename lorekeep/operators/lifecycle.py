@@ -90,17 +90,23 @@ def entity_edges(batch: DataFrame, memories: DataFrame, mentions: DataFrame, mos
     return best.select("src", "dst", F.lit("same_entity").alias("relation"), F.lit(weight).alias("weight"))
 
 
-def entity_matches(queries: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(qid, id, boost): rows that mention an entity that a query names, in its text or word by word in its content terms; min(0.12, 0.3 /
-    sqrt(rows of the entity)), the largest of a row's. entities: id, name. Names are found by their words, never by a join of all with all."""
+def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, entity_id): entities that a query names, in its text or word by word in its content terms. queries: qid, text;
+    entities: id, name. Names are found by their words, never by a join of all with all."""
     asked = queries.select("qid", F.lower("text").alias("low"), content_terms(F.col("text")).alias("terms"))
     names = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name"), F.array_distinct(words_of(F.col("name"))).alias("parts")).where(F.size("parts") > 0)
     said = asked.select("qid", F.explode(F.array_distinct(words_of(F.col("low")))).alias("word"))
     hit = names.select("entity_id", F.explode("parts").alias("word"), F.size("parts").alias("n")).join(said, "word").groupBy("qid", "entity_id", "n").agg(F.count("*").alias("found")).where("found = n")
     sure = hit.join(names, "entity_id").join(asked, "qid").where(F.col("low").contains(F.col("name")) | (F.size(F.array_except("parts", "terms")) == 0))
+    return sure.select("qid", "entity_id")
+
+
+def entity_matches(queries: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(qid, id, boost): rows that mention an entity that a query names; min(0.12, 0.3 / sqrt(rows of the entity)), the largest of a row's.
+    entities: id, name."""
     sizes = mentions.groupBy("entity_id").agg(F.count("*").alias("rows"))
     boost = F.least(F.lit(0.12), 0.3 / F.sqrt(F.greatest("rows", F.lit(1))))
-    return sure.select("qid", "entity_id").join(sizes, "entity_id").join(mentions, "entity_id").groupBy("qid", F.col("memory_id").alias("id")).agg(F.max(boost).alias("boost"))
+    return named_entities(queries, entities).join(sizes, "entity_id").join(mentions, "entity_id").groupBy("qid", F.col("memory_id").alias("id")).agg(F.max(boost).alias("boost"))
 
 
 def evidence_after(evidence: DataFrame, log: DataFrame, source: str = "source_id", scope: str = "context_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fusion, graph, retrieval
+from ..operators import fusion, graph, lifecycle, retrieval
 from ..operators.filters import visible
 from ..sources.views import cte, load
 from .registry import register
@@ -194,6 +194,45 @@ def graph_entity_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_pagerank(seeds, load(spark, sf_dir, "edges"), load(spark, sf_dir, "mentions"), every=5).withColumn("score", F.round("score", 6))
 
 
+# entities are named by their ids; a query is a row's text and the name of an entity
+_NAMED = "q as (select id as qid, content || ' and e' || cast(cast(substr(id, 2) as bigint) % 25 as varchar) as text, embedding from memories where cast(substr(id, 2) as bigint) % 20 = 0)"
+_NAMES = "named as (select q.qid, e.entity_id from q join (select distinct entity_id from mentions) e on list_contains(string_split_regex(lower(q.text), '[^\\p{L}\\p{N}]+'), e.entity_id))"
+
+
+def named_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring("qid", 2, 7).cast("long") % 25
+    return queries_of(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" and e"), n.cast("string")))
+
+
+def entities_of(mentions: DataFrame) -> DataFrame:
+    return mentions.select(F.col("entity_id").alias("id"), F.col("entity_id").alias("name")).distinct()
+
+
+def _walk_sql(rounds: int, epsilon: float, hops: int) -> str:
+    steps = []
+    for k in range(rounds):
+        steps.append(f"g{k} as materialized (select *, round(r, 12) >= {epsilon} * edges and hop < {hops} as ready from s{k})")
+        steps.append(f"""s{k + 1} as materialized (select qid, id, max(edges) as edges, min(hop) as hop, sum(p) as p, sum(r) as r from (
+ select qid, id, edges, hop, p + case when ready then 0.5 * r else 0 end as p, case when ready then 0 else r end as r from g{k}
+ union all select g.qid, sh.b, d.edges, g.hop + 1, 0, 0.5 * g.r * sh.share from g{k} g join sh on sh.a = g.id join deg d on d.a = sh.b where g.ready) group by all)""")
+    return f"""{cte('memories', 'edges', 'mentions')}, {_NAMED}, {_NAMES}, {_ENTITY.replace('seed as (', 'unused as (')}, deg as (select a, count(*) as edges from und group by a),
+ seed as (select qid, id, sum(mass) as mass from (select qid, qid as id, 1.0::double as mass from q union all select qid, entity_id, 1.0 from named) group by all),
+ st as (select seed.*, deg.edges, mass / (sum(mass) over (partition by qid) - 0.5 * sum(case when deg.edges is null then mass else 0 end) over (partition by qid)) as r from seed left join deg on deg.a = seed.id),
+ s0 as materialized (select qid, id, edges, 0 as hop, case when edges is null then 0.5 * r else 0 end as p, case when edges is null then 0 else r end as r from st), {', '.join(steps)},
+ f as (select *, round(p + 0.5 * r, 9) as score, round(0.5 * sum(r) over (partition by qid), 9) as slack from s{rounds}),
+ k as (select *, row_number() over (partition by qid order by score desc, id) as rank from f where id in (select id from memories))
+ select qid, id, round(score, 6) as score, round(slack, 6) as slack from k where rank <= 50 and score > 0"""
+
+
+@register(_walk_sql(8, 1e-3, 3))
+def graph_entity_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk from a row and the entities that its query names, to the 50 best rows."""
+    q, mentions = named_queries(spark, sf_dir), load(spark, sf_dir, "mentions")
+    seeds = q.select("qid", F.col("qid").alias("id"), F.lit(1.0).alias("mass"))
+    found = graph.entity_walk(seeds, lifecycle.named_entities(q, entities_of(mentions)), load(spark, sf_dir, "memories"), load(spark, sf_dir, "edges"), mentions)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.round("slack", 6).alias("slack"))
+
+
 _SLOT = f"""least(1.0, case when length(m.subject) > 0 and contains(lower(q.text), lower(m.subject)) then 0.3 else 0.0 end
  + case when coalesce(len(list_filter(string_split_regex(lower(m.attribute), '[^\\p{{L}}\\p{{N}}]+'), lambda p: length(p) >= 3 and contains(lower(q.text), p))) > 0, false) then 0.25 else 0.0 end
  + 0.45 * (len(list_intersect({sql.content_terms('q.text')}, {sql.content_terms('m.content')}))::double / greatest(len({sql.content_terms('q.text')}), 1)))"""
@@ -209,6 +248,20 @@ def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(precision(queries_of(spark, sf_dir), load(spark, sf_dir, "memories"))).drop("rank")
 
 
+@register(f"""{cte('memories', 'mentions')}, {_NAMED}, {_NAMES}, {_VECTOR}, {_BM25}, sz as (select entity_id, count(*) as n from mentions group by 1),
+ eb as (select qid, m.memory_id as id, max(least(0.12, 0.3 / sqrt(sz.n))) as boost from named join sz using (entity_id) join mentions m using (entity_id) group by all),
+ p as (select coalesce(v.qid, t.qid) as qid, coalesce(v.id, t.id) as id, v.score as cosine, t.score as bm25, v.rank as v_rank, t.rank as t_rank from (select * from vec where rank <= 60) v full join (select * from fts where rank <= 60) t on v.qid = t.qid and v.id = t.id),
+ b as (select p.*, eb.boost, greatest(1.0, max(bm25) over (partition by qid)) as most from p left join eb using (qid, id)),
+ s as (select b.qid, b.id, round(0.62 * coalesce(least(greatest(b.cosine, 0.0), 1.0), 0.0) + 0.26 * coalesce(b.bm25 / b.most, 0.0) + 0.08 * least(1.0, {_SLOT} + coalesce(b.boost, 0.0)) + 0.04 * (coalesce(1.0 / (60 + b.v_rank), 0.0) + coalesce(1.0 / (60 + b.t_rank), 0.0)), 9) as score from b join memories m on m.id = b.id join q on q.qid = b.qid),
+ r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, round(score, 6) as score from r where rank <= 5""")
+def search_precision_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-fact search with the boosts of the entities that a query names."""
+    from .search import precision
+
+    q, mentions = named_queries(spark, sf_dir), load(spark, sf_dir, "mentions")
+    return rounded(precision(q, load(spark, sf_dir, "memories"), entities=entities_of(mentions), mentions=mentions)).drop("rank")
+
+
 _HOPS = "".join(f", f{k} as (select * from f{k - 1} union select f.qid, f.subject, f.attribute, w.new from f{k - 1} f join w using (id))" for k in range(1, 6))
 
 
