@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_terms, cosine, index_terms
+from ..scratch import kept
 
 K1, B = 1.5, 0.75
 #: Queries that are broadcast at most; a larger set is cut into blocks of so many.
@@ -35,13 +36,17 @@ def _parts(queries: DataFrame, size: Column) -> list[DataFrame]:
 
 
 def _best(scores: np.ndarray, ids: pa.Array, qids: pa.Array, limit: int, own: np.ndarray | None = None) -> pa.RecordBatch:
-    """The ``limit`` best rows of each query (a column of ``scores``) with those equal to the last of them. own: pairs to be left out."""
+    """The ``limit`` best rows of each query (a column of ``scores``), by score and then id. own: pairs to be left out."""
     if own is not None:
         scores = np.where(own, -np.inf, scores)
+    keep = np.isfinite(scores)
     if len(scores) > limit:
+        order = pc.array_sort_indices(ids)  # rows by id: of equal scores the first ones stay
+        ids, scores = ids.take(order), scores[order.to_numpy()]
         least = np.partition(scores, len(scores) - limit, axis=0)[len(scores) - limit]
-        scores = np.where(scores >= least, scores, -np.inf)
-    row, query = np.nonzero(np.isfinite(scores))
+        above, equal = scores > least, scores == least
+        keep = (above | (equal & (np.cumsum(equal, axis=0) <= limit - above.sum(axis=0)))) & np.isfinite(scores)
+    row, query = np.nonzero(keep)
     return pa.RecordBatch.from_arrays([qids.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], names=["qid", "id", "score"])
 
 
@@ -96,6 +101,7 @@ def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataF
     task adds up its rows' weights over those lists and sends on only the best of each batch and query, so that frequent
     terms, which nearly every query shares with nearly every row, are never joined."""
     docs = memories.select("id", index_terms(F.col("content")).alias("terms")).where(F.size("terms") > 0)
+    docs = kept(docs, "bm25-terms")  # made once: counted for each block of queries, then scored
     n_docs, length = docs.agg(F.count("*"), F.avg(F.size("terms"))).first()
     asked = queries.select("qid", F.array_distinct(index_terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
@@ -121,7 +127,7 @@ def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataF
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
 
-        counted = docs.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        counted = docs.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         df = np.zeros(len(vocabulary))
         df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
         idf = memories.sparkSession.sparkContext.broadcast(np.log((n_docs - df + 0.5) / (df + 0.5) + 1))
@@ -135,20 +141,45 @@ def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataF
                     doc, term, tf = _postings(part.column("terms"), words)
                     size = pc.list_value_length(part.column("terms")).to_numpy()[doc]
                     weight = idf.value[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / length))
-                    total = np.zeros(part.num_rows * len(qids))
-                    many = first[term + 1] - first[term]
-                    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + BLOCK_VALUES, BLOCK_VALUES))
-                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                        n = many[lo:hi]
-                        where = np.repeat(first[term[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        total += np.bincount(np.repeat(doc[lo:hi], n) * len(qids) + of[where], np.repeat(weight[lo:hi], n), len(total))
-                    scores = np.round(total.reshape(part.num_rows, len(qids)), 9)  # the order of the sum must not break ties
+                    total = _added(doc, term, weight, first, of, part.num_rows, len(qids))
+                    scores = np.round(total, 9)  # the order of the sum must not break ties
                     yield _best(np.where(scores > 0, scores, -np.inf), part.column("id"), qids, limit)
 
         found.append(docs.mapInArrow(run, schema))
     return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
 
 
+#: A term of more than a share of the queries is multiplied as a row of a matrix, so many terms at once; others are added up one by one.
+DENSE_SHARE, DENSE_TERMS = 1 / 32, 256
+
+
+def _added(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, first: np.ndarray, of: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """rows x n sums of the weights of (doc, term) over the queries of[first[term]:first[term + 1]] of each term."""
+    many = first[term + 1] - first[term]
+    total = np.zeros(rows * n)
+    rare = np.flatnonzero(many <= max(8, n * DENSE_SHARE))
+    # as many terms at once as have about BLOCK_VALUES queries together
+    cuts = np.unique([0, *np.searchsorted(np.cumsum(many[rare]), np.arange(BLOCK_VALUES, many[rare].sum(), BLOCK_VALUES)), len(rare)])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = rare[lo:hi]
+        m = many[at]
+        where = np.repeat(first[term[at]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        total += np.bincount(np.repeat(doc[at], m) * n + of[where], np.repeat(weight[at], m), len(total))
+    total = total.reshape(rows, n)
+    often = np.flatnonzero(many > max(8, n * DENSE_SHARE))
+    often = often[np.argsort(term[often], kind="stable")]
+    terms, column = np.unique(term[often], return_inverse=True)
+    for a in range(0, len(terms), DENSE_TERMS):
+        lo, hi = np.searchsorted(column, [a, a + DENSE_TERMS])
+        at, names = often[lo:hi], terms[a : a + DENSE_TERMS]
+        x, y = np.zeros((rows, len(names))), np.zeros((len(names), n))
+        x[doc[at], column[lo:hi] - a] = weight[at]
+        for k, t in enumerate(names.tolist()):
+            y[k, of[first[t] : first[t + 1]]] = 1
+        total += x @ y
+    return total
+
+
 def _postings(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, how often) of the terms of ``vocabulary`` in each row's list."""
     flat = lists.flatten()
@@ -158,26 +189,60 @@ def _postings(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np
     return key // len(vocabulary), key % len(vocabulary), tf
 
 
-def _held(queries: DataFrame) -> DataFrame:
-    """The queries, to be broadcast if they are at most QUERY_BLOCK rows."""
-    return F.broadcast(queries) if len(queries.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK else queries
+DAY_MS = 86_400_000
+
+
+def _ms(c: str) -> Column:
+    return F.unix_millis(F.col(c).cast("timestamp"))
+
+
+def _first_of_day(rows: DataFrame, kind: str, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` rows of each day, cut before the shuffle as well."""
+    place = F.row_number().over(Window.partitionBy("day").orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).drop("place").withColumn("kind", F.lit(kind))
+
+
+def _asked_days(queries: DataFrame, reach_ms: int) -> DataFrame:
+    """A row for each UTC day that a query's widened range touches: before or after its range, inside, or an edge of it."""
+    q = queries.where("from is not null and to is not null").select("qid", _ms("from").alias("first"), _ms("to").alias("last"))
+    day = lambda c: F.floor(c / DAY_MS)
+    q = q.where(F.col("first") <= F.col("last") + 2 * reach_ms).withColumn("day", F.explode(F.sequence(day(F.col("first") - reach_ms), day(F.col("last") + reach_ms))))
+    start, end = F.col("day") * DAY_MS, F.col("day") * DAY_MS + (DAY_MS - 1)
+    kind = F.when(end < F.col("first"), "before").when(start > F.col("last"), "after").when((start >= F.col("first")) & (end <= F.col("last")), "inside").otherwise("edge")
+    return q.withColumn("kind", kind)
 
 
 def temporal_lane(queries: DataFrame, memories: DataFrame, tau_days: float = 7.0, limit: int = 50) -> DataFrame:
-    """Rows by the distance of their event_date to the query's range (from, to), as exp(-days / tau). queries: qid,
-    from, to. With tau 0: rows in the range, most recent first, by place."""
-    rows = memories.where("event_date is not null").select("id", "event_date", "created_at")
-    day = F.lit(86_400_000.0)
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    """Rows by the distance of their event_date to the query's range (from, to; to the millisecond), as exp(-days / tau). queries: qid, from,
+    to. With tau 0: rows in the range, most recent first, by place.
+
+    Rows are keyed by their UTC day and queries are exploded over the days of their range, so the join is one of equal days. Of a day before the
+    range only its last ``limit`` rows can be results, of a day after it the first ones, and of a day inside those of the smallest
+    ids; only the days in which a range begins or ends are joined whole, and trimmed. Queries without a date have no
+    rows."""
+    rows = memories.where("event_date is not null").select("id", _ms("event_date").alias("at"), "created_at").withColumn("day", F.floor(F.col("at") / DAY_MS))
     if tau_days <= 0:
-        inside = rows.join(_held(queries), (F.col("event_date") >= F.col("from")) & (F.col("event_date") <= F.col("to")))
-        order = Window.partitionBy("qid").orderBy(F.desc("created_at"), F.desc("id"))
-        found = inside.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("qid"))})
-        return top(found.select("qid", "id", (1 - F.col("i") / F.col("n")).alias("score")), limit)
-    reach = F.expr(f"make_dt_interval({int(3 * tau_days)})")
-    near = rows.join(_held(queries), (F.col("event_date") >= F.col("from") - reach) & (F.col("event_date") <= F.col("to") + reach))
-    far = F.greatest(F.lit(0), ms("from") - ms("event_date"), ms("event_date") - ms("to")) / day
-    return top(near.select("qid", "id", F.exp(-far / tau_days).alias("score")).where("score > 0.01"), limit)
+        return _in_range(_asked_days(queries, 0), rows, limit)
+    lists = [_first_of_day(rows, "before", limit, F.desc("at"), F.col("id")), _first_of_day(rows, "after", limit, F.col("at"), F.col("id")), _first_of_day(rows, "inside", limit, F.col("id")), rows.withColumn("kind", F.lit("edge"))]
+    held = reduce(DataFrame.unionByName, lists).select("id", "at", "day", "kind")
+    reach = int(3 * tau_days) * DAY_MS
+    pairs = _asked_days(queries, reach).join(held, ["day", "kind"]).where((F.col("at") >= F.col("first") - reach) & (F.col("at") <= F.col("last") + reach))
+    far = F.greatest(F.lit(0), F.col("first") - F.col("at"), F.col("at") - F.col("last")) / F.lit(float(DAY_MS))
+    return top(pairs.select("qid", "id", F.exp(-far / tau_days).alias("score")).where("score > 0.01"), limit)
+
+
+def _in_range(asked: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """The rows in each query's range, most recent first: score 1 - place / rows in the range, which are counted by day."""
+    recent = (F.desc("created_at"), F.desc("id"))
+    held = _first_of_day(rows, "inside", limit, *recent).unionByName(rows.withColumn("kind", F.lit("edge")))
+    pairs = asked.join(held, ["day", "kind"]).where((F.col("at") >= F.col("first")) & (F.col("at") <= F.col("last")))
+    whole = asked.where("kind = 'inside'").join(rows.groupBy("day").agg(F.count("*").alias("rows")), "day").select("qid", "rows")
+    # what a day keeps of its rows is not what it has: edges count their rows, days inside come with their numbers
+    edge = pairs.where("kind = 'edge'").groupBy("qid").agg(F.count("*").alias("rows"))
+    n = whole.unionByName(edge).groupBy("qid").agg(F.sum("rows").alias("n"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*recent))
+    best = pairs.withColumn("rank", place).where(F.col("rank") <= limit).join(n, "qid")
+    return best.select("qid", "id", (1 - (F.col("rank") - 1) / F.col("n")).alias("score"), "rank")
 
 
 def graph_seeds(queries: DataFrame, memories: DataFrame, vector_hits: DataFrame, importance: float = 0.8, limit: int = 20, from_vectors: int = 5) -> DataFrame:

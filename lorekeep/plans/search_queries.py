@@ -57,6 +57,16 @@ def lane_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.temporal_lane(queries_of(spark, sf_dir).where("from is not null"), load(spark, sf_dir, "memories").where(visible())))
 
 
+@register(f"""{cte('memories')}, q as (select id as qid, event_date - interval '36' hour as a, event_date + interval '100' hour as b from memories where cast(substr(id, 2) as bigint) % 20 = 0 and event_date is not null),
+ r as (select q.qid, m.id, row_number() over (partition by qid order by m.created_at desc, m.id desc) as rank, count(*) over (partition by qid) as n from q join memories m on m.event_date between q.a and q.b where not m.forgotten)
+ select qid, id, round(1 - (rank - 1) / n::double, 6) as score, rank from r where rank <= 50""")
+def lane_temporal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dated inside a range that begins and ends within days, most recent first."""
+    q = load(spark, sf_dir, "memories").where(F.substring("id", 2, 7).cast("long") % 20 == 0).where("event_date is not null")
+    q = q.select(F.col("id").alias("qid"), (F.col("event_date") - F.expr("interval 36 hour")).alias("from"), (F.col("event_date") + F.expr("interval 100 hour")).alias("to"))
+    return rounded(retrieval.temporal_lane(q, load(spark, sf_dir, "memories").where(visible()), 0.0))
+
+
 _FUSED = f"""{cte('memories')}, {_Q}, {_VECTOR}, {_BM25}, {_TEMPORAL},
 parts as (select qid, id, 1.0 / (60 + rank) as part from vec50 union all select qid, id, 0.4 / (60 + rank) from fts50 union all select qid, id, 0.8 / (60 + rank) from tmp50),
 fused as (select qid, id, sum(part) as score from parts group by all)"""
