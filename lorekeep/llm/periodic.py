@@ -57,7 +57,7 @@ class _Words:
         """The words at these places in this order, joined by one space."""
         out, size = [], self.end[words] - self.start[words] + 1
         total = np.cumsum(size)
-        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + PIECE_BYTES, PIECE_BYTES))) if len(words) else []
+        cuts = np.unique([0, *np.searchsorted(total, np.arange(PIECE_BYTES, size.sum(), PIECE_BYTES)), len(words)])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b == a + 1:
                 out.append(self.data[self.start[words[a]] : self.end[words[a]]].tobytes() + b" ")

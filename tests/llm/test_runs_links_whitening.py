@@ -83,7 +83,7 @@ def test_documents_probed_together_equal_documents_alone():
 def test_chunks_and_pieces_end_anywhere(monkeypatch):
     monkeypatch.setattr(periodic, "PIECE_BYTES", 5)
     monkeypatch.setattr(periodic, "CHUNK", 1)
-    texts = [b"a bb ccc dddd eeeeeeeeeee f", b"", b" \n", b"x" * 20 + b" y", b"\xc3\xa4\xc2\xa0b c"]
+    texts = [b"aaaa bbbb", b"a bb", b"a bb ccc dddd eeeeeeeeeee f", b"", b" \n", b"x" * 20 + b" y", b"\xc3\xa4\xc2\xa0b c"]
     words = periodic._Words(texts)
     for i, t in enumerate(texts):
         own = np.arange(words.first[i], words.first[i + 1])
