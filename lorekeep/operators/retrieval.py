@@ -4,6 +4,7 @@ A lane is (qid, id, score). Queries are a stated, small set; memories are scanne
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_terms, cosine, index_terms
+from ..functions.scalars import content_terms, cosine
 from ..scratch import kept
 
 K1, B = 1.5, 0.75
@@ -94,16 +95,32 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
     return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
 
 
+#: A term: two letters of a to z, digits or Han characters at least, in lower case.
+TERM = re.compile("[a-z0-9一-鿿]{2,}")
+
+
+def _with_terms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms) of the rows that have terms, repeats included; the same terms as ``index_terms`` at a tenth of its cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [TERM.findall(t) if t else [] for t in batch.column("low").to_pylist()]
+            some = np.flatnonzero([len(f) > 0 for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(some)), pa.array([found[i] for i in some], pa.list_(pa.string()))], names=[key, "terms"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("key"), F.lower(text).alias("low")).mapInArrow(run, f"{key} {kind}, terms array<string>")
+
+
 def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataFrame:
     """BM25 over rows with a term; document counts and lengths are those of the rows given. queries: qid, text.
 
     Document counts are taken of the queries' terms only. Queries are broadcast a block at a time, as the list of queries of each term; a
     task adds up its rows' weights over those lists and sends on only the best of each batch and query, so that frequent
     terms, which nearly every query shares with nearly every row, are never joined."""
-    docs = memories.select("id", index_terms(F.col("content")).alias("terms")).where(F.size("terms") > 0)
-    docs = kept(docs, "bm25-terms")  # made once: counted for each block of queries, then scored
+    docs = kept(_with_terms(memories, "id", "content"), "bm25-terms")  # made once: counted for each block of queries, then scored
     n_docs, length = docs.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    asked = queries.select("qid", F.array_distinct(index_terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    asked = _with_terms(queries, "qid", "text").select("qid", F.array_distinct("terms").alias("terms"))
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
     found = []
     for part in _parts(asked, F.size("terms")) if n_docs else []:
