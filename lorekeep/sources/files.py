@@ -1,33 +1,38 @@
-"""Readers and writers: text and binary documents, evaluation datasets and namespace snapshots."""
+"""Readers and writers: text and binary documents, evaluation datasets and single tables; snapshots are in ``snapshots``."""
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT, VERSION = "memory-snapshot", 1
-#: References of a snapshot: (table, column, target table, target column); a null is no reference.
-REFERENCES = (
-    ("document_heads", "document_id", "documents", "id"), ("document_chunks", "document_id", "documents", "id"),
-    ("associations", "src", "memories", "id"), ("associations", "dst", "memories", "id"), ("history", "memory_id", "memories", "id"),
-    ("mentions", "memory_id", "memories", "id"), ("mentions", "entity_id", "entities", "id"), ("memories", "episode_id", "episodes", "id"),
-    ("memories", "superseded_by", "memories", "id"), ("events", "operation_id", "operations", "id"),
-)
+from .snapshots import export_namespace, import_namespace, violations  # noqa: F401  (also found here)
+
+#: Where a swap keeps the old table until the new one is in place.
+ASIDE = ".__old__"
 #: Suffixes of media that are text themselves; others need an extractor (see ``extracted``).
 TEXT_SUFFIXES = ("txt", "md", "csv", "json", "jsonld", "xml", "yaml", "yml", "html")
 
 
 def text_documents(spark: SparkSession, path: str, max_bytes: int = 1_000_000) -> DataFrame:
-    """A row per text file: source_key (its path), content and content_hash; longer files and other media are left out."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    rows = files.where(suffix.isin(*TEXT_SUFFIXES)).select(F.col("path").alias("source_key"), F.decode("content", "UTF-8").alias("content"))
+    """A row per text file: source_key (its path), content and content_hash. Longer files and other media are in ``left_out``."""
+    files = spark.read.format("binaryFile").load(path).where(_fault(max_bytes).isNull())
+    rows = files.select(F.col("path").alias("source_key"), F.decode("content", "UTF-8").alias("content"))
     return rows.withColumn("content_hash", F.sha2("content", 256))
 
 
+def _fault(max_bytes: int) -> Column:
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(~suffix.isin(*TEXT_SUFFIXES), "media").when(F.col("length") > max_bytes, "size")
+
+
+def left_out(spark: SparkSession, path: str, max_bytes: int = 1_000_000) -> DataFrame:
+    """A row per file that ``text_documents`` does not read: source_key, length and reason (media or size). The contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").withColumn("reason", _fault(max_bytes))
+    return files.where("reason is not null").select(F.col("path").alias("source_key"), "length", "reason")
+
+
 def extracted(spark: SparkSession, path: str, extractor) -> DataFrame:
     """Binary documents as markdown by a given Pandas UDF of (bytes) -> text; a file it can't read has null content."""
     files = spark.read.format("binaryFile").load(path)
@@ -45,49 +50,32 @@ def dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def export_namespace(tables: dict[str, DataFrame], namespace: str, path: str) -> None:
-    """Each table's rows of the namespace, in order of id, as Parquet under path/table; the header as JSON."""
-    for name, df in tables.items():
-        rows = df.where(F.col("namespace_id") == namespace) if "namespace_id" in df.columns else df
-        rows.sortWithinPartitions(*[c for c in ("id",) if c in df.columns] or df.columns[:1]).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    header = spark.range(1).select(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(namespace).alias("source_namespace"), F.array(*[F.lit(t) for t in sorted(tables)]).alias("tables"))
-    header.write.mode("overwrite").json(f"{path}/header")
-
-
-def violations(tables: dict[str, DataFrame], namespace: str | None = None) -> DataFrame:
-    """One row per dangling reference or foreign row: table, column, value."""
-    found = []
-    for name, column, target, key in REFERENCES:
-        if name in tables and target in tables and column in tables[name].columns:
-            refs = tables[name].where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-            found.append(refs.join(tables[target].select(F.col(key).alias("value")), "value", "left_anti").select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.col("value").cast("string").alias("value")))
-    for name, df in tables.items():
-        if namespace is not None and "namespace_id" in df.columns:
-            found.append(df.where(~F.col("namespace_id").eqNullSafe(F.lit(namespace))).select(F.lit(name), F.lit("namespace_id"), F.col("namespace_id").cast("string")))
-    spark = next(iter(tables.values())).sparkSession
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "table string, column string, value string")
-
-
-def import_namespace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Reads a snapshot and checks header and references; nothing is returned of one that fails."""
-    header = spark.read.json(f"{path}/header").first()
-    if header is None or header["format"] != FORMAT or header["version"] != VERSION:
-        raise ValueError("not a snapshot of this format and version")
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in header["tables"]}
-    bad = violations(tables, header["source_namespace"]).limit(5).collect()
-    if bad:
-        raise ValueError(f"snapshot is not consistent: {[tuple(r) for r in bad]}")
-    return tables
-
-
 def stage_and_swap(df: DataFrame, path: str) -> None:
-    """Writes under a staging name first, so that readers of ``path`` never see a part of it."""
+    """Puts ``df`` in the place of the table at ``path``, written whole under a staging name first. The old table is moved aside, not deleted,
+    until the new one is in place: if the job dies in between, ``recovered`` puts it back. Tables that belong together are committed
+    at once by ``snapshots.Store``."""
     spark, staging = df.sparkSession, f"{path}.__import__{uuid.uuid4().hex}"
     df.write.parquet(staging)
+    recovered(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target, source = hadoop.Path(path), hadoop.Path(staging)
+    target, source, aside = hadoop.Path(path), hadoop.Path(staging), hadoop.Path(f"{path}{ASIDE}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(source, target):
+        recovered(spark, path)
         raise OSError(f"{staging} could not be renamed to {path}")
+    fs.delete(aside, True)
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """``path``, after what a swap that died has left: the old table is back if the new one never came, else it is gone."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, aside = hadoop.Path(path), hadoop.Path(f"{path}{ASIDE}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"{path}{ASIDE} could not be put back")
+    return path
