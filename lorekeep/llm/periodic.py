@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import steps, table
-from .tokens import classes_of
+from .tokens import Coded
 
 #: A run is at least so many words long, and so many times its period.
 LEAST_WORDS, LEAST_TIMES = 6, 4
@@ -37,22 +37,7 @@ GROUP_WORDS = 1 << 16
 Order = Callable[[object, int], np.ndarray | None]
 
 
-class _Words:
-    """The words of some texts: where they are in the texts' bytes and an exact code for each."""
-
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        seen = classes_of("space")[self.data]
-        edge = np.flatnonzero(np.diff(seen, prepend=np.uint8(0)))
-        self.start, self.end = edge[::2], edge[1::2]
-        held = self.data[seen.astype(bool)]
-        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
-        wide = offsets[-1] >= 1 << 31
-        array = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(self.start), [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(held)])
-        self.code = array.dictionary_encode().indices.to_numpy()
-        stops = np.cumsum([len(t) + 1 for t in texts])
-        self.first = np.concatenate([[0], np.searchsorted(self.start, stops)])  # of each text's words, and the end of the last
-
+class _Words(Coded):
     def joined(self, words: np.ndarray) -> bytes:
         """The words at these places in this order, joined by one space."""
         out, size = [], self.end[words] - self.start[words] + 1

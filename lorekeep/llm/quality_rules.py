@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import steps, table
-from .tokens import SLICE_BYTES, classes_of, gram_hash, slices
+from .tokens import SLICE_BYTES, Coded, classes_of
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
 CONTINUED = bytes(range(0x80, 0xC0))  # UTF-8 bytes that begin no character
@@ -29,11 +29,12 @@ LEVEL = 3
 #: 1.22 to 1.75, 1.43 to 1.97, 1.67 to 2.23 and 1.91 to 2.41, and up to 2.9 at 64 KB; eight words in any order at least 1.42, 1.98, 2.68,
 #: 3.89 and 4.65.
 LIMITS = ((16, 0.3, 1.5), (128, 0.99, 1.8), (256, 1.14, 2.1), (512, 1.3, 2.4), (1024, 1.45, 2.9), (2048, 1.55, 3.2), (8192, 1.65, 3.6), (65536, 1.7, 4.2), (1 << 20, 1.7, 5.0))
-#: (bytes up to, chunk) of texts: shorter ones have shorter chunks.
-CHUNKS = ((4096, 512), (16384, 1024), (1 << 62, 2048))
+#: Bytes of a chunk, at every length of a text: only the limits depend on length.
+CHUNK = 512
 #: A rest of fewer bytes is read with the chunk before it.
 MIN_CHUNK = 256
-#: The share of a text's bytes that may be in chunks outside their band.
+#: The share of a text's chunks that may be outside their band. Chunks are counted, not their bytes, as a byte more in the last one would
+#: tip a text of which a quarter is bad.
 BAD_CHUNKS = 0.25
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -60,35 +61,30 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(found), chars, symbols, lines.total() - len(lines), repeats
 
 
-def _repeated(hashes: np.ndarray) -> np.ndarray:
-    """Which of the values occur more than once."""
-    order = np.argsort(hashes)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    out = np.zeros(len(hashes), bool)
-    out[order[1:][same]] = out[order[:-1][same]] = True
-    return out
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An exact code of each pair."""
+    return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1]
 
 
 def _long_words(text: bytes) -> tuple[int, int]:
-    """n_words and n_repeat_words of a long text, from 64-bit hashes of its words, read in slices."""
-    hashes = np.concatenate([w.hash for w, _ in slices(text, "space", False)])
-    if len(hashes) < 4:
-        return len(hashes), 0
-    again = _repeated(gram_hash(hashes, None, 3))
-    hit = np.zeros(len(hashes), bool)
+    """n_words and n_repeat_words of a long text, from codes of its words: a few numbers for each word and no object."""
+    code = Coded([text]).code
+    if len(code) < 4:
+        return len(code), 0
+    window = _pairs(_pairs(code[:-2], code[1:-1]), code[2:])
+    again = np.bincount(window)[window] > 1
+    hit = np.zeros(len(code), bool)
     for j in range(3):
         hit[j : j + len(again)] |= again
-    return len(hashes), int(hit.sum())
+    return len(code), int(hit.sum())
 
 
 def _long_lines(text: bytes) -> int:
-    """n_dup_lines of a long text, from 64-bit hashes of its lines, read in slices."""
-    found, visible = [], classes_of("space")
-    for w, _ in slices(text, "line", False):
-        seen = np.r_[0, np.cumsum(visible[w.data], dtype=np.int32)]
-        found.append(w.hash[seen[w.end] > seen[w.start]])
-    hashes = np.concatenate(found)
-    return len(hashes) - len(np.unique(hashes))
+    """n_dup_lines of a long text, from codes of its lines."""
+    lines = Coded([text], "line")
+    seen = np.r_[0, np.cumsum(classes_of("space")[lines.data], dtype=np.int32)]
+    codes = lines.code[seen[lines.end] > seen[lines.start]]
+    return len(codes) - len(np.unique(codes))
 
 
 @lru_cache(maxsize=65536)
@@ -100,8 +96,7 @@ def limits(size: int) -> tuple[float, float]:
 
 def chunks_of(size: int) -> list[tuple[int, int]]:
     """Bounds of the chunks of a text; none if one chunk would hold it whole."""
-    step = next(c for most, c in CHUNKS if size <= most)
-    starts = list(range(0, size, step))
+    starts = list(range(0, size, CHUNK))
     if size - starts[-1] < MIN_CHUNK:
         starts.pop()
     return list(zip(starts, [*starts[1:], size], strict=True)) if len(starts) > 1 else []
@@ -114,12 +109,11 @@ def band_verdict(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float,
     ratio = len(text) / len(squeeze.compress(text))
     low, high = limits(len(text))
     bounds = chunks_of(len(text))
-    bad = bad_bytes = 0
+    bad = 0
     for a, b in bounds:
         least, most = limits(b - a)
-        if not least <= (b - a) / len(squeeze.compress(text[a:b])) <= most:
-            bad, bad_bytes = bad + 1, bad_bytes + b - a
-    reason = "incompressible" if ratio < low else "repetitive" if ratio > high else "chunks" if bad_bytes > BAD_CHUNKS * len(text) else None
+        bad += not least <= (b - a) / len(squeeze.compress(text[a:b])) <= most
+    reason = "incompressible" if ratio < low else "repetitive" if ratio > high else "chunks" if bad > BAD_CHUNKS * len(bounds) else None
     return ratio, len(bounds), bad, reason
 
 
@@ -128,8 +122,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
     kept is false for a text that fails the base rules or is outside its band. A null or empty text has no
     words, ratio 1 and fails the base rules. Repeated rows are judged each; an empty table gives an empty
-    table. Other columns are not read, whatever their names. In texts of over 1 MB, words and lines are compared by 64-bit hashes.
-    One pass over the rows, nothing is shuffled."""
+    table. Other columns are not read, whatever their names. Words and lines are compared
+    whole at every length. One pass over the rows, nothing is shuffled."""
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

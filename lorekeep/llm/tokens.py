@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -136,6 +137,23 @@ def slices(text: bytes, word: str = "alnum", lower: bool = True, lead: int = 0,
         at = end
 
 
+class Coded:
+    """The words of some texts, by their places in the texts' bytes, with an exact code for each: words are equal if their codes are."""
+
+    def __init__(self, texts: list[bytes], word: str = "space"):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        seen = classes_of(word)[self.data]
+        edge = np.flatnonzero(np.diff(seen, prepend=np.uint8(0)))
+        self.start, self.end = edge[::2], edge[1::2]
+        held = self.data[seen.astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        wide = offsets[-1] >= 1 << 31
+        array = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(self.start), [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(held)])
+        self.code = array.dictionary_encode().indices.to_numpy()
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        self.first = np.concatenate([[0], np.searchsorted(self.start, stops)])  # of each text's words, and the end of the last
+
+
 def gram_hash(hashes: np.ndarray, at: np.ndarray | None, k: int) -> np.ndarray:
     """Hash of the k words from each position in ``at`` on (None: from every position that has k)."""
     out = np.zeros(max(0, len(hashes) - k + 1) if at is None else len(at), np.uint64)

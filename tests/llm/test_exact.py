@@ -203,12 +203,11 @@ def brute_bands(text):
 
     if not data:
         return None
-    size = 512 if len(data) <= 4096 else 1024 if len(data) <= 16384 else 2048
-    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    parts = [data[i : i + 512] for i in range(0, len(data), 512)]
     if len(parts) > 1 and len(parts[-1]) < 256:
         parts[-2:] = [parts[-2] + parts[-1]]
-    bad = sum(len(p) for p in parts if outside(p)) if len(parts) > 1 else 0
-    return outside(data) or ("chunks" if bad > 0.25 * len(data) else None)
+    bad = sum(outside(p) is not None for p in parts) if len(parts) > 1 else 0
+    return outside(data) or ("chunks" if bad > 0.25 * len(parts) else None)
 
 
 def test_quality_rules(spark, sf_dir):
@@ -262,6 +261,20 @@ def test_compression_bands(size, last):
             assert quality_rules.band_verdict(rest + again if last else again + rest, squeeze)[3] is not None
 
 
+@pytest.mark.parametrize("size", [512, 768, 1024, 2048, 4096, 8192, 16_384, 32_768])
+@pytest.mark.parametrize("share", [0.24, 0.26, 0.3])
+def test_a_byte_more_flips_few_verdicts(size, share):
+    """Prose with one run of base64, anywhere; no length is a switch. A text of up to two chunks is nearer to its limits."""
+    squeeze, rng = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL), np.random.default_rng(size)
+    prose = " ".join("".join(rng.choice(PROSE, rng.integers(1, 4))) for _ in range(size // 3)).encode()[:size]
+    coded = base64.b64encode(rng.bytes(size))[: int(size * share)]
+    flips = 0
+    for at in rng.integers(0, size - len(coded), 200).tolist():
+        text = prose[:at] + coded + prose[at + len(coded) :]
+        flips += (quality_rules.band_verdict(text, squeeze)[3] is None) != (quality_rules.band_verdict(text + b"a", squeeze)[3] is None)
+    assert flips <= (13 if size > 1024 else 20)
+
+
 def test_chunks_cover_the_text():
     for size in (1, 255, 511, 512, 767, 768, 1024, 4096, 4097, 4400, 16384, 16385, 100_001):
         bounds = quality_rules.chunks_of(size)
