@@ -31,6 +31,22 @@ def unit_hash(column: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` as its ``keys`` (those that it has) and one struct ``row`` of all other columns: whatever names a table has,
+    none of them meets an operator's own. See ``unpacked``."""
+    others = [quoted(c) for c in docs.columns if c not in keys]
+    return docs.select(*(k for k in keys if k in docs.columns), (F.struct(*others) if others else F.lit(True)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """The ``columns`` that a table had before ``packed``, in their order, and ``more`` columns of ``rows``."""
+    return rows.select(*(F.col(c) if c in keys else F.col("row").getField(c).alias(c) for c in columns), *more)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Only a single-JVM session, where driver and
     executors share a disk, may do without; a cluster without the setting is an error."""

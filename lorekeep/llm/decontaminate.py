@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, table
+from .common import materialize, packed, steps, table, unpacked
 from .tokens import SLICE_BYTES, Words, gram_hash, slices, words
 
 WINDOW = 10
@@ -207,9 +207,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
     that of the empty text. Long texts are read in slices. Other columns are left as they are, whatever their
     names; a column ``into`` is replaced. An empty table gives an empty table."""
     docs, slim = docs.drop(into), _slim(benchmark)
+    columns, docs = docs.columns, packed(docs, "text")
     held = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-held // block_bytes))
-    return _in_one(docs, _index(slim), into) if parts == 1 else _in_blocks(docs, slim, parts, into)
+    marked = _in_one(docs, _index(slim), "__leak") if parts == 1 else _in_blocks(docs, slim, parts, "__leak")
+    return unpacked(marked, columns, ("text",), F.col("__leak").alias(into))
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     of the smallest hashes of their ids, one row of each id. The picked ids are bounded by max_rows, so they are broadcast."""
     picked = labels.where(usable & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return one_per_id(docs.join(F.broadcast(picked), "doc_id"))
+    return one_per_id(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:

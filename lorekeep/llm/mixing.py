@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, table, unit_hash
+from .common import WORD_PATTERN, materialize, packed, table, unit_hash, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 GROWTH = 1.5
@@ -31,6 +31,10 @@ BROADCAST_SOURCES = 10_000
 TIE_PARTS = 256
 
 
+#: The columns that an allocation reads; all others are carried along.
+KEYS = ("doc_id", "source", "text")
+
+
 def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
@@ -151,7 +155,7 @@ def allocate(docs: DataFrame, plan: DataFrame, seed: int = SEED, into: str = "__
     among them, only as many as fit are taken (which of them, is open). A null doc_id is an empty one, a null text has no words; a
     source of no words has target 0 and gives nothing; a document of no words has p = 0. Other columns are left as they
     are, whatever their names; a column ``into`` is replaced. An empty table gives an empty table."""
-    docs = docs.drop(into)
+    columns, docs = docs.drop(into).columns, packed(docs.drop(into), *KEYS)
     rates = plan.select("source", F.struct(*[c for c in plan.columns if c != "source"]).alias("__mix_plan"))
     rows = _by_source(docs.withColumns({"__mix_size": n_words(), "__mix_u": rank_unit(seed)}), rates, _few(rates))
     p, v = _place(F.col("__mix_plan.scale"), F.col("__mix_size"), F.col("__mix_u"))
@@ -174,7 +178,7 @@ def allocate(docs: DataFrame, plan: DataFrame, seed: int = SEED, into: str = "__
         rows = rows.unionByName(ties.select(*rows.columns))
     copies = (F.col("__mix_plan.whole") + F.col("__mix_sampled").cast("int")).cast("int")
     made = F.struct(F.col("__mix_size").alias("size"), F.col("__mix_plan.source_size").alias("source_size"), F.col("__mix_plan.target").alias("target"), F.col("__mix_p").alias("p"), copies.alias("copies"))
-    return rows.select(*docs.columns, made.alias(into))
+    return unpacked(rows, columns, KEYS, made.alias(into))
 
 
 def plan_for(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -184,8 +188,8 @@ def plan_for(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others), each as often as the mix takes it."""
-    rows = allocate(docs, plan_for(docs, seed), seed, "__mix")
-    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies")))).select(*docs.columns)
+    rows = allocate(packed(docs, *KEYS), plan_for(docs, seed), seed, "__mix")
+    return unpacked(rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies")))), docs.columns, KEYS)
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

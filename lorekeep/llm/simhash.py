@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, table
+from .common import materialize, packed, steps, table, unpacked
 from .graph import components, local_roots
 from .tokens import SLICE_BYTES
 
@@ -212,13 +212,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "n")
     lead = same.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__near_id"), F.col("k.digest").alias("__near_digest"), F.col("k.n").alias("__near_n"))
     lead = materialize(lead, "near-leaders")
-    rows = docs.withColumn("__near_hash", F.xxhash64("text"))
+    rows = packed(docs, "doc_id", "text").withColumn("__near_hash", F.xxhash64("text"))
     match = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_hash") == F.col("__near_digest"))
     single = rows.join(lead.where("__near_n = 1"), match, "left_semi")
     repeated = lead.where("__near_n > 1")
     if repeated.isEmpty():
-        return single.select(*docs.columns)
-    return single.unionByName(rows.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "__near_hash"])).select(*docs.columns)
+        return unpacked(single, docs.columns, ("doc_id", "text"))
+    return unpacked(single.unionByName(rows.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "__near_hash"])), docs.columns, ("doc_id", "text"))
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

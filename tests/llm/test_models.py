@@ -245,8 +245,11 @@ def test_pipeline_edges(spark):
     """Nulls in all columns, clashing names, repeated rows and empty tables through all stages."""
     sf = "/root/testdata/sf0.001"
     clash = {n: F.lit("mine") for n in ("copies", "target", "p", "v", "n_words", "contaminated", "size", "component", "fp", "score", "predicted", "shard")}
+    working = ("__mix", "__mix_source", "__mix_size", "__mix_u", "__mix_p", "__mix_v", "__mix_plan", "__mix_part", "__mix_copy", "__near_hash", "__near_id", "__near_n", "__leak", "__leak_row", "__leak_hit", "__score", "__kept", "row", "leak", "n_hit", "y", "digest", "a.b", "odd `name`")
+    clash |= {n: F.lit(f"mine {n}") for n in working}
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c", None, None, 1), (2, "a b c", None, None, 1), (None, "a b c", "en", "s", 2)], table(spark, sf, "documents").schema)
-    docs = table(spark, sf, "documents").unionByName(odd).withColumns(clash)
+    docs = table(spark, sf, "documents").unionByName(odd)
+    docs = docs.select("*", *(v.alias(k) for k, v in clash.items()))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         names = docs.columns if name != "sharding" else [*[c for c in docs.columns if c != "shard"], "shard"]
