@@ -2,7 +2,7 @@
 sources to target weights, sharding. Each stage works on all that the one before it kept.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows and an empty table (which gives an
-empty table), and returns the columns of its input as they are, whatever else a table has; the last one adds ``shard``, in place of a
+empty table), and returns the columns of its input as they are, whatever their names; the last one adds ``shard``, in place of a
 column of that name. What a stage does with nulls and ties is its operator's rule."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import decontaminate, mixing, nbsvm, sharding, simhash
-from lorekeep.llm.common import materialize, table
+from lorekeep.llm.common import materialize, packed, table, unpacked
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,7 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
-    return nbsvm.scored(docs, model, 0.5, "__score", "__kept").where("__kept = 1").select(*docs.columns)
+    rows = nbsvm.scored(packed(docs, "doc_id", "text"), model, 0.5).where("predicted = 1")
+    return unpacked(rows, docs.columns, ("doc_id", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("not __leak.contaminated").select(*docs.columns)
+    rows = decontaminate.mark(packed(docs, "text"), table(spark, sf_dir, "benchmark"), into="leak").where("not leak.contaminated")
+    return unpacked(rows, docs.columns, ("text",))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
