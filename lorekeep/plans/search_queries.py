@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fusion, graph, lifecycle, retrieval
 from ..operators.filters import visible
+from ..scratch import kept
 from ..sources.views import cte, load
 from .registry import register
 from . import sql
@@ -168,14 +169,63 @@ def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_sort(S.content_terms(F.col("text"))).alias("terms"))
 
 
-@register()
+# the fit of point i is the largest over starts j <= i of the smallest mean of j to k over ends k >= i; equal values are one block
+_FIT = """pool as (select source, score, sum(label)::double as s, count(*)::double as n from points group by all),
+ pre as (select source, score, row_number() over w as i, sum(s) over w as su, sum(n) over w as nu, s, n from pool window w as (partition by source order by score)),
+ span as (select a.source, a.i as j, b.i as k, (b.su - a.su + a.s) / (b.nu - a.nu + a.n) as mean from pre a join pre b on b.source is not distinct from a.source and b.i >= a.i),
+ low as (select source, j, k as i, min(mean) over (partition by source, j order by k desc) as least from span),
+ fit as (select source, i, max(least) as y from low group by all),
+ curve as (select pre.source, min(score) as x, y from fit join pre on pre.i = fit.i and pre.source is not distinct from fit.source group by pre.source, y)"""
+
+
+@register(f"""with q as (select vec_id as qid, embedding, label as q_label from embeddings where vec_id % 20 = 0),
+ v as (select q.qid, q.q_label, e.vec_id as id, e.label, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from q join embeddings e on e.vec_id <> q.qid),
+ r as (select *, row_number() over (partition by qid order by score desc, id) as rank from v), points as (select q_label as source, round(score, 9) as score, (label = q_label)::int as label from r where rank <= 50),
+ {_FIT} select source, round(x, 6) as x, round(y, 6) as y from curve""")
 def calibration_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotonic fits of label agreement on cosine, for every label of the query."""
     e = load(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("q_label"))
     hits = retrieval.vector_lane(q, e.select(F.col("vec_id").alias("id"), "embedding"))
     rows = hits.join(q.select("qid", "q_label"), "qid").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-    return fusion.isotonic(rows.select(F.col("q_label").alias("source"), "score", (F.col("label") == F.col("q_label")).cast("int").alias("label")))
+    fit = fusion.isotonic(rows.select(F.col("q_label").alias("source"), F.round("score", 9).alias("score"), (F.col("label") == F.col("q_label")).cast("int").alias("label")))
+    return fit.select("source", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+CALIBRATED = {"vector": 0.9, "fts": 0.6, "temporal": 0.5}
+
+
+@register(f"""{cte('memories')}, {_Q}, {_VECTOR}, {_BM25}, {_TEMPORAL},
+ lanes as (select 'vector' as source, 0.9 as w, qid, id, score from vec50 union all select 'fts', 0.6, qid, id, score from fts50 union all select 'temporal', 0.5, qid, id, score from tmp50),
+ points as (select lanes.source, round(lanes.score, 6) as score, (m.source is not distinct from t.source)::int as label from lanes join memories m on m.id = lanes.id join memories t on t.id = lanes.qid where cast(substr(lanes.qid, 2) as bigint) % 40 = 0),
+ {_FIT}, seg as (select source, x, y, lead(x) over w as x2, lead(y) over w as y2, row_number() over w as nr from curve window w as (partition by source order by x)),
+ here as (select l.*, s.x, s.y, s.x2, s.y2, f.y as y1 from (select source, w, qid, id, round(score, 6) as score from lanes) l join seg f on f.source = l.source and f.nr = 1 left join seg s on s.source = l.source and s.x <= l.score and (s.x2 is null or s.x2 > l.score)),
+ p as (select qid, id, w * case when x is null then y1 when x2 is null then y else y + (y2 - y) * (score - x) / (x2 - x) end as p from here),
+ f as (select qid, id, round(1 - exp(sum(ln(1 - least(greatest(p, 0.0), 0.999)))), 9) as score from p group by all)
+ select qid, id, score from f""")
+def fused_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes fused on curves that are fitted on the hits of half of the queries; a hit is right if it has the query's source."""
+    q, m = queries_of(spark, sf_dir), load(spark, sf_dir, "memories").where(visible())
+    lanes = {"vector": retrieval.vector_lane(q, m), "fts": retrieval.bm25_lane(q, m), "temporal": retrieval.temporal_lane(q.where("from is not null"), m)}
+    lanes = {n: kept(lane.withColumn("score", F.round("score", 6)), f"lane-{n}") for n, lane in lanes.items()}
+    fit = lane_curves(lanes, load(spark, sf_dir, "memories"), F.substring("qid", 2, 7).cast("long") % 40 == 0)
+    return fusion.calibrated(lanes, fit, CALIBRATED).select("qid", "id", "score")
+
+
+def lane_curves(lanes: dict[str, DataFrame], memories: DataFrame, learnt: Column) -> DataFrame:
+    """The curve of each lane, from the hits of the queries for which ``learnt`` holds; a hit is right if it has the source of the query's row."""
+    told = memories.select("id", F.col("source").alias("of"))
+    hits = fusion.traced(lanes).where(learnt).join(told, "id").join(told.select(F.col("id").alias("qid"), F.col("of").alias("asked")), "qid")
+    return fusion.curves_of(fusion.isotonic(hits.select(F.col("lane").alias("source"), "score", F.col("of").eqNullSafe(F.col("asked")).cast("int").alias("label"))))
+
+
+@register()
+def search_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with calibrated fusion, on curves of the vector and temporal lanes."""
+    q, m = queries_of(spark, sf_dir), load(spark, sf_dir, "memories")
+    seen = m.where(visible())
+    lanes = {"vector": retrieval.vector_lane(q, seen), "temporal": retrieval.temporal_lane(q.where("from is not null"), seen)}
+    return hybrid(q, m, weights=CALIBRATED, curves=lane_curves(lanes, m, F.substring("qid", 2, 7).cast("long") % 40 == 0))
 
 
 @register()
