@@ -107,7 +107,8 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap(load(spark, sf_dir, "paired"), "category")
+    """Intervals of 10,000 resamples per category, in one sequence of draws."""
+    return evaluation.bootstrap_exact(load(spark, sf_dir, "paired"), "category")
 
 
 @register(f"{cte('paired')}, x as (select category, a_correct as x, b_correct + item_id % 3 as y, count(*) as n from paired group by all), p as (select a.category, sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) as s, sum(case when a.x = b.x then 0 else a.n * b.n end) as nx, sum(case when a.y = b.y then 0 else a.n * b.n end) as ny from x a join x b on a.category = b.category and (a.x, a.y) < (b.x, b.y) group by all) select category, round(case when nx > 0 and ny > 0 then s / sqrt(nx::double * ny) end, 6) as tau_b from p")
