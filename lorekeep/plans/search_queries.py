@@ -68,6 +68,19 @@ def lane_temporal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.temporal_lane(q, load(spark, sf_dir, "memories").where(visible()), 0.0))
 
 
+@register(f"""{cte('memories')}, tok as (select id, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda t: length(t) > 1)) as terms from memories where not forgotten),
+ st as (select count(*)::double as n, avg(len(coalesce(terms, []))) as avg_len from tok), p as (select id, len(terms) as len, unnest(terms) as term from tok), df as (select term, count(*) as df from p group by term),
+ qt as (select conv_id as qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 1))) as term from conversations where turn = 0),
+ s as (select qid, p.id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * max(len) / max(avg_len))), 9) as score from qt join p using (term) join df using (term), st group by all),
+ r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, rank from r where rank <= 20""")
+def lane_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written index, searched with the first turn of every conversation."""
+    from ..operators.lexical import Index
+
+    q = load(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("qid"), "text")
+    return Index.of(load(spark, sf_dir, "memories").where(visible())).search(q, 20).select("qid", "id", "rank")
+
+
 _FUSED = f"""{cte('memories')}, {_Q}, {_VECTOR}, {_BM25}, {_TEMPORAL},
 parts as (select qid, id, 1.0 / (60 + rank) as part from vec50 union all select qid, id, 0.4 / (60 + rank) from fts50 union all select qid, id, 0.8 / (60 + rank) from tmp50),
 fused as (select qid, id, sum(part) as score from parts group by all)"""
