@@ -96,17 +96,21 @@ class Engine:
         rows = self.tables["memories"].join(hits, "id", "left")
         return rows.withColumn("valid_to", F.when(F.col("__hit"), F.least(F.coalesce("valid_to", at), at)).otherwise(F.col("valid_to"))).drop("__hit")
 
+    def end(self, ends: DataFrame, at: Column) -> dict[str, DataFrame]:
+        """memories and edges of all tenants and new history rows, after rows of this scope (id, successor or null) came to an end; a successor out
+        of scope counts as null."""
+        mine = self.memories.select("id")
+        inner = ends.join(mine, "id", "left_semi").join(mine.select(F.col("id").alias("successor"), F.lit(True).alias("__in")), "successor", "left")
+        inner = inner.select("id", F.when(F.col("__in"), F.col("successor")).alias("successor"))
+        return lifecycle.invalidated(self.tables["memories"], self.tables["edges"], inner, at)
+
     def promote(self, ids: DataFrame, now: Column) -> DataFrame:
         return lifecycle.promoted(self.tables["memories"], self.memories.join(ids.select("id"), "id", "left_semi"), now)
 
     @property
     def edges(self) -> DataFrame:
         """The edges both of whose ends are in scope."""
-        found = self.tables["edges"]
-        if not self.scope:
-            return found
-        mine = self.memories.select("id")
-        return found.join(mine.withColumnRenamed("id", "src"), "src", "left_semi").join(mine.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        return self._inside(self.tables["edges"])
 
     def neighbours(self, ids: DataFrame, depth: int = 1) -> DataFrame:
         return graph.neighbours(ids, self.edges, depth)
@@ -115,12 +119,23 @@ class Engine:
         return listing.subgraph(self.memories, self.tables["edges"], limit)
 
     def link(self, edges: DataFrame) -> DataFrame:
-        """Edges after an upsert: the last weight of each (src, dst, relation)."""
+        """Edges of all tenants after an upsert of those whose both ends are in scope: the last weight of each (src, dst, relation)."""
+        edges = self._inside(edges)
         both = self.tables["edges"].select("src", "dst", "relation", "weight", F.lit(0).alias("n")).unionByName(edges.select("src", "dst", "relation", "weight", F.lit(1).alias("n")))
         return both.groupBy("src", "dst", "relation").agg(F.max_by("weight", "n").alias("weight"))
 
     def reinforce(self, pairs: DataFrame, eta: float = 0.1, cap: float = 0.95) -> DataFrame:
-        return maintenance.reinforce(self.tables["edges"], pairs, eta, cap)
+        """Of pairs (a, b) those whose both ends are in scope."""
+        return maintenance.reinforce(self.tables["edges"], self._inside(pairs, *pairs.columns[:2]), eta, cap)
+
+    def _inside(self, rows: DataFrame, one: str = "src", two: str = "dst") -> DataFrame:
+        """Rows both of whose ends are in scope."""
+        if not self.scope:
+            return rows
+        mine = self.memories.select("id")
+        for end in (one, two):
+            rows = rows.join(mine.withColumnRenamed("id", end), end, "left_semi")
+        return rows
 
     def run_maintenance(self, now: Column) -> DataFrame:
         """The memories of all tenants after decay and pruning of those in scope; consolidation is ``maintenance.merge_pairs``."""
@@ -158,12 +173,27 @@ class Engine:
         return analytics.namespace_stats(self.memories)
 
     def history(self, log: DataFrame, memory_id: str) -> DataFrame:
-        return journal.history(log, memory_id)
+        """A row's history, if the row is in scope."""
+        return journal.history(log.join(self.memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi") if self.scope else log, memory_id)
 
     def ingest_documents(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(versions, chunks) of documents: namespace_id, source_key, content, metadata, updated_at."""
+        """(versions, chunks) of the documents in scope: namespace_id, source_key, content, metadata, updated_at."""
+        docs = docs.where(self._scoped(docs))
         versions = documents.with_versions(docs)
         return versions, documents.chunks(versions)
 
-    def search_documents(self, queries: DataFrame, chunk_rows: DataFrame, limit: int = 5, neighbors: int = 1) -> DataFrame:
-        return documents.search_documents(queries, chunk_rows, limit, neighbors)
+    def _scoped(self, rows: DataFrame) -> Column:
+        missing = set(self.scope) - set(rows.columns)
+        if missing:
+            raise ValueError(f"rows without {sorted(missing)} can't be told to be in scope")
+        return filters.scope_wildcard(**self.scope)
+
+    def search_documents(self, queries: DataFrame, chunk_rows: DataFrame, limit: int = 5, neighbors: int = 1, versions: DataFrame | None = None) -> DataFrame:
+        """Passages in scope, of current versions where ``versions`` are given; passages have the scope's columns or, without them, a version that has."""
+        if set(self.scope) <= set(chunk_rows.columns):
+            chunk_rows = chunk_rows.where(self._scoped(chunk_rows))
+        elif versions is not None:
+            chunk_rows = chunk_rows.join(versions.where(self._scoped(versions)).select("document_id").distinct(), "document_id", "left_semi")
+        else:
+            self._scoped(chunk_rows)
+        return documents.search_documents(queries, chunk_rows, limit, neighbors, versions=versions)

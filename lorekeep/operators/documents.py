@@ -110,15 +110,27 @@ def with_neighbours(hits: DataFrame, chunk_rows: DataFrame, reach: int = 1, id_:
     return near.join(chunk_rows.select(id_, "chunk_index", "content"), [id_, "chunk_index"])
 
 
-def search_documents(queries: DataFrame, chunk_rows: DataFrame, limit: int = 5, reach: int = 1, id_: str = "document_id") -> DataFrame:
-    """BM25 passages per query (qid, text), fused ranks over the best one's, with neighbours. chunk_rows: id_,
-    chunk_index, content."""
+def search_documents(queries: DataFrame, chunk_rows: DataFrame, limit: int = 5, reach: int = 1, id_: str = "document_id", versions: DataFrame | None = None, scope: dict[str, str] | None = None) -> DataFrame:
+    """The best passages of each query with their neighbours: qid, id_, hit_index, chunk_index, score, content. queries: qid, text and, for a vector
+    lane, embedding; chunk_rows: id_, chunk_index, content and embedding.
+
+    The BM25 lane and the vector lane are fused by ranks, over the best one's score. scope: columns of the passages and what they must be, before the lanes and
+    so in all that follows. versions (id_, namespace_id, source_key, updated_at): passages of a version that is not its source's head are
+    no results; they are left out before the results are cut, so a query gets its full number. Passages of no known version are none either."""
     limit = max(1, min(limit, 20))
+    for column, value in (scope or {}).items():
+        chunk_rows = chunk_rows.where(F.col(column) == value)
     keyed = chunk_rows.withColumn("id", F.concat_ws("#", F.col(id_).cast("string"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
-    lanes = {"fts": retrieval.bm25_lane(queries, keyed, min(8 * limit, 100))}
-    fused = fusion.rrf(lanes).withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("qid"))).where(F.col("rank") <= limit)
-    hits = fused.join(keyed.select("id", id_, "chunk_index"), "id")
-    return with_neighbours(hits, chunk_rows, reach, id_)
+    most = min(8 * limit, 100)
+    lanes = {"fts": retrieval.bm25_lane(queries, keyed, most)}
+    if "embedding" in queries.columns and "embedding" in chunk_rows.columns:
+        lanes["vector"] = retrieval.vector_lane(queries, keyed, most, exclude_self=False)
+    fused = fusion.rrf(lanes).withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
+    found = fused.select("qid", "id", "score").join(keyed.select("id", id_, "chunk_index"), "id")
+    if versions is not None:
+        current = heads(versions.select("namespace_id", "source_key", "updated_at", F.col(id_).alias("document_id")))
+        found = found.join(current.select(F.col("document_id").alias(id_)), id_, "left_semi")
+    return with_neighbours(retrieval.top(found, limit), chunk_rows, reach, id_)
 
 
 def heuristic_entities(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import content_terms, fnv1a, stable_uuid, words_of
 from ..scratch import kept
+from . import maintenance
 
 MAX_ITEMS, MAX_BYTES, STEP_ITEMS = 1000, 750_000, 20
 STALE_MINUTES = 5
@@ -61,14 +62,41 @@ def promoted(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns({"tier": F.when(F.col("__up"), "working").otherwise(F.col("tier")), **touched}).drop("__up")
 
 
+def merge_roots(pairs: DataFrame) -> DataFrame:
+    """(loser, winner) of pairs (winner, loser): each loser once, with the row that is left in the end. Of several winners of a row the least counts; a winner
+    that loses elsewhere hands its losers on; of rows that win over each other in a ring the least is left.
+
+    Pointers are doubled, so a chain of n rows takes about log2(n) rounds; each is written."""
+    now = pairs.where("winner <> loser").groupBy("loser").agg(F.min("winner").alias("winner"))
+    # the least row that a pointer has passed is the root of a ring
+    now = kept(now.withColumn("least", F.least("loser", "winner")), "merge-roots")
+    n, rounds = now.count(), 0
+    while rounds < max(1, n.bit_length() + 1):
+        further = now.select(F.col("loser").alias("__row"), F.col("winner").alias("__next"), F.col("least").alias("__least"))
+        now = kept(now.join(further, F.col("winner") == F.col("__row"), "left").select("loser", F.coalesce("__next", "winner").alias("winner"), F.least("least", F.coalesce("__least", "least")).alias("least")), "merge-roots")
+        rounds += 1
+    ends = now.select(F.col("loser").alias("__row"), F.lit(True).alias("ring"))
+    return now.join(ends, F.col("winner") == F.col("__row"), "left").select("loser", F.when(F.col("ring"), F.col("least")).otherwise(F.col("winner")).alias("winner")).where("loser <> winner")
+
+
 def merged(memories: DataFrame, edges: DataFrame, mentions: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
     """The tables after merges (winner, loser, content): the winner has the content, the loser is forgotten, edges and mentions of the loser are the
-    winner's (no loops, the largest weight), and the winner updates the loser."""
-    p = pairs.select("winner", "loser")
-    news = pairs.select(F.col("winner").alias("id"), F.col("content").alias("__content"))
+    winner's (no loops, the largest weight), and the winner updates the loser.
+
+    Pairs are brought to ``merge_roots`` first, so a row has one winner, which stays. A winner of one loser by one pair has that pair's content; one of
+    several has its own and theirs, one after another by id, as ``maintenance.merged_content`` puts two together; the distinct texts of its losers are one
+    array."""
+    given = kept(pairs.where("winner <> loser").groupBy("winner", "loser").agg(F.min("content").alias("content")), "merge-pairs")
+    p = kept(merge_roots(given), "merges")
+    sole = p.groupBy("winner").agg(F.count("*").alias("losers"), F.min("loser").alias("loser"))
+    simple = sole.where("losers = 1").join(given, ["winner", "loser"]).select(F.col("winner").alias("id"), F.col("content").alias("__one"))
+    several = p.join(memories.select(F.col("id").alias("loser"), F.col("content").alias("__text")), "loser").groupBy("winner", F.coalesce("__text", F.lit("")).alias("text")).agg(F.min("loser").alias("loser"))
+    several = several.groupBy(F.col("winner").alias("id")).agg(F.array_sort(F.collect_list(F.struct("loser", "text"))).alias("__all"))
     lost = p.select(F.col("loser").alias("id"), F.lit(True).alias("__lost"))
-    rows = memories.join(news, "id", "left").join(lost, "id", "left")
-    rows = rows.withColumns({"content": F.coalesce("__content", "content"), "forgotten": F.coalesce("__lost", "forgotten")}).drop("__content", "__lost")
+    rows = memories.join(simple, "id", "left").join(several, "id", "left").join(lost, "id", "left")
+    folded = F.aggregate("__all", F.coalesce("content", F.lit("")), lambda text, other: maintenance.merged_content(text, other["text"]))
+    content = F.coalesce("__one", F.when(F.col("__all").isNotNull(), folded), "content")
+    rows = rows.withColumns({"content": content, "forgotten": F.coalesce("__lost", "forgotten")}).drop("__one", "__all", "__lost")
     of = lambda column: p.select(F.col("loser").alias(column), F.col("winner").alias("__w"))
     moved = edges
     for end in ("src", "dst"):
@@ -78,6 +106,23 @@ def merged(memories: DataFrame, edges: DataFrame, mentions: DataFrame, pairs: Da
     return {"memories": rows, "edges": moved.groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight")), "mentions": told}
 
 
+def invalidated(memories: DataFrame, edges: DataFrame, ends: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """The tables after facts came to an end (id, and the successor's id or null): valid_to is ``at``, if they don't end before, superseded_by the successor,
+    which also updates them, and history has an INVALIDATE row each (memory_id, event, old_value, new_value, created_at). Successors that
+    are not there count as null; of repeated ids the least successor counts; a row is never its own."""
+    known = memories.select(F.col("id").alias("successor"))
+    told = ends.where("id is not null").join(known, "successor", "left_semi").where("successor <> id").groupBy("id").agg(F.min("successor").alias("successor"))
+    hit = memories.select("id").join(ends.select("id").distinct(), "id", "left_semi").join(told, "id", "left")
+    hit = kept(hit.select("id", F.col("successor").alias("__by"), F.lit(True).alias("__hit")), "invalidated")
+    rows = memories.join(hit, "id", "left")
+    old = rows.where("__hit").select(F.col("id").alias("memory_id"), F.lit("INVALIDATE").alias("event"), F.col("valid_to").cast("string").alias("old_value"), F.least(F.coalesce("valid_to", at), at).cast("string").alias("new_value"), at.alias("created_at"))
+    before = F.col("superseded_by") if "superseded_by" in memories.columns else F.lit(None).cast(memories.schema["id"].dataType)
+    rows = rows.withColumns({"valid_to": F.when(F.col("__hit"), F.least(F.coalesce("valid_to", at), at)).otherwise(F.col("valid_to")), "superseded_by": F.coalesce("__by", before)}).drop("__by", "__hit")
+    new = hit.where("__by is not null").select(F.col("__by").alias("src"), F.col("id").alias("dst"), F.lit("updates").alias("relation"), F.lit(1.0).alias("weight"))
+    both = edges.select("src", "dst", "relation", "weight").unionByName(new).groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"))
+    return {"memories": rows, "edges": both, "history": old}
+
+
 def entity_edges(batch: DataFrame, memories: DataFrame, mentions: DataFrame, most: int = 4, weight: float = 0.6) -> DataFrame:
     """Edges of new rows to the ``most`` rows, last updated first, that mention an entity of theirs. Of each entity only its ``most`` + 1
     last updated rows can be among them (one may be the new row), so a frequent entity is no join of all its rows."""

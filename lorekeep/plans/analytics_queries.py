@@ -179,6 +179,32 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.search_documents(q, c, id_="doc_id").select("qid", "doc_id", "hit_index", "chunk_index", "score")
 
 
+# conversations as documents, their turns as passages; three conversations in a row are versions of one source
+_PASSAGES = """with n as (select count(*) as n from embeddings), c as (select conv_id as document_id, turn as chunk_index, coalesce(text, '') as content, (conv_id // 3) % 2 as space, e.embedding from conversations, n left join embeddings e on e.vec_id = (conv_id * 31 + turn) % n.n),
+ head as (select max(conv_id) as document_id from conversations group by conv_id // 3)"""
+
+
+@register(f"""{_PASSAGES}, k as (select *, concat(cast(document_id as varchar), '#', lpad(cast(chunk_index as varchar), 6, '0')) as id from c where space = 0), q as (select document_id as qid, content as text, embedding from c where chunk_index = 0 and document_id % 20 = 0),
+ tok as (select id, list_filter(string_split_regex(lower(content), '[^a-z0-9一-鿿]+'), lambda t: length(t) > 1) as terms from k), st as (select count(*) as n_docs, avg(len(terms)) as avg_len from tok where len(terms) > 0),
+ tf as (select id, term, len, count(*) as tf from (select id, len(terms) as len, unnest(terms) as term from tok) group by all), df as (select term, count(*) as df from tf group by term),
+ qt as (select distinct qid, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9一-鿿]+'), lambda t: length(t) > 1)) as term from q),
+ fts as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from (select qid, id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) as score from qt join tf using (term) join df using (term), st group by all)),
+ vec as (select qid, id, row_number() over (partition by qid order by list_cosine_similarity(cast(k.embedding as double[]), cast(q.embedding as double[])) desc, id) as rank from q, k where k.embedding is not null and q.embedding is not null),
+ f as (select qid, id, sum(1.0 / (60 + rank)) as score from (select * from fts where rank <= 40 union all select * from vec where rank <= 40) group by all),
+ s as (select f.qid, k.document_id, k.chunk_index, f.id, f.score / max(f.score) over (partition by f.qid) as score from f join k using (id)),
+ r as (select s.*, row_number() over (partition by qid order by score desc, id) as rank from s join head using (document_id))
+ select r.qid, r.document_id, r.chunk_index as hit_index, k.chunk_index, round(r.score, 6) as score from r join k on k.document_id = r.document_id and k.chunk_index between r.chunk_index - 1 and r.chunk_index + 1 where r.rank <= 5""")
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages by words and vectors, of one namespace and of current versions only."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = rows.withColumn("space", F.floor(F.col("document_id") / 3) % 2).withColumn("vec_id", F.pmod(F.col("document_id") * 31 + F.col("chunk_index"), F.lit(e.count()))).join(e, "vec_id", "left").drop("vec_id")
+    versions = rows.select("document_id", F.col("space").alias("namespace_id"), F.floor(F.col("document_id") / 3).alias("source_key"), F.col("document_id").alias("updated_at")).distinct()
+    q = rows.where("chunk_index = 0 and document_id % 20 = 0").select(F.col("document_id").alias("qid"), F.col("content").alias("text"), "embedding")
+    found = documents.search_documents(q, rows, versions=versions, scope={"space": 0})
+    return found.select("qid", "document_id", "hit_index", "chunk_index", F.round("score", 6).alias("score"))
+
+
 @register("select doc_id, sha256(text) as content_hash, strlen(text) as bytes from documents")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
