@@ -5,12 +5,13 @@ A lane is (qid, id, score). Queries are a stated, small set; memories are scanne
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +116,39 @@ def _with_terms(rows: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataFrame:
     """BM25 over rows with a term; document counts and lengths are those of the rows given. queries: qid, text.
 
-    Document counts are taken of the queries' terms only. Queries are broadcast a block at a time, as the list of queries of each term; a
-    task adds up its rows' weights over those lists and sends on only the best of each batch and query, so that frequent
+    Document counts are taken of the queries' terms only. Scoring is ``scored_by_terms``: frequent
     terms, which nearly every query shares with nearly every row, are never joined."""
     docs = kept(_with_terms(memories, "id", "content"), "bm25-terms")  # made once: counted for each block of queries, then scored
     n_docs, length = docs.agg(F.count("*"), F.avg(F.size("terms"))).first()
     asked = _with_terms(queries, "qid", "text").select("qid", F.array_distinct("terms").alias("terms"))
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+
+    def idf(vocabulary: Broadcast) -> np.ndarray:
+        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(vocabulary.value[0]), np.int64)
+            for batch in batches:
+                _, term, _ = _postings(batch.column("terms"), vocabulary.value[0])
+                total += np.bincount(term, minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+
+        counted = docs.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(vocabulary.value[0]))
+        df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+        return np.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+
+    return scored_by_terms(asked, docs, idf, lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / length)), limit) if n_docs else scored_by_terms(asked.limit(0), docs, idf, lambda tf, size: tf, limit)
+
+
+def scored_by_terms(asked: DataFrame, docs: DataFrame, idf: Callable[[Broadcast], np.ndarray], weight: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int) -> DataFrame:
+    """The rows with the largest sums of idf * weight over the terms that they share with a query. asked: qid, terms (distinct); docs: id, terms; idf: of the
+    terms of a block of queries, from a broadcast whose first part is their array; weight: of how often a row has a term and how many it has in all.
+
+    Queries are broadcast a block at a time, as the list of queries of each term; a task adds up its rows' weights over those lists and sends
+    on only the best of each batch and query."""
+    context = docs.sparkSession.sparkContext
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
     found = []
-    for part in _parts(asked, F.size("terms")) if n_docs else []:
+    for part in _parts(asked.where(F.size("terms") > 0), F.size("terms")):
         block = part.toArrow().combine_chunks()
         if not block.num_rows:
             continue
@@ -133,23 +158,10 @@ def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataF
         query = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         code = coded.indices.to_numpy()
         order = np.argsort(code, kind="stable")
-        index = (vocabulary, np.searchsorted(code[order], np.arange(len(vocabulary) + 1)), query[order], block.column("qid").chunk(0))
-        held = memories.sparkSession.sparkContext.broadcast(index)
-
-        def frequencies(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(held.value[0]), np.int64)
-            for batch in batches:
-                doc, term, _ = _postings(batch.column("terms"), held.value[0])
-                total += np.bincount(term, minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+        held = context.broadcast((vocabulary, np.searchsorted(code[order], np.arange(len(vocabulary) + 1)), query[order], block.column("qid").chunk(0)))
+        sent = context.broadcast(idf(held))
 
-        counted = docs.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-        df = np.zeros(len(vocabulary))
-        df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
-        idf = memories.sparkSession.sparkContext.broadcast(np.log((n_docs - df + 0.5) / (df + 0.5) + 1))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, idf=idf) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, sent=sent) -> Iterator[pa.RecordBatch]:
             words, first, of, qids = held.value
             step = max(limit, BLOCK_VALUES // max(1, len(qids)))
             for batch in batches:
@@ -157,13 +169,12 @@ def bm25_lane(queries: DataFrame, memories: DataFrame, limit: int = 50) -> DataF
                     part = batch.slice(at, step)
                     doc, term, tf = _postings(part.column("terms"), words)
                     size = pc.list_value_length(part.column("terms")).to_numpy()[doc]
-                    weight = idf.value[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / length))
-                    total = _added(doc, term, weight, first, of, part.num_rows, len(qids))
+                    total = _added(doc, term, sent.value[term] * weight(tf, size), first, of, part.num_rows, len(qids))
                     scores = np.round(total, 9)  # the order of the sum must not break ties
                     yield _best(np.where(scores > 0, scores, -np.inf), part.column("id"), qids, limit)
 
-        found.append(docs.mapInArrow(run, schema))
-    return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
+        found.append(docs.select("id", "terms").mapInArrow(run, schema))
+    return top(reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema), limit)
 
 
 #: A term of more than a share of the queries is multiplied as a row of a matrix, so many terms at once; others are added up one by one.
