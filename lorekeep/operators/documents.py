@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +17,7 @@ from . import fusion, retrieval
 
 MAX_CHARS, OVERLAP = 1600, 200
 #: Where a chunk may end: before a line feed or an ideographic full stop, after a full stop that a space follows.
-BREAK = re.compile(r"\n|。|(?<=\.) ")
+BREAK, LINE_END = re.compile(r"\n|。|(?<=\.) "), re.compile(r"\n")
 
 
 def _units(text: str) -> str:
@@ -148,30 +148,46 @@ def profile_sections(text: Column) -> Column:
 
 class Transcript:
     """The pieces of a text that comes line by line: a piece ends at its last line break if that is past its middle; the next one
-    starts at a line break within the overlap, if there is one. Holds one piece and one line at most."""
+    starts at a line break within the overlap, if there is one.
+
+    Offsets count from the transcript's start. The breaks of the text that is held are a sorted list, in which both ends of a piece are looked up. Holds
+    one piece and one line at most."""
 
     def __init__(self, max_chars: int, overlap: int) -> None:
         self.max_chars, self.overlap = max_chars, overlap
-        self.held: str | None = None
+        self._empty()
+
+    def _empty(self) -> None:
+        self.text, self.origin, self.breaks = None, 0, []
+
+    def _append(self, line: str) -> None:
+        added = line if self.text is None else f"\n{line}"
+        at = self.origin + len(self.text or "")
+        self.breaks += [at + m.start() for m in LINE_END.finditer(added)]
+        self.text = (self.text or "") + added
+
+    def _ends(self) -> tuple[int, int]:
+        """Where the first piece of the text ends, and where the next begins."""
+        last = self.origin + self.max_chars
+        near = self.breaks[: bisect_right(self.breaks, last)][-1:]
+        end = next((b for b in near if b - self.origin > self.max_chars // 2), last)
+        onward = max(self.origin + 1, end - self.overlap)
+        inside = self.breaks[bisect_left(self.breaks, onward) : bisect_left(self.breaks, end)]
+        return end, inside[0] + 1 if inside else onward
 
     def add(self, line: str) -> Iterator[str]:
         """The pieces that end before the end of ``line``."""
-        text = line if self.held is None else f"{self.held}\n{line}"
-        start = 0
-        while len(text) - start > self.max_chars:
-            end = start + self.max_chars
-            at = text.rfind("\n", start, end + 1)
-            end = at if at > start + self.max_chars // 2 else end
-            yield text[start:end]
-            back = max(start + 1, end - self.overlap)
-            at = text.find("\n", back, end)
-            start = back if at < 0 else at + 1
-        self.held = text[start:]
+        self._append(line)
+        while len(self.text) > self.max_chars:
+            end, onward = self._ends()
+            yield self.text[: end - self.origin]
+            self.text, self.origin = self.text[onward - self.origin :], onward
+            self.breaks = self.breaks[bisect_left(self.breaks, onward) :]
 
     def rest(self) -> Iterator[str]:
-        if self.held:
-            yield self.held
-        self.held = None
+        if self.text:
+            yield self.text
+        self._empty()
 
 
 def episode_chunks(messages: DataFrame, episode: str = "episode_id", order: str = "turn", max_chars: int = 16_000, overlap: int = 512) -> DataFrame:
