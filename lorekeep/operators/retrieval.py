@@ -21,8 +21,10 @@ from ..scratch import kept
 K1, B = 1.5, 0.75
 #: Queries that are broadcast at most; a larger set is cut into blocks of so many.
 QUERY_BLOCK = 10_000
-#: Terms or numbers of a block of queries, and pairs of a row and a query that a task holds at once.
+#: Terms or numbers of a block of queries.
 BLOCK_VALUES = 1 << 21
+#: Pairs of a row and a query that a task holds at once, in about ten arrays.
+STEP_VALUES = 1 << 19
 
 
 def top(lane: DataFrame, limit: int) -> DataFrame:
@@ -80,7 +82,7 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qids, vectors = held.value.column("qid").chunk(0), held.value.column("embedding").chunk(0)
             q, q_norm = _matrix(vectors, int(np.diff(vectors.offsets.to_numpy()).max()))
-            step = max(limit, BLOCK_VALUES // max(1, len(q)))
+            step = max(limit, STEP_VALUES // max(1, len(q)))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     ids, rows = batch.column("id").slice(at, step), batch.column("embedding").slice(at, step)
@@ -163,7 +165,7 @@ def scored_by_terms(asked: DataFrame, docs: DataFrame, idf: Callable[[Broadcast]
 
         def run(batches: Iterator[pa.RecordBatch], held=held, sent=sent) -> Iterator[pa.RecordBatch]:
             words, first, of, qids = held.value
-            step = max(limit, BLOCK_VALUES // max(1, len(qids)))
+            step = max(limit, STEP_VALUES // max(1, len(qids)))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
@@ -186,8 +188,8 @@ def _added(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, first: np.ndar
     many = first[term + 1] - first[term]
     total = np.zeros(rows * n)
     rare = np.flatnonzero(many <= max(8, n * DENSE_SHARE))
-    # as many terms at once as have about BLOCK_VALUES queries together
-    cuts = np.unique([0, *np.searchsorted(np.cumsum(many[rare]), np.arange(BLOCK_VALUES, many[rare].sum(), BLOCK_VALUES)), len(rare)])
+    # as many terms at once as have about STEP_VALUES queries together
+    cuts = np.unique([0, *np.searchsorted(np.cumsum(many[rare]), np.arange(STEP_VALUES, many[rare].sum(), STEP_VALUES)), len(rare)])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         at = rare[lo:hi]
         m = many[at]

@@ -122,7 +122,7 @@ def test_dense_and_rare_terms_add_up_alike(monkeypatch):
         for most in (3, 256):
             monkeypatch.setattr(retrieval, "DENSE_SHARE", share)
             monkeypatch.setattr(retrieval, "DENSE_TERMS", most)
-            monkeypatch.setattr(retrieval, "BLOCK_VALUES", 50)
+            monkeypatch.setattr(retrieval, "STEP_VALUES", 50)
             assert np.allclose(retrieval._added(doc, term, weight, first, of, rows, n), want)
 
 
