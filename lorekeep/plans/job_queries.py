@@ -165,21 +165,21 @@ def requirement_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matched(links)
 
 
-_WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 4))"
+_SPLIT = r"'[^\p{L}\p{N}_]+'"
 
 
-@register(f"""with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations), w as (select conv_id, turn, role, text, {_WORDS.format('text')} as w from c),
- a as (select conv_id, turn, role, list_sort(w)[1:2] as all_text from w where role = 'user' and len(w) >= 2), f as (select conv_id, turn, role, string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+') as w from c)
- select a.conv_id as case_id, a.turn as requirement, f.turn as fact from a join f on a.conv_id = f.conv_id and list_has_all(f.w, a.all_text) where f.role <> 'user'""")
+@register(rf"""with c as (select conv_id, turn, role, string_split_regex(lower(coalesce(text, '')), {_SPLIT}) as w from conversations),
+ a as (select conv_id, turn, list_sort(list_distinct(list_filter(w, lambda t: length(t) >= 3)))[1:4] as any_text from c where role = 'user')
+ select a.conv_id as case_id, a.turn as requirement, c.turn as fact from a join c on a.conv_id = c.conv_id and list_has_any(c.w, a.any_text) where c.role <> 'user'""")
 def facts_met(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's turn asks for two of its words; the other turns of the conversation are the facts."""
+    """A user's turn asks for any of four of its words; the other turns of the conversation are the facts."""
     from ..operators import matching
 
     c = load(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 4)))
-    none = F.lit(None).cast("string")
-    wants = c.where("role = 'user'").withColumn("w", words).where("size(w) >= 2").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("requirement"), F.slice("w", 1, 2).alias("all_text"), F.lit(None).cast("array<string>").alias("any_text"), none.alias("subject"), none.alias("attribute"), F.array(F.lit("assistant"), F.lit("system"), F.lit("tool")).alias("memory_types"))
-    facts = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("fact"), "text", none.alias("subject"), none.alias("attribute"), F.col("role").alias("memory_type"))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 3)))
+    none, list_ = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    wants = c.where("role = 'user'").withColumn("w", F.slice(words, 1, 4)).where("size(w) > 0").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("requirement"), list_.alias("all_text"), F.col("w").alias("any_text"), none.alias("subject"), none.alias("attribute"), list_.alias("memory_types"))
+    facts = c.where("role <> 'user'").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("fact"), "text", none.alias("subject"), none.alias("attribute"), F.col("role").alias("memory_type"))
     return matching.met_by(wants, facts)
 
 
