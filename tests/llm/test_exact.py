@@ -390,7 +390,7 @@ def test_sharding(spark, sf_dir):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "conversations", "labels"):
+    for name in ("documents", "benchmark", "conversations", "labels", "pages", "embeddings"):
         con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return con
 
