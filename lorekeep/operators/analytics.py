@@ -33,7 +33,8 @@ def request_totals(requests: DataFrame, *by: str | Column) -> DataFrame:
 
 
 def day(ts: str = "created_at") -> Column:
-    return F.date_format(ts, "yyyy-MM-dd").alias("day")
+    """The UTC day of an instant, whatever the session's time zone is."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000).cast("int")).cast("string").alias("day")
 
 
 def top_shares(requests: DataFrame, key: str, missing: str | None = None, limit: int | None = None) -> DataFrame:

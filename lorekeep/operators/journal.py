@@ -28,12 +28,18 @@ def claims(operations: DataFrame) -> DataFrame:
 
 
 def fold(base: DataFrame, log: DataFrame, columns: list[str]) -> DataFrame:
-    """The table after a mutation log (id, seq, op, the columns): for each column the last update that sets it; rows
-    whose last delete or purge has no later update are gone."""
-    set_ = log.where("op = 'update'").groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in columns], F.max("seq").alias("__updated"))
+    """The table after a mutation log (id, seq, op, the columns, and sets): for each column the last update that sets it; rows
+    whose last delete or purge has no later update are gone.
+
+    An update sets the columns that ``sets`` (an array of names) lists, to null too; where it is null, or the log has no such column, those that are not null.
+    ``add`` sets all columns, and makes the row if it is not there; its other columns are then null."""
+    log = log if "sets" in log.columns else log.withColumn("sets", F.lit(None).cast("array<string>"))
+    told = lambda c: (F.col("op") == "add") | F.coalesce(F.array_contains("sets", F.lit(c)), F.col(c).isNotNull())
+    set_ = log.where("op in ('update', 'add')").groupBy("id").agg(*[F.max_by(F.struct(c), F.when(told(c), F.col("seq"))).alias(f"__{c}") for c in columns], F.max("seq").alias("__updated"))
     gone = log.where("op in ('delete', 'purge')").groupBy("id").agg(F.max("seq").alias("__gone"))
-    rows = base.join(set_, "id", "left").join(gone, "id", "left").where("__gone is null or __updated > __gone")
-    return rows.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns], "__updated", "__gone")
+    made = log.where("op = 'add' and id is not null").select("id").distinct().join(base, "id", "left_anti")
+    rows = base.unionByName(made, allowMissingColumns=True).join(set_, "id", "left").join(gone, "id", "left").where("__gone is null or __updated > __gone")
+    return rows.withColumns({c: F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}")[c]).otherwise(F.col(c)) for c in columns}).drop(*[f"__{c}" for c in columns], "__updated", "__gone")
 
 
 def version_check(updates: DataFrame, memories: DataFrame) -> DataFrame:

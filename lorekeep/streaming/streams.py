@@ -14,7 +14,7 @@ def daily_usage(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     """Requests per workspace and UTC day of a stream; a day is final once the watermark has passed it."""
     ok = F.count_if(F.col("status") == "success")
     rows = requests.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day"), "workspace_id")
-    return rows.agg(F.count("*").alias("requests"), ok.alias("successes"), F.avg("latency_ms").alias("avg_latency_ms")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "workspace_id", "requests", "successes", "avg_latency_ms")
+    return rows.agg(F.count("*").alias("requests"), ok.alias("successes"), F.avg("latency_ms").alias("avg_latency_ms")).select(analytics.day("window.start"), "workspace_id", "requests", "successes", "avg_latency_ms")
 
 
 def first_claims(operations: DataFrame, late: str = "1 hour") -> DataFrame:

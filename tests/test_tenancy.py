@@ -101,3 +101,32 @@ def test_document_search_of_a_tenant(spark, passages):
     docs = spark.createDataFrame([("a", "s", "text a", None, DAY), ("b", "s", "text b", None, DAY)], "namespace_id string, source_key string, content string, metadata string, updated_at timestamp")
     made, pieces = mine.ingest_documents(docs)
     assert [r.content for r in made.collect()] == ["text b"] and pieces.count() == 1
+
+
+def test_updates_set_nulls_and_adds_make_rows(spark):
+    from lorekeep.operators import journal
+
+    base = spark.createDataFrame([("a", "x", 1.0, "n"), ("b", "y", 2.0, "n"), ("c", "z", 3.0, "n"), ("d", None, None, "n")], "id string, content string, importance double, namespace_id string")
+    log = [
+        ("a", 1, "update", None, 0.5, ["content", "importance"]), ("a", 2, "update", "late", None, None), ("a", 3, "update", "not set", 0.9, ["importance"]),
+        ("b", 4, "delete", None, None, None), ("b", 5, "add", "again", None, None), ("new", 6, "add", "made", 0.1, None), ("new", 7, "update", None, None, ["importance"]),
+        ("gone", 8, "add", "q", 1.0, None), ("gone", 9, "purge", None, None, None), ("c", 10, "update", None, None, ["content"]), ("none", 11, "update", "no row", None, None), (None, 12, "add", "no id", None, None),
+    ]
+    df = spark.createDataFrame(log, "id string, seq int, op string, content string, importance double, sets array<string>")
+    got = journal.fold(base, df, ["content", "importance"])
+    assert rows(got) == sorted([("a", "late", 0.9, "n"), ("b", "again", None, "n"), ("c", None, 3.0, "n"), ("d", None, None, "n"), ("new", "made", None, None)], key=repr)
+    plain = journal.fold(base, df.where("seq = 2").drop("sets"), ["content", "importance"])
+    assert rows(plain.where("id = 'a'")) == [("a", "late", 1.0, "n")]
+
+
+def test_days_are_of_utc(spark):
+    from lorekeep.operators import analytics
+
+    df = spark.sql("select timestamp '2024-03-01 23:30:00Z' as created_at union all select timestamp '1969-12-31 23:59:59.999Z'")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "Asia/Tokyo", "America/Lima"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert sorted(r.day for r in df.select(analytics.day()).collect()) == ["1969-12-31", "2024-03-01"]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
