@@ -24,7 +24,7 @@ QUERY_BLOCK = 10_000
 #: Terms or numbers of a block of queries.
 BLOCK_VALUES = 1 << 21
 #: Pairs of a row and a query that a task holds at once, in about ten arrays.
-STEP_VALUES = 1 << 19
+STEP_VALUES = 1 << 20
 
 
 def top(lane: DataFrame, limit: int) -> DataFrame:
@@ -54,6 +54,28 @@ def _best(scores: np.ndarray, ids: pa.Array, qids: pa.Array, limit: int, own: np
     return pa.RecordBatch.from_arrays([qids.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], names=["qid", "id", "score"])
 
 
+def _trimmed(found: Iterator[pa.RecordBatch], limit: int, queries: int) -> Iterator[pa.RecordBatch]:
+    """The best rows of each query over all of a task's steps: with many queries a step has few rows, which its own cut would all let through."""
+    held, n = [], 0
+    for batch in found:
+        held.append(batch)
+        n += batch.num_rows
+        if n > 2 * limit * queries + STEP_VALUES:
+            held = _cut(held, limit).to_batches()
+            n = sum(b.num_rows for b in held)
+    if n:
+        yield from _cut(held, limit).to_batches()
+
+
+def _cut(held: list[pa.RecordBatch], limit: int) -> pa.Table:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("qid", "ascending"), ("score", "descending"), ("id", "ascending")]))
+    query = rows.column("qid").combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return rows.filter(pa.array(place < limit))
+
+
 def _matrix(vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows of ``width`` (longer ones are cut: the dimensions of both sides count), and their lengths."""
     at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -79,7 +101,7 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
             continue
         held = memories.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def scored(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qids, vectors = held.value.column("qid").chunk(0), held.value.column("embedding").chunk(0)
             q, q_norm = _matrix(vectors, int(np.diff(vectors.offsets.to_numpy()).max()))
             step = max(limit, STEP_VALUES // max(1, len(q)))
@@ -94,6 +116,9 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
                     own = index[:, None] == np.arange(len(q))[None, :] if exclude_self else None
                     yield _best(cosine_, ids, qids, limit, own)
 
+        def run(batches: Iterator[pa.RecordBatch], scored=scored, n=block.num_rows) -> Iterator[pa.RecordBatch]:
+            return _trimmed(scored(batches), limit, n)
+
         found.append(m.mapInArrow(run, schema))
     return top(reduce(DataFrame.unionByName, found) if found else memories.sparkSession.createDataFrame([], schema), limit)
 
@@ -163,7 +188,7 @@ def scored_by_terms(asked: DataFrame, docs: DataFrame, idf: Callable[[Broadcast]
         held = context.broadcast((vocabulary, np.searchsorted(code[order], np.arange(len(vocabulary) + 1)), query[order], block.column("qid").chunk(0)))
         sent = context.broadcast(idf(held))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, sent=sent) -> Iterator[pa.RecordBatch]:
+        def scored(batches: Iterator[pa.RecordBatch], held=held, sent=sent) -> Iterator[pa.RecordBatch]:
             words, first, of, qids = held.value
             step = max(limit, STEP_VALUES // max(1, len(qids)))
             for batch in batches:
@@ -175,6 +200,9 @@ def scored_by_terms(asked: DataFrame, docs: DataFrame, idf: Callable[[Broadcast]
                     scores = np.round(total, 9)  # the order of the sum must not break ties
                     yield _best(np.where(scores > 0, scores, -np.inf), part.column("id"), qids, limit)
 
+        def run(batches: Iterator[pa.RecordBatch], scored=scored, n=block.num_rows) -> Iterator[pa.RecordBatch]:
+            return _trimmed(scored(batches), limit, n)
+
         found.append(docs.select("id", "terms").mapInArrow(run, schema))
     return top(reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema), limit)
 

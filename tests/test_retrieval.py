@@ -108,6 +108,19 @@ def test_ties_do_not_leave_a_batch(spark):
         assert sorted((r.qid, r.id) for r in lane.collect()) == [(k, f"m{i:05d}") for k in (1, 2) for i in range(7)]
 
 
+def test_a_task_keeps_the_best_of_all_its_steps(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), f"m{k:04d}", float(rng.randrange(9))) for k in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 60], strict=True)], names=["qid", "id", "score"]) for a in range(0, 900, 60)]
+    want = {(q, i) for q in range(6) for _, i in sorted((-s, i) for p, i, s in rows if p == q)[:5]}
+    for room in (0, 100, 1 << 20):
+        monkeypatch.setattr(retrieval, "STEP_VALUES", room)
+        assert {(r["qid"], r["id"]) for b in retrieval._trimmed(iter(batches), 5, 6) for r in b.to_pylist()} == want
+    assert list(retrieval._trimmed(iter([]), 5, 6)) == []
+
+
 def test_dense_and_rare_terms_add_up_alike(monkeypatch):
     rng = np.random.default_rng(1)
     n, rows, terms = 40, 30, 90
