@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_terms, cosine
+from ..functions.scalars import content_terms
 from ..scratch import kept
 
 K1, B = 1.5, 0.75
@@ -439,19 +439,71 @@ def strategy(kind: Column) -> Column:
 
 def associations(fresh: DataFrame, memories: DataFrame, most: int = 3, least: float = 0.6) -> DataFrame:
     """Edges of new rows to the nearest rows of their namespace that came before them. fresh and memories: id, namespace_id,
-    created_at, embedding. ``fresh`` is one batch of writes and is broadcast up to QUERY_BLOCK rows."""
-    n = fresh.where("embedding is not null").select(F.col("id").alias("qid"), "namespace_id", F.struct("created_at", "id").alias("born"), F.col("embedding").alias("qv"))
-    m = memories.where("embedding is not null").select("id", F.col("namespace_id").alias("ns"), F.struct("created_at", "id").alias("known"), "embedding")
-    small = len(n.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK
-    pairs = m.join(F.broadcast(n) if small else n, (F.col("ns") == F.col("namespace_id")) & (F.col("known") < F.col("born")))
-    return top(pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("qv")), 9).alias("score")).where(F.col("score") >= least), most)
+    created_at, embedding."""
+    return _near_in_namespace(fresh, memories, most, least, earlier=True)
 
 
 def synonyms(names: DataFrame, known: DataFrame, least: float = 0.88) -> DataFrame:
     """The nearest known name of each new one inside its namespace, if it is near enough. Both: id, namespace_id, embedding."""
-    n = names.where("embedding is not null").select(F.col("id").alias("qid"), "namespace_id", F.col("embedding").alias("qv"))
-    k = known.where("embedding is not null").select("id", F.col("namespace_id").alias("ns"), "embedding")
-    small = len(n.select("qid").take(QUERY_BLOCK + 1)) <= QUERY_BLOCK
-    pairs = k.join(F.broadcast(n) if small else n, (F.col("ns") == F.col("namespace_id")) & (F.col("id") != F.col("qid")))
-    near = pairs.select("qid", "id", F.round(cosine(F.col("embedding"), F.col("qv")), 9).alias("score")).where(F.col("score") >= least)
-    return top(near, 1).drop("rank")
+    return _near_in_namespace(names, known, 1, least).drop("rank")
+
+
+def _near_in_namespace(queries: DataFrame, rows: DataFrame, limit: int, least: float, earlier: bool = False) -> DataFrame:
+    """(qid, id, score, rank): the rows of a query's namespace with a cosine (of 9 digits) of ``least`` and more, best first; earlier: rows that came before it by
+    created_at and id, else all but itself. Queries are broadcast a block at a time, and a task multiplies its rows of a namespace with
+    the block's queries of it."""
+    at = (F.unix_micros(F.col("created_at").cast("timestamp")) if earlier else F.lit(0).cast("long")).alias("at")
+    held = lambda d: d.where("embedding is not null and namespace_id is not null").select("id", F.col("namespace_id").cast("string").alias("space"), at, "embedding")
+    q, m = held(queries).withColumnRenamed("id", "qid"), held(rows)
+    schema = f"qid {q.schema['qid'].dataType.simpleString()}, id {m.schema['id'].dataType.simpleString()}, score double"
+    found = []
+    for part in _parts(q, F.size("embedding")):
+        block = part.toArrow().combine_chunks()
+        if block.num_rows:
+            sent = rows.sparkSession.sparkContext.broadcast(block.sort_by("space").combine_chunks())
+            found.append(m.mapInArrow(_near_rows(sent, limit, least, earlier), schema))
+    return top(reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema), limit)
+
+
+def _near_rows(sent: Broadcast, limit: int, least: float, earlier: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def moments(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        column = rows.column("at")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return pc.fill_null(column, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        qids, vectors = (asked.column(c).combine_chunks() for c in ("qid", "embedding"))
+        q, q_norm = _matrix(vectors, int(np.diff(vectors.offsets.to_numpy()).max()))
+        born, bound = moments(asked), np.full(len(q), float(least))
+        spaces = asked.column("space").combine_chunks().dictionary_encode()
+        first = np.searchsorted(spaces.indices.to_numpy(), np.arange(len(spaces.dictionary) + 1))
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                space = pc.fill_null(pc.index_in(batch.column("space"), spaces.dictionary), -1).to_numpy(zero_copy_only=False)
+                for k in np.unique(space[space >= 0]).tolist():
+                    lo, hi = int(first[k]), int(first[k + 1])
+                    mine = batch.take(pa.array(np.flatnonzero(space == k)))
+                    step = max(limit, STEP_VALUES // (hi - lo))
+                    for at in range(0, mine.num_rows, step):
+                        yield scores_of(mine.slice(at, step), lo, hi)
+
+        def scores_of(rows: pa.RecordBatch, lo: int, hi: int) -> pa.RecordBatch:
+            ids, names = rows.column("id"), qids.slice(lo, hi - lo)
+            scores = _cosines(*_matrix(rows.column("embedding"), q.shape[1]), q[lo:hi], q_norm[lo:hi])
+            if earlier:
+                known = moments(rows)
+                later = known[:, None] > born[None, lo:hi]
+                row, query = np.nonzero(known[:, None] == born[None, lo:hi])
+                later[row, query] = ~pc.less(ids.take(pa.array(row)), names.take(pa.array(query))).to_numpy(zero_copy_only=False).astype(bool)
+                scores[later] = -np.inf
+            else:
+                own = pc.fill_null(pc.index_in(ids, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.flatnonzero(own >= 0)
+                scores[row, own[row]] = -np.inf
+            return _best(scores, ids, names, limit, least=bound[lo:hi], digits=9)
+
+        return _trimmed(scored(), limit, len(q), (qids, bound))
+
+    return run
