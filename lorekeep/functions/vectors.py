@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import fnv1a, words_of
+from .scalars import words_of
 
 
 def hashed_embedding(docs: DataFrame, id_: str = "id", text: str = "content", dims: int = 384) -> DataFrame:
     """(id, embedding): a signed bag of hashed words of length 1; a text without words is the first unit vector. For tests
-    and offline use; a word's place is its FNV-1a hash modulo dims, its sign the hash's top bit."""
-    words = docs.select(id_, F.explode_outer(words_of(F.col(text))).alias("word"))
-    h = F.conv(fnv1a(F.col("word")), 16, 10).cast("long")
-    cells = words.groupBy(id_, F.when(F.col("word").isNotNull(), h % dims).otherwise(F.lit(0)).cast("int").alias("dim"), F.when(F.col("word").isNotNull(), F.when(h >= 1 << 31, -1.0).otherwise(1.0)).otherwise(F.lit(1.0)).alias("sign")).agg(F.count("*").alias("n"))
-    sums = cells.groupBy(id_, "dim").agg(F.sum(F.col("sign") * F.col("n")).alias("v"))
-    rows = sums.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("size") > 0, F.col("size")).otherwise(F.lit(1.0)))
-    return rows.select(id_, value.alias("embedding"))
+    and offline use; a word's place is its FNV-1a hash modulo dims, its sign the hash's top bit. A row is made from its own
+    text alone, without a shuffle of words."""
+    rows = docs.select(F.col(id_).alias("key"), words_of(F.col(text)).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, HASHED_ROWS):
+                part = batch.slice(at, HASHED_ROWS)
+                words = part.column("words")
+                coded = words.flatten().dictionary_encode()
+                h, many = _fnv(coded.dictionary.to_pylist())[coded.indices.to_numpy()], pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                cell = np.repeat(np.arange(part.num_rows), many) * dims + h % dims
+                out = np.bincount(cell, np.where(h >= 1 << 31, -1.0, 1.0), part.num_rows * dims).astype(np.float64).reshape(part.num_rows, dims)
+                out[many == 0, 0] = 1.0
+                size = np.sqrt((out * out).sum(axis=1))
+                out /= np.where(size > 0, size, 1.0)[:, None]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(np.arange(0, out.size + 1, dims, dtype=np.int32), out.reshape(-1))], names=[id_, "embedding"])
+
+    return rows.mapInArrow(run, f"{id_} {docs.schema[id_].dataType.simpleString()}, embedding array<double>")
+
+
+#: Rows that a task takes at once.
+HASHED_ROWS = 1024
+
+
+def _fnv(words: list[str]) -> np.ndarray:
+    """32-bit FNV-1a over UTF-16 units of each word, as ``scalars.fnv1a``: all words take their first unit, then those that have one their second."""
+    raw = [w.encode("utf-16-le", "surrogatepass") for w in words]
+    sizes = np.array([len(r) // 2 for r in raw], np.int64)
+    units = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    longer = len(words) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
+    h = np.full(len(words), 2166136261, np.int64)
+    for i, n in enumerate(longer.tolist()):
+        at = order[:n]
+        h[at] = (h[at] ^ units[starts[at] + i]) * 16777619 & 0xFFFFFFFF
+    return h
 
 
 def centred(vectors: DataFrame, order: str, first: int = 256) -> DataFrame:
