@@ -6,7 +6,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,15 +59,17 @@ def chunk_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
 
 
 def chunks(docs: DataFrame, id_: str = "document_id", text: str = "content", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """A row per chunk: id, chunk_index, first_byte, last_byte, content, content_hash. A null text has none."""
+    """A row per chunk: id, chunk_index, first_byte, last_byte, content, content_hash. A null text has none. A task holds the chunks of a few megabytes of text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(i, *c) for i, t in zip(batch[id_], batch[text], strict=True) if t is not None for c in chunk_text(t, max_chars, overlap)]
-            yield pd.DataFrame(found, columns=[id_, "chunk_index", "first_byte", "last_byte", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in retrieval.text_slices(whole, "text")):
+            found = [(row, *c) for row, t in enumerate(batch.column("text").to_pylist()) if t is not None for c in chunk_text(t, max_chars, overlap)]
+            row, *columns = zip(*found, strict=True) if found else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_, "chunk_index", "first_byte", "last_byte", "content"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(id_, text).mapInPandas(run, f"{id_} {kind}, chunk_index long, first_byte long, last_byte long, content string")
+    out = docs.select(F.col(id_).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{id_} {kind}, chunk_index long, first_byte long, last_byte long, content string")
     return out.withColumn("content_hash", F.sha2("content", 256))
 
 
@@ -135,8 +136,9 @@ def search_documents(queries: DataFrame, chunk_rows: DataFrame, limit: int = 5,
 
 def heuristic_entities(text: Column) -> Column:
     """Runs of title-case words, without small words at their ends, of 2 characters or more, at most 16 distinct."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}\p{N}'-]*(?:[ ]\p{Lu}[\p{L}\p{N}'-]*)*)"), 1)
-    bare = F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, r"^(?:(?:The|A|An|I|It|He|She|We|They|This|That|In|On|At|And|But)(?: |$))+", ""), r"(?: (?:The|A|An|I|And|Of))+$", ""))
+    # possessive repeats, as Java goes one call deeper with each repeat of a greedy group, and a run of some thousand words ends its stack
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}\p{N}'-]*+(?:[ ]\p{Lu}[\p{L}\p{N}'-]*+)*+)"), 1)
+    bare = F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, r"^(?:(?:The|A|An|I|It|He|She|We|They|This|That|In|On|At|And|But)(?: |$))++", ""), r"(?: (?:The|A|An|I|And|Of)(?= |$))++$", ""))
     return F.slice(F.array_distinct(F.filter(bare, lambda r: F.length(r) >= 2)), 1, 16)
 
 
