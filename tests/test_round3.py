@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import retrieval
+from lorekeep.functions import scalars as S
+from lorekeep.functions import vectors
+from lorekeep.operators import documents, lifecycle, retrieval
 
 
 def plan(df):
@@ -35,3 +36,101 @@ def test_near_rows_of_a_namespace_are_found_without_a_join(spark):
     near = retrieval.synonyms(df, df, 0.5)
     assert {(r.qid, r.id): 1 for r in near.collect()} == want(lambda a, b: a[1] != b[1], 1)
     assert "Join" not in plan(found) and "Join" not in plan(near)
+
+
+def test_scores_that_cannot_be_results_are_left_out_and_ties_stay(monkeypatch):
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 12, (3000, 40)) / 4
+    ids, qids = pa.array([f"m{(k * 7) % 3000:05d}" for k in range(3000)]), pa.array(np.arange(40))
+    monkeypatch.setattr(retrieval, "STEP_VALUES", 2000)
+    least, let = np.full(40, -np.inf), []
+
+    def steps():
+        for at in range(0, 3000, 60):
+            let.append(retrieval._best(scores[at : at + 60], ids.slice(at, 60), qids, 5, least=least, digits=9, above=0.0))
+            yield let[-1]
+
+    got = {(r["qid"], r["id"]) for b in retrieval._trimmed(steps(), 5, 40, (qids, least)) for r in b.to_pylist()}
+    names = ids.to_pylist()
+    assert got == {(q, i) for q in range(40) for _, i in sorted((-s, i) for s, i in zip(scores[:, q], names, strict=True))[:5]}
+    # what a step lets through falls once a cut has told what the last place scores
+    assert (least > 0).all() and sum(b.num_rows for b in let[-10:]) < sum(b.num_rows for b in let[:10])
+
+
+def test_a_first_part_of_the_rows_bounds_the_rest(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"]) for _ in range(rng.randrange(9)))
+    m = spark.createDataFrame([(f"m{k:03d}", text()) for k in range(300)], "id string, content string")
+    q = spark.createDataFrame([(k, text()) for k in range(12)] + [(99, "nothing")], "qid int, text string")
+    run = lambda: {(r.qid, r.id, r.score, r["rank"]) for r in retrieval.bm25_lane(q, m, 7).collect()}
+    whole = run()
+    monkeypatch.setattr(retrieval, "FIRST_PAIRS", 1)
+    assert run() == whole and len(whole) > 50
+
+
+def test_texts_and_terms_are_taken_apart_a_few_megabytes_at_once(monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(["abcdef", None, "gh", "x" * 50, "", "ijklmnop"])], names=["t"])
+    parts = [b.column("t").to_pylist() for b in retrieval.text_slices(batch, "t")]
+    assert [t for p in parts for t in p] == batch.column("t").to_pylist() and len(parts) > 2
+    assert list(retrieval.text_slices(batch.slice(0, 0), "t")) == []
+
+
+def test_named_entities_meet_their_rows_without_a_shuffle_of_pairs(spark):
+    rng = random.Random(4)
+    names = [f"e{k}" for k in range(6)]
+    mentions = [(f"m{rng.randrange(40):02d}", rng.choice(names + ["e0"] * 9)) for _ in range(160)]
+    questions = [(k, " and ".join(rng.sample(names, rng.randrange(4)))) for k in range(30)]
+    m, q = spark.createDataFrame(mentions, "memory_id string, entity_id string"), spark.createDataFrame(questions, "qid int, text string")
+    e = m.select(F.col("entity_id").alias("id"), F.col("entity_id").alias("name")).distinct()
+    size = {n: sum(x == n for _, x in mentions) for n in names}
+    want = {}
+    for k, text in questions:
+        for i, n in mentions:
+            if n in text.split(" "):
+                want[k, i] = max(want.get((k, i), 0), min(0.12, 0.3 / size[n] ** 0.5))
+    found = lifecycle.entity_matches(q, e, m)
+    got = [(r.qid, r.id, round(r.boost, 9)) for r in found.collect()]
+    assert sorted(got) == sorted((*k, round(v, 9)) for k, v in want.items())
+    after = plan(found).split("Generate explode(asked", 1)
+    assert "Exchange" not in after[0] and len(after) == 2
+    some = spark.createDataFrame([(k, "m01") for k in range(30)] + [(1, "zz")], "qid int, id string")
+    asked = {(r.qid, r.id): round(r.boost, 9) for r in lifecycle.entity_matches(q, e, m, some).collect()}
+    assert asked == {k: round(v, 9) for k, v in want.items() if k[1] == "m01"}
+
+
+def test_long_runs_of_title_case_words_do_not_end_the_stack(spark):
+    texts = ["Ab " * 60_000 + "x", "The " * 30_000 + "Sea", "Go And The Of Rome And the A", "Rome And", "The Anders And An", "In On At"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.found for r in rows.select("id", documents.heuristic_entities(F.col("text")).alias("found")).collect()}
+    assert got[0] == ["Ab " * 59_999 + "Ab"] and got[1] == ["Sea"]
+    assert [got[k] for k in (2, 3, 4, 5)] == [["Go And The Of Rome"], ["Rome"], ["Anders"], []]
+
+
+def test_hashed_words_need_no_shuffle(spark):
+    texts = [(0, "Äpfel and 山 apples, and 𝔘nit"), (1, None), (2, " .. "), (3, "one One two")]
+    df = vectors.hashed_embedding(spark.createDataFrame(texts, "id int, content string"), dims=8)
+    assert "Exchange" not in plan(df)
+    got = {r.id: np.array(r.embedding) for r in df.collect()}
+    words = spark.createDataFrame(texts, "id int, content string").select("id", F.explode(S.words_of(F.col("content"))).alias("w")).select("id", F.conv(S.fnv1a(F.col("w")), 16, 10).cast("long").alias("h")).collect()
+    for k in range(4):
+        want = np.zeros(8)
+        for r in words:
+            if r.id == k:
+                want[r.h % 8] += -1.0 if r.h >= 1 << 31 else 1.0
+        want = want / np.linalg.norm(want) if any(r.id == k for r in words) else np.eye(1, 8)[0]
+        assert np.allclose(got[k], want)
+
+
+def test_an_episodes_rows_are_not_paired(spark, sf_dir):
+    from lorekeep.plans import job_queries
+
+    # beside the hits, an episode is met as one row with its least and greatest id
+    assert "AS most" in job_queries.hits_at_10(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_winners_texts_move(spark, sf_dir, monkeypatch):
+    from lorekeep.plans import lifecycle_queries
+
+    monkeypatch.setattr(lifecycle, "merged", lambda memories, edges, mentions, pairs: pairs)
+    assert "% 10) = 0" in lifecycle_queries._merge(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
