@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ K1, B = 1.5, 0.75
 QUERY_BLOCK = 10_000
 #: Terms or numbers of a block of queries.
 BLOCK_VALUES = 1 << 21
-#: Pairs of a row and a query that a task holds at once, in about ten arrays.
-STEP_VALUES = 1 << 20
+#: Pairs of a row and a query that a task holds at once, in about ten arrays; so many rows are found besides the best ones until they are cut.
+STEP_VALUES = 1 << 17
+#: Batches of found rows until they are made one, as a batch of few rows takes more memory than they do.
+HELD_BATCHES = 256
 #: Scores are compared with this much room before they are rounded.
 ROOM = 1e-8
 #: Pairs of rows and a block of queries from which a part of the rows is scored first, for what a result must score at least; that part.
@@ -44,17 +46,27 @@ def _parts(queries: DataFrame, size: Column) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
 
 
-def _best(scores: np.ndarray, ids: pa.Array, qids: pa.Array, limit: int, own: np.ndarray | None = None, least: np.ndarray | None = None, digits: int | None = None, above: float = -np.inf) -> pa.RecordBatch:
+def _best(scores: np.ndarray, ids: pa.Array, qids: pa.Array, limit: int, own: np.ndarray | None = None, least: np.ndarray | None = None, digits: int | None = None, above: float = -np.inf, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch:
     """The ``limit`` best rows of each query (a column of ``scores``), by score and then id. own: pairs to be left out; least: what a row of each query must
-    score to be a result, as far as is known; digits: scores are rounded to; above: what no result scores."""
+    score to be a result, as far as is known; digits: scores are rounded to; above: what no result scores; exact: the scores of pairs (row, query) for which those given may be off in their last
+    digits, so that equal rows tie; rows that share a query's last place are then all given."""
     if own is not None:
         scores = np.where(own, -np.inf, scores)
     if least is not None:
         row, query = np.divmod(np.flatnonzero(scores >= np.maximum(least - ROOM, np.nextafter(above, np.inf))), scores.shape[1])
         if len(row) <= limit * scores.shape[1]:
-            found = scores[row, query] if digits is None else np.round(scores[row, query], digits)
+            found = scores[row, query] if exact is None else exact(row, query)
+            found = found if digits is None else np.round(found, digits)
             some = np.flatnonzero((found > above) & (found >= least[query]))
             return pa.RecordBatch.from_arrays([qids.take(pa.array(query[some])), ids.take(pa.array(row[some])), pa.array(found[some])], names=["qid", "id", "score"])
+    if exact is not None:
+        bound = np.full(scores.shape[1], -np.inf) if len(scores) <= limit else np.partition(scores, len(scores) - limit, axis=0)[len(scores) - limit]
+        bound = bound if least is None else np.maximum(bound, least)
+        row, query = np.nonzero(np.isfinite(scores) & (scores >= bound - ROOM))
+        found = exact(row, query)
+        found = found if digits is None else np.round(found, digits)
+        some = np.flatnonzero((found > above) if least is None else (found > above) & (found >= least[query]))
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(query[some])), ids.take(pa.array(row[some])), pa.array(found[some])], names=["qid", "id", "score"])
     scores = scores if digits is None else np.round(scores, digits)
     keep = np.isfinite(scores) & (scores > above)
     if least is not None:
@@ -74,18 +86,23 @@ def _trimmed(found: Iterator[pa.RecordBatch], limit: int, queries: int, least: t
     what their rows must score, which grows with each cut, so that later steps let little through."""
     held, n = [], 0
     for batch in found:
-        held.append(batch)
-        n += batch.num_rows
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
         if n > 2 * limit * queries + STEP_VALUES:
             held = _cut(held, limit, least).to_batches()
             n = sum(b.num_rows for b in held)
+        elif len(held) > HELD_BATCHES:
+            held = pa.Table.from_batches(held).combine_chunks().to_batches()
     if n:
         yield from _cut(held, limit).to_batches(max_chunksize=1 << 16)
 
 
 def _cut(held: list[pa.RecordBatch], limit: int, least: tuple[pa.Array, np.ndarray] | None = None) -> pa.Table:
-    """The ``limit`` best rows of each query, by score and then id. Ids are compared only where a query's last place is shared."""
+    """The ``limit`` best rows of each query, by score and then id. Ids are compared only where a query's last place is shared. Empties ``held``, so that its rows
+    are not there twice."""
     rows = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
     coded = rows.column("qid").combine_chunks().dictionary_encode()
     query, score = coded.indices.to_numpy(), rows.column("score").to_numpy()
     order = np.lexsort((-score, query))
@@ -126,6 +143,16 @@ def _cosines(x: np.ndarray, x_norm: np.ndarray, q: np.ndarray, q_norm: np.ndarra
     return np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 0)
 
 
+def _pair_cosines(x: np.ndarray, x_norm: np.ndarray, q: np.ndarray, q_norm: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The cosines of some pairs, each summed in one order: in a product of matrices it depends on a row's place, so that equal rows may differ."""
+    total, step = np.empty(len(row)), max(1, STEP_VALUES // max(1, x.shape[1]))
+    for at in range(0, len(row), step):
+        some = slice(at, at + step)
+        total[some] = (x[row[some]] * q[query[some]]).sum(axis=1)
+    size = x_norm[row] * q_norm[query]
+    return np.divide(total, size, out=np.zeros_like(size), where=size > 0)
+
+
 def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclude_self: bool = True) -> DataFrame:
     """Exact cosine of every query with every row that has a vector, best first. queries: qid, embedding.
 
@@ -150,11 +177,12 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
                 own = pc.fill_null(pc.index_in(batch.column("id").cast(pa.string()), names), -1).to_numpy() if exclude_self else None
                 for at in range(0, batch.num_rows, step):
                     ids, rows = batch.column("id").slice(at, step), batch.column("embedding").slice(at, step)
-                    cosine_ = _cosines(*_matrix(rows, q.shape[1]), q, q_norm)
+                    x, x_norm = _matrix(rows, q.shape[1])
+                    cosine_ = _cosines(x, x_norm, q, q_norm)
                     if own is not None:
                         row = np.flatnonzero(own[at : at + step] >= 0)
                         cosine_[row, own[at + row]] = -np.inf
-                    yield _best(cosine_, ids, qids, limit, least=least)
+                    yield _best(cosine_, ids, qids, limit, least=least, exact=partial(_pair_cosines, x, x_norm, q, q_norm))
 
         def run(batches: Iterator[pa.RecordBatch], scored=scored, held=held) -> Iterator[pa.RecordBatch]:
             qids = held.value.column("qid").chunk(0)
@@ -407,8 +435,9 @@ def _added(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, first: np.ndar
     total = (x @ has).reshape(-1)
     rare = np.flatnonzero(~dense)
     many = first[term[rare] + 1] - first[term[rare]]
-    # as many terms at once as have about STEP_VALUES queries together
-    cuts = np.unique([0, *np.searchsorted(np.cumsum(many), np.arange(STEP_VALUES, many.sum(), STEP_VALUES)), len(rare)])
+    # as many terms at once as have about STEP_VALUES queries together, or half as many as there are sums, as each turn goes through these
+    room = max(STEP_VALUES, len(total) // 2)
+    cuts = np.unique([0, *np.searchsorted(np.cumsum(many), np.arange(room, many.sum(), room)), len(rare)])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         at, m = rare[lo:hi], many[lo:hi]
         where = np.repeat(first[term[at]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
