@@ -121,17 +121,20 @@ def search_documents(queries: DataFrame, chunk_rows: DataFrame, limit: int = 5,
     limit = max(1, min(limit, 20))
     for column, value in (scope or {}).items():
         chunk_rows = chunk_rows.where(F.col(column) == value)
+    vectors = "embedding" in queries.columns and "embedding" in chunk_rows.columns
     keyed = chunk_rows.withColumn("id", F.concat_ws("#", F.col(id_).cast("string"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
+    # made once: a task that makes passages does not hold their terms too
+    keyed = kept(keyed.select("id", id_, "chunk_index", "content", *(["embedding"] if vectors else [])), "passages")
     most = min(8 * limit, 100)
     lanes = {"fts": retrieval.bm25_lane(queries, keyed, most)}
-    if "embedding" in queries.columns and "embedding" in chunk_rows.columns:
+    if vectors:
         lanes["vector"] = retrieval.vector_lane(queries, keyed, most, exclude_self=False)
     fused = fusion.rrf(lanes).withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
     found = fused.select("qid", "id", "score").join(keyed.select("id", id_, "chunk_index"), "id")
     if versions is not None:
         current = heads(versions.select("namespace_id", "source_key", "updated_at", F.col(id_).alias("document_id")))
         found = found.join(current.select(F.col("document_id").alias(id_)), id_, "left_semi")
-    return with_neighbours(retrieval.top(found, limit), chunk_rows, reach, id_)
+    return with_neighbours(retrieval.top(found, limit), keyed, reach, id_)
 
 
 def heuristic_entities(text: Column) -> Column:

@@ -194,7 +194,7 @@ def vector_lane(queries: DataFrame, memories: DataFrame, limit: int = 50, exclud
 
 
 #: Bytes of text and terms that a task takes apart at once, of the rows that it is given together.
-TEXT_BYTES, TERM_VALUES = 4 << 20, 1 << 20
+TEXT_BYTES, TERM_VALUES = 1 << 20, 1 << 19
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:

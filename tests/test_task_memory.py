@@ -4,8 +4,9 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lorekeep.operators import retrieval
+from lorekeep.operators import documents, retrieval
 
 
 def found_rows(query, k, score):
@@ -64,3 +65,23 @@ def test_equal_vectors_tie_wherever_they_are(spark):
     for k, v in asked.items():
         best = int(np.argmax(kinds @ v / np.linalg.norm(kinds, axis=1)))
         assert [i for _, i, _ in sorted(got[k])] == [f"m{best + 7 * n:04d}" for n in range(9)] and len({s for *_, s in got[k]}) == 1
+
+
+def test_passages_are_made_once(spark):
+    texts = [(1, "red fox. " * 400), (2, "blue fox. " * 300), (3, "")]
+    rows = documents.chunks(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    q = spark.createDataFrame([(1, "red fox"), (2, "blue")], "qid int, text string")
+    found = documents.search_documents(q, rows, 3, 1, "doc_id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # that which scores
+    assert found.where(F.col("content").isNull()).count() == 0
+    pieces = {(d, c[0]): c[3] for d, t in texts for c in documents.chunk_text(t)}
+    held = {(r.qid, r.doc_id, r.hit_index, r.chunk_index): r.content for r in found.collect()}
+    assert {k[1] for k in held if k[0] == 2} == {2} and all(v == pieces[k[1], k[3]] for k, v in held.items())
+    assert {k for k in held} == {(q, d, h, c) for q, d, h, _ in held for c in range(h - 1, h + 2) if (d, c) in pieces}
+
+
+def test_texts_are_taken_apart_a_megabyte_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab " * 100_000, None, "c" * 10] * 20)], names=["low"])
+    parts = list(retrieval.text_slices(batch, "low"))
+    assert pa.Table.from_batches(parts).column("low").to_pylist() == batch.column("low").to_pylist()
+    assert max(sum(len(t or "") for t in p.column("low").to_pylist()[:-1]) for p in parts) <= 1 << 20
