@@ -4,6 +4,8 @@ Writes are folds: each gives the new state of a table, of all tenants, and chang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,32 +148,39 @@ def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return sure.select("qid", "entity_id")
 
 
-#: Queries of an entity that go to its rows as one list, and the parts into which an entity's rows are dealt.
-LISTED, DEALT = 512, 16
+#: Queries of an entity that go to its rows as one list; names of queries that are broadcast at once; pairs that a task gives.
+LISTED, NAMED_BLOCK, TASK_PAIRS = 512, 1 << 17, 1 << 22
 
 
-def entity_matches(queries: DataFrame, entities: DataFrame, mentions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def entity_matches(queries: DataFrame, entities: DataFrame, mentions: DataFrame, pairs: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(qid, id, boost): rows that mention an entity that a query names; min(0.12, 0.3 / sqrt(rows of the entity)), the largest of a row's.
-    entities: id, name. pairs (qid, id): those that are asked for alone, found without making the others.
+    entities: id, name. pairs (qid, id): those that are asked for alone, found without making the others; digits: boosts are rounded to.
 
     All pairs are as many as queries times rows of their entities. They are made by a join of an entity's rows with lists of its queries and are not
-    shuffled: of the entities that a row and a query share, only the one of the largest boost gives the pair."""
+    shuffled: of the entities that a row and a query share, only the one of the largest boost gives the pair. Lists are broadcast a block at a time and
+    rows are dealt out one by one, so tasks make about as many pairs each, however few the entities are."""
     sizes = mentions.groupBy("entity_id").agg(F.count("*").alias("rows"))
     boost = F.least(F.lit(0.12), 0.3 / F.sqrt(F.greatest("rows", F.lit(1))))
     named = named_entities(queries, entities)
-    told = mentions.join(sizes, "entity_id").select("entity_id", F.col("memory_id").alias("id"), boost.alias("boost")).distinct()
+    told = mentions.join(sizes, "entity_id").select("entity_id", F.col("memory_id").alias("id"), (boost if digits is None else F.round(boost, digits)).alias("boost")).distinct()
     if pairs is not None:
         return pairs.select("qid", "id").distinct().join(named, "qid").join(told, ["id", "entity_id"]).groupBy("qid", "id").agg(F.max("boost").alias("boost"))
     named = kept(named.distinct(), "named-entities")
-    most = named.groupBy("entity_id").count().agg(F.max("count")).first()[0] or 0
+    most, n, made = named.groupBy("entity_id").agg(F.count("*").alias("n")).join(sizes, "entity_id", "left").agg(F.max("n"), F.sum("n"), F.sum(F.col("n") * F.coalesce("rows", F.lit(0)))).first()
     whole = named.join(named.groupBy("qid").agg(F.collect_set("entity_id").alias("names")), "qid")
-    lists = whole.groupBy("entity_id", F.pmod(F.xxhash64("qid"), F.lit(-(-most // LISTED) or 1)).alias("list")).agg(F.collect_list(F.struct("qid", "names")).alias("asked"))
-    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).drop("list")
     order = F.array_sort(F.collect_set(F.struct((-F.col("boost")).alias("less"), "entity_id")))
     rows = told.groupBy("id").agg(order.alias("all")).select("id", F.col("all.entity_id").alias("held"), F.posexplode("all").alias("at", "one"))
-    rows = rows.select("id", F.col("one.entity_id").alias("entity_id"), (-F.col("one.less")).alias("boost"), F.slice("held", F.lit(1), F.col("at")).alias("before"), F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int").alias("part"))
-    met = rows.join(lists, ["entity_id", "part"]).select("id", "boost", "before", F.explode("asked").alias("one"))
-    return met.where((F.size("before") == 0) | ~F.arrays_overlap("before", "one.names")).select("one.qid", "id", "boost")
+    rows = kept(rows.select("id", F.col("one.entity_id").alias("entity_id"), (-F.col("one.less")).alias("boost"), F.slice("held", F.lit(1), F.col("at")).alias("before")), "entity-rows")
+    blocks = max(1, -(-(n or 0) // NAMED_BLOCK))
+    dealt = rows.repartition(max(-(-(made or 0) // (blocks * TASK_PAIRS)), rows.sparkSession.sparkContext.defaultParallelism))
+    parts = []
+    for k in range(blocks):
+        some = whole.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+        # another hash than the blocks', so that a block's queries are dealt over all lists
+        lists = some.groupBy("entity_id", F.pmod(F.hash("qid"), F.lit(-(-(most or 0) // (blocks * LISTED)) or 1)).alias("list")).agg(F.collect_list(F.struct("qid", "names")).alias("asked")).drop("list")
+        met = dealt.join(F.broadcast(lists), "entity_id").select("id", "boost", "before", F.explode("asked").alias("one"))
+        parts.append(met.where((F.size("before") == 0) | ~F.arrays_overlap("before", "one.names")).select("one.qid", "id", "boost"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evidence_after(evidence: DataFrame, log: DataFrame, source: str = "source_id", scope: str = "context_id") -> DataFrame:

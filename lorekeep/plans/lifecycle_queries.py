@@ -108,7 +108,7 @@ def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("conv_id")
     q = load(spark, sf_dir, "conversations").where("turn = 0").select(n.alias("qid"), F.concat(F.lit(" s"), (n % 20).cast("string"), F.lit(" and the s"), (n * 3 % 20).cast("string"), F.lit("!")).alias("text"))
     told = load(spark, sf_dir, "memories").select(F.col("id").alias("memory_id"), F.col("subject").alias("entity_id"))
-    return lifecycle.entity_matches(q, told.select(F.col("entity_id").alias("id"), F.col("entity_id").alias("name")).distinct(), told).withColumn("boost", F.round("boost", 6))
+    return lifecycle.entity_matches(q, told.select(F.col("entity_id").alias("id"), F.col("entity_id").alias("name")).distinct(), told, digits=6)  # rounded for each entity, not pair by pair
 
 
 @register(f"""{cte('evidence')}, l as (select evidence_key as k, min(observed_at) as at from evidence where cast(substr(evidence_key, 2) as int) % 4 = 1 group by 1)
